@@ -53,9 +53,13 @@ def text_keys(text: Column) -> dict[str, Column]:
     return {"t0": F.xxhash64(text), "t1": F.xxhash64(F.lit(20_011), text)}
 
 
-def inputs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns that an operator needs, as ``id`` and ``text`` (null: empty), so that no other column's name can clash."""
-    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def inputs(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """Only the two columns that an operator needs, as ``id`` and ``text`` (null: empty), so that no other column's name can clash.
+
+    carry: also all columns as the struct ``row``.
+    """
+    row = [F.struct("*").alias("row")] if carry else []
+    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
 
 
 def small(df: DataFrame, limit_bytes: int, row_bytes: int) -> bool:

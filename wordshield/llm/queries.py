@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, sharding, suffix_dedup, token_counts
+from . import chat_format, decontamination, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
+
+QUALITY_THRESHOLD = 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,38 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_classifier.Model | None:
+    """Trained on the labelled rows of docs that aren't held out."""
+    return quality_classifier.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything but the ids is parsed back from the formatted windows and their masks."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
+    windows = chat_format.read_back(chat_format.format_chats(turns.union(extra)))
+    whole = windows.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "targets"))).alias("w"), F.sum("n_chars").alias("formatted_chars"))
+    said = F.flatten(F.transform("w", lambda w: w["turns"]))
+    text = F.array_join(F.transform(said, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.flatten(F.transform("w", lambda w: w["targets"])), "")
+    return whole.select(F.col("conv").alias("conv_id"), F.size(said).cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def packed_pieces(docs: DataFrame) -> DataFrame:
     """All documents in sequences of 1024 tokens, each document closed by id 2; the digest is of the written ids."""
     import public_tokenizers
@@ -36,6 +70,13 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = license_scan.scan_licenses(docs, license_scan.train(docs))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda x: x["family"]))), ",")
+    return out.select(F.col("id").alias("doc_id"), "n_paragraphs", F.size("findings").cast("long").alias("n_findings"), families.alias("families"), "findings")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     group = F.struct(F.unhex(F.md5("text")).alias("md5"), F.crc32("text").alias("crc32"))
@@ -48,11 +89,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_classifier.score(docs, quality_model(spark, docs, sf_dir)).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
     return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_near_dedup, op7_sharding, op8_token_counts, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_quality_rules, op4_best_fit_packing, op5_near_dedup, op6_license_scan, op7_sharding, op8_token_counts, op9_quality_classifier, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
