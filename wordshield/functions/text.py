@@ -60,17 +60,21 @@ def collapse_to_one(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)(.)\1+", "$1")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once, though use names it often."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def kept_places(text: Column, n: int, keep_lines: bool) -> Column:
     """Indices (from 0) of the characters that collapsing runs to n keeps; keep_lines: runs of line ends stay."""
-    cs = chars(text)
 
-    def dropped(c: Column, i: Column) -> Column:
+    def dropped(cs: Column, c: Column, i: Column) -> Column:
         same = i >= n
         for k in range(1, n + 1):
             same = same & (F.get(cs, i - k) == c)
         return same & (c != "\n") if keep_lines else same
 
-    return F.filter(F.transform(cs, lambda c, i: F.when(dropped(c, i), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
+    return _once(chars(text), lambda cs: F.filter(F.transform(cs, lambda c, i: F.when(dropped(cs, c, i), F.lit(-1)).otherwise(i)), lambda i: i >= 0))
 
 
 def alnum_places(text: Column) -> Column:

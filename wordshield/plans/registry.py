@@ -1,6 +1,504 @@
-"""Queries of the scanning engine and their DuckDB equivalents."""
+"""Queries of the scanning engine and their DuckDB equivalents.
+
+Each query applies an operator to whole tables of the test data. The tables hold few words of the default list and no
+disguises, so the queries use a list of frequent syllables and disguise some of them first, the same way on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import Config
+from ..functions import chars
+from ..functions import text as tx
+from ..operators import fuzzy, rules, score, stages
+from ..operators.match import find_all, has_match
+from ..sources import lexicon as lx
+from . import reports as rp
+from .scan import prepared, scan
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: The queries' word list: word and base score, in order.
+WORDS = [("the", 0.3), ("thing", 0.5), ("tion", 0.4), ("ver", 0.6), ("ent", 0.35), ("eau", 0.7), ("nicht", 0.8), ("para", 0.9), ("erth", 0.55), ("anan", 0.45)]
+CONFIG = Config()
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def word_list(spark: SparkSession) -> lx.Lexicon:
+    return lx.Lexicon.of(spark, [{"word": w, "base_score": s} for w, s in WORDS])
+
+
+def words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w, s, k) for k, (w, s) in enumerate(WORDS)], "word string, base_score double, ord long")
+
+
+def conversations(spark: SparkSession, sf_dir: str, *disguise: tuple[str, str]) -> DataFrame:
+    """(message_id, text) with strings of the texts replaced."""
+    text = F.col("text")
+    for old, new in disguise:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), text.alias("text"))
+
+
+def stage(spark: SparkSession, messages: DataFrame, *ords: int) -> DataFrame:
+    """What single stages find, before words found by earlier stages are left out."""
+    ready = prepared(messages, CONFIG)
+    seen = stages.views(ready, CONFIG).where(F.col("ord").isin(*ords))
+    return stages.located(find_all(seen, "view", stages.patterns_of(words(spark), CONFIG), kind="kind"), CONFIG).select("message_id", "ord", "word", "start", "end", "matched_form", "base_score")
+
+
+def sql_str(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def sql_messages(*disguise: tuple[str, str], most: int = 10_000) -> str:
+    """CTEs: w (word, base_score, ord), m (message_id, text, n)."""
+    text = "text"
+    for old, new in disguise:
+        text = f"replace({text}, {sql_str(old)}, {sql_str(new)})"
+    rows = ", ".join(f"({sql_str(w)}, {s}::double, {k})" for k, (w, s) in enumerate(WORDS))
+    return f"w(word, base_score, ord) as (values {rows}), m as (select message_id, text, lower(text) as n from (select conv_id::varchar || '-' || turn::varchar as message_id, substr({text}, 1, {most}) as text from conversations))"
+
+
+def sql_places(text: str, word: str) -> str:
+    return f"list_filter(range(0, length({text}) - length({word}) + 1), lambda i: substr({text}, i::int + 1, length({word})) = {word})"
+
+
+def sql_pieces(text: str, inside: str, opening: str) -> str:
+    """List of (start, piece) as tx.pieces() gives it."""
+    parts = f"regexp_extract_all({text}, '[{opening}][{inside}]*|[^{opening}]+')"
+    return f"list_filter(list_transform(range(1, len({parts}) + 1), lambda k: {{'start': coalesce(list_sum(list_transform(({parts})[1:k::int - 1], lambda x: length(x))), 0)::int, 'piece': ({parts})[k::int]}}), lambda p: regexp_matches(p.piece, '^[{opening}]'))"
+
+
+_ALNUM = chars.ALNUM
+_LEET = chars.ALNUM + chars.LEET_CLASS
+_SPACES = chars.SPACE
+
+# --- matcher and exact stage
+
+
+@query(f"with {sql_messages()} select message_id, word, p::int as start, (p + length(word))::int as \"end\" from (select message_id, word, unnest({sql_places('n', 'word')}) as p from m, w where contains(n, word))")
+def exact_scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, conversations(spark, sf_dir), 2).select("message_id", "word", "start", "end")
+
+
+_DOCUMENT_PARTS = "with d as (select doc_id, lower(substr(text, 1, 10000)) as n from documents), w(word) as (values ('thing'), ('nicht'), ('para')), p as (select doc_id, word, string_split(n, word) as parts from d, w where contains(n, word))"
+
+
+@query(f"{_DOCUMENT_PARTS} select doc_id, word, (list_sum(list_transform(parts[1:k::int], lambda x: length(x))) + (k - 1) * length(word))::int as start from (select *, unnest(range(1, len(parts))) as k from p)")
+def exact_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(tx.truncate(F.col("text"), 10_000)).alias("n"))
+    patterns = spark.createDataFrame([("thing",), ("nicht",), ("para",)], "pattern string")
+    return find_all(docs, "n", patterns).select("doc_id", F.col("pattern").alias("word"), F.col("at").alias("start"))
+
+
+_OVERLAPS = f"with {sql_messages()}, o(word) as (values ('thth'), ('anan'), ('erer'), ('hehe')) select message_id, word, unnest({sql_places('n', 'word')})::int as start from m, o where contains(n, word)"
+
+
+def _overlaps(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
+    patterns = spark.createDataFrame([("thth",), ("anan",), ("erer",), ("hehe",)], "pattern string")
+    texts = conversations(spark, sf_dir).select("message_id", F.lower("text").alias("n"))
+    return find_all(texts, "n", patterns, variant).select("message_id", F.col("pattern").alias("word"), F.col("at").alias("start"))
+
+
+@query(_OVERLAPS)
+def exact_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(spark, sf_dir, "split")
+
+
+@query(_OVERLAPS)
+def exact_overlap_shingle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(spark, sf_dir, "shingle")
+
+
+@query(_OVERLAPS)
+def exact_overlap_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(spark, sf_dir, "trie")
+
+
+@query(f"with {sql_messages()} select message_id from m where exists (select 1 from w where contains(n, word) and word in ('thing', 'para'))")
+def has_match_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = conversations(spark, sf_dir).select("message_id", F.lower("text").alias("n"))
+    return has_match(texts, "n", words(spark).where("word in ('thing', 'para')").select(F.col("word").alias("pattern"))).select("message_id")
+
+
+# --- text functions
+
+
+@query("select conv_id, turn, lower(text) as n from conversations")
+def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.normalize(F.col("text")).alias("n"))
+
+
+@query(f"select conv_id, turn, len(list_filter(regexp_split_to_array(text, '[{_SPACES}]+'), lambda x: x <> ''))::int as words from conversations")
+def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.word_count(F.col("text")).alias("words"))
+
+
+_STRETCH = (("th", "thhhh"), ("e", "ee"), (". ", "...\n\n\n "))
+_AT = "list_filter(range(1, length(n) + 1), lambda i: {keep})"
+
+
+def _collapse_sql(keep: str) -> str:
+    return f"with {sql_messages(*_STRETCH)} select message_id, array_to_string(list_transform({_AT.format(keep=keep)}, lambda i: n[i::int]), '') as collapsed from m"
+
+
+_KEEP_TWO = "i < 3 or n[i::int] = chr(10) or n[i::int] <> n[i::int - 1] or n[i::int] <> n[i::int - 2]"
+_KEEP_ONE = "i < 2 or n[i::int] <> n[i::int - 1]"
+
+
+@query(_collapse_sql(_KEEP_TWO))
+def collapse_to_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(spark, sf_dir, *_STRETCH).select("message_id", tx.collapse_repeats(F.lower("text")).alias("collapsed"))
+
+
+@query(_collapse_sql(_KEEP_ONE))
+def collapse_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(spark, sf_dir, *_STRETCH).select("message_id", tx.collapse_to_one(F.lower("text")).alias("collapsed"))
+
+
+@query(f"with {sql_messages()} select message_id, t.start as start, t.piece as token from (select message_id, unnest({sql_pieces('n', _ALNUM, _ALNUM)}) as t from m)")
+def alnum_tokens_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations(spark, sf_dir).select("message_id", F.explode(tx.alnum_tokens(F.lower("text"))).alias("t"))
+    return rows.select("message_id", "t.start", F.col("t.piece").alias("token"))
+
+
+_LEETED = (("the", "t|-|3"), ("tion", "710n"), ("an", "@n"), ("er", "3r"))
+
+
+@query(f"with {sql_messages(*_LEETED)} select message_id, t.start as start, t.piece as token, translate(t.piece, '{chars.LEET_FROM}', '{chars.LEET_TO}') as greedy from (select message_id, unnest({sql_pieces('n', _LEET, _LEET)}) as t from m) where regexp_matches(t.piece, '[{chars.LEET_CLASS}]')")
+def leet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations(spark, sf_dir, *_LEETED).select("message_id", F.explode(tx.leet_tokens(F.lower("text"))).alias("t")).where(tx.has_leet(F.col("t.piece")))
+    return rows.select("message_id", "t.start", F.col("t.piece").alias("token"), tx.greedy_leet(F.col("t.piece")).alias("greedy"))
+
+
+_DOTTED = (("the", "t.h.e"), ("tion", "t_i*on"), ("eau", "e-a-u"))
+
+
+@query(f"with {sql_messages(*_DOTTED)} select message_id, t.start as start, t.piece as span from (select message_id, unnest({sql_pieces('n', '^' + _SPACES, _ALNUM)}) as t from m) where regexp_matches(t.piece, '\\p{{L}}')")
+def separator_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations(spark, sf_dir, *_DOTTED).select("message_id", F.explode(tx.separator_spans(F.lower("text"))).alias("t"))
+    return rows.select("message_id", "t.start", F.col("t.piece").alias("span"))
+
+
+@query(f"with {sql_messages(*_DOTTED)} select message_id, regexp_replace(n, '[^{_LEET}]', '', 'g') as clean from m")
+def combined_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(spark, sf_dir, *_DOTTED).select("message_id", tx.strip_keep_leet(F.lower("text")).alias("clean"))
+
+
+@query("select page_id, regexp_replace(html, '[^a-zA-Z0-9]', '', 'g') as clean from pages")
+def strip_non_alnum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", tx.strip_non_alnum(F.col("html")).alias("clean"))
+
+
+_ALIKE = (("the", "thе"), ("an", "αn"), ("tion", "t1оn"))
+_LOOK = f"translate(n, '{chars.HOMOGLYPH_FROM}', '{chars.HOMOGLYPH_TO}')"
+
+
+@query(f"with {sql_messages(*_ALIKE)} select message_id, array_to_string(list_transform(list_filter(string_split(n, ''), lambda c: contains('{chars.HOMOGLYPH_FROM}', c) and c <> ''), lambda c: c || '>' || translate(c, '{chars.HOMOGLYPH_FROM}', '{chars.HOMOGLYPH_TO}')), ' ') as pairs from m")
+def homoglyph_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = F.transform(tx.homoglyph_pairs(F.lower("text")), lambda p: F.concat_ws(">", p))
+    return conversations(spark, sf_dir, *_ALIKE).select("message_id", F.array_join(pairs, " ").alias("pairs"))
+
+
+@query("select conv_id, turn, regexp_replace(text, '(?i)\\b(the|thing|nicht)\\b', '\U0001f534\\1\U0001f534', 'g') as marked from conversations")
+def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = F.array(*map(F.lit, ("the", "thing", "nicht")))
+    return table(spark, sf_dir, "conversations").where(F.lit(True)).select("conv_id", "turn", tx.highlight(F.col("text"), listed).alias("marked"))
+
+
+# --- disguise stages
+
+
+@query(f"with {sql_messages(*_ALIKE)}, h as (select *, {_LOOK} as v from m where {_LOOK} <> n) select message_id, word, p::int as start, (p + length(word))::int as \"end\", substr(n, p::int + 1, length(word)) as matched_form from (select *, unnest({sql_places('v', 'word')}) as p from h, w where contains(v, word))")
+def homoglyph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, conversations(spark, sf_dir, *_ALIKE), 3).select("message_id", "word", "start", "end", "matched_form")
+
+
+_SEPARATED = f"""with {sql_messages(*_DOTTED)},
+s as (select message_id, t.start as base, t.piece as span, regexp_replace(t.piece, '[^a-zA-Z0-9]', '', 'g') as v from (select message_id, unnest({sql_pieces('n', '^' + _SPACES, _ALNUM)}) as t from m) where regexp_matches(t.piece, '\\p{{L}}')),
+h as (select *, unnest({sql_places('v', 'word')}) as p, list_filter(range(0, length(span)), lambda i: regexp_matches(span[i::int + 1], '[{_ALNUM}]')) as places from s, w where contains(v, word)),
+b as (select *, base + coalesce(places[p::int + 1], 0) as f, base + coalesce(places[(p + length(word))::int] + 1, length(span) - 1) as t from h)
+select message_id, word, f::int as start, t::int as "end", substr(span, (f - base)::int + 1, greatest(t - f, 0)::int) as matched_form from b"""
+
+
+@query(_SEPARATED)
+def separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, conversations(spark, sf_dir, *_DOTTED), 4).select("message_id", "word", "start", "end", "matched_form")
+
+
+def _leet_sql(source: str, where: str = "true") -> str:
+    return f"""with {sql_messages(*_LEETED)}, k as (select message_id, {source} as n from m where {where}),
+t as (select message_id, unnest({sql_pieces('n', _LEET, _LEET)}) as t from k)
+select distinct message_id, word, t.start as start, (t.start + length(t.piece))::int as "end", t.piece as matched_form from t, w where regexp_matches(t.piece, '[{chars.LEET_CLASS}]') and contains(translate(t.piece, '{chars.LEET_FROM}', '{chars.LEET_TO}'), word)"""
+
+
+_CLEAN = f"regexp_replace(n, '[^{_LEET}]', '', 'g')"
+
+
+@query(_leet_sql("n"))
+def leet_greedy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, conversations(spark, sf_dir, *_LEETED), 5).select("message_id", "word", "start", "end", "matched_form").distinct()
+
+
+@query(_leet_sql(_CLEAN, f"{_CLEAN} <> n"))
+def combined_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, conversations(spark, sf_dir, *_LEETED), 7).select("message_id", "word", "start", "end", "matched_form").distinct()
+
+
+@query()
+def leet_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens whose likeliest reading has no word ('1' read as i, not l): tested against a plain model."""
+    ready = prepared(conversations(spark, sf_dir, ("tion", "t1on"), ("thing", "th|ng")), CONFIG)
+    return stages.leet_fallback(ready, words(spark), CONFIG).select("message_id", "ord", "word", "start", "end", "matched_form")
+
+
+_STRETCHED = (("the", "thhhhe"), ("ver", "verrr"), ("tion", "ttiioonn"), ("erth", "eerrttthh"))
+_RUNS = f"""with {sql_messages(*_STRETCHED)},
+l as (select message_id, n, list_filter(range(1, length(n) + 1), lambda i: {_KEEP_TWO}) as p2, list_filter(range(1, length(n) + 1), lambda i: {_KEEP_ONE}) as p1 from m),
+c as (select *, array_to_string(list_transform(p2, lambda i: n[i::int]), '') as c2, array_to_string(list_transform(p1, lambda i: n[i::int]), '') as c1 from l),
+two as (select message_id, n, word, p2 as places, unnest({sql_places('c2', 'word')}) as p from c, w where c2 <> n and contains(c2, word)),
+one as (select message_id, n, word, p1 as places, list_min({sql_places('c1', 'word')}) as p from c, w where c2 <> n and c1 <> c2 and contains(c1, word) and (message_id, word) not in (select (message_id, word) from two)),
+f as (select message_id, n, word, case when p = 0 then 0 else places[p::int] end as s, places[(p + length(word))::int] - 1 as e from (select * from two union all select * from one))
+select message_id, word, s::int as start, e::int as "end", substr(n, s::int + 1, (e - s + 1)::int) as matched_form from f"""
+
+
+@query(_RUNS)
+def repetition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, conversations(spark, sf_dir, *_STRETCHED), 6).select("message_id", "word", "start", "end", "matched_form")
+
+
+# --- fuzzy stage
+
+_EDITED = (("thing", "thinng"), ("nicht", "nichtt"), ("para", "parra"), ("erth", "errth"))
+_TOKENS = f"t as (select message_id, t.start as start, t.piece as token from (select message_id, unnest({sql_pieces('n', _ALNUM, _ALNUM)}) as t from m) where length(t.piece) >= 4)"
+_BUDGET = "b as (select *, sum(candidates) over (partition by message_id order by start) as checks from (select t.*, (select count(*) from w where abs(length(word) - length(token)) <= 2) as candidates from t) where candidates > 0)"
+
+
+@query(f"with {sql_messages(*_EDITED)}, {_TOKENS} select distinct token, word, levenshtein(regexp_replace(token, '[^\\x00-\\x7F]', '?', 'g'), word)::int as distance from t, w where abs(length(word) - length(token)) <= 2 and levenshtein(regexp_replace(token, '[^\\x00-\\x7F]', '?', 'g'), word) <= 2 and levenshtein(regexp_replace(token, '[^\\x00-\\x7F]', '?', 'g'), word) / length(word) <= 0.25")
+def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = words(spark)
+    ready = prepared(conversations(spark, sf_dir, *_EDITED), CONFIG)
+    vocabulary = fuzzy.tokens(ready, CONFIG.fuzzy).select("token").distinct()
+    near = listed.withColumn("token_length", F.explode(F.sequence(F.length("word") - 2, F.length("word") + 2)))
+    pairs = vocabulary.join(F.broadcast(near), F.length("token") == F.col("token_length")).withColumn("distance", F.levenshtein("token", "word", 2))
+    return pairs.where("distance >= 0 and distance / length(word) <= 0.25").select("token", "word", "distance")
+
+
+@query(f"with {sql_messages(*_EDITED)}, {_TOKENS}, {_BUDGET} select message_id, token, start, checks::bigint as checks from b where checks <= 500")
+def fuzzy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = prepared(conversations(spark, sf_dir, *_EDITED), CONFIG)
+    return fuzzy.within_budget(fuzzy.tokens(ready, CONFIG.fuzzy), words(spark), CONFIG.fuzzy).select("message_id", "token", "start", "checks")
+
+
+#: DuckDB's levenshtein counts bytes; any one character stands for those that no word has.
+_NEAREST = "d as (select message_id, token, start, word, levenshtein(regexp_replace(token, '[^\\x00-\\x7F]', '?', 'g'), word) as distance, row_number() over (partition by message_id, start order by levenshtein(regexp_replace(token, '[^\\x00-\\x7F]', '?', 'g'), word), length(word), ord) as nth from b, w where checks <= 500 and abs(length(word) - length(token)) <= 2 and levenshtein(regexp_replace(token, '[^\\x00-\\x7F]', '?', 'g'), word) <= 2 and levenshtein(regexp_replace(token, '[^\\x00-\\x7F]', '?', 'g'), word) / length(word) <= 0.25)"
+
+
+@query(f"with {sql_messages(*_EDITED)}, {_TOKENS}, {_BUDGET}, {_NEAREST} select message_id, word, token as matched_form, start, (start + length(token))::int as \"end\", distance::int as distance from d where nth = 1")
+def fuzzy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = prepared(conversations(spark, sf_dir, *_EDITED), CONFIG)
+    none = ready.where("false").select(*stages.KEYS, F.lit("").alias("word"))
+    return fuzzy.fuzzy_matches(ready, none, words(spark), CONFIG.fuzzy).select("message_id", "word", "matched_form", "start", "end", "distance")
+
+
+# --- resolution and scores
+
+_MIXED = (("the ", "thе "), ("thing", "t.h.i.n.g"))
+_FOUND = f"""h as (select *, {_LOOK} as v from m),
+e as (select message_id, n, word, base_score, 2 as ord, unnest({sql_places('n', 'word')}) as p from m, w where contains(n, word)),
+k as (select message_id, n, word, base_score, 3 as ord, unnest({sql_places('v', 'word')}) as p from h, w where v <> n and contains(v, word)),
+a as (select message_id, n, word, base_score, ord, p::int as start, (p + length(word))::int as "end" from (select * from e union all select * from k))"""
+_COVER = "c as (select message_id, coalesce(sum(\"end\" - start) filter (where ord = 2), 0) >= greatest(length(any_value(n)), 1) as covered from a group by message_id)"
+_KEPT = "r as (select distinct * exclude (earliest, covered, n) from (select a.*, c.covered, min(ord) over (partition by message_id, word) as earliest from a join c using (message_id)) where ord = earliest and (ord = 2 or not covered))"
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = prepared(conversations(spark, sf_dir, *_MIXED), CONFIG)
+    seen = stages.views(ready, CONFIG).where("ord <= 3")
+    return stages.resolved(stages.located(find_all(seen, "view", stages.patterns_of(words(spark), CONFIG), kind="kind"), CONFIG), ready)
+
+
+@query(f"with {sql_messages(('the', 'the the the'))}, {_FOUND}, {_COVER} select message_id, covered from c")
+def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = prepared(conversations(spark, sf_dir, ("the", "the the the")), CONFIG)
+    seen = stages.views(ready, CONFIG).where("ord = 2")
+    found = stages.resolved(stages.located(find_all(seen, "view", stages.patterns_of(words(spark), CONFIG), kind="kind"), CONFIG), ready)
+    looked = stages.views(ready, CONFIG).where("ord = 3")
+    alike = stages.located(find_all(looked, "view", stages.patterns_of(words(spark), CONFIG), kind="kind"), CONFIG)
+    both = alike.select("message_id", F.lit(False).alias("covered")).union(found.select("message_id", "covered"))
+    return both.groupBy("message_id").agg(F.max("covered").alias("covered"))
+
+
+@query(f"with {sql_messages(*_MIXED)}, {_FOUND}, {_COVER}, {_KEPT} select message_id, word, ord, start, \"end\" from r")
+def suppression_min_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir).select("message_id", "word", "ord", "start", "end")
+
+
+_SCORED = """d as (select message_id, count(distinct word) as distinct_words from r group by message_id),
+s as (select r.*, least(1.0, least(1.0, base_score + case when ord = 3 then 0.1::double else 0.0::double end) * case when wc > 0 then least(1.5::double, 1.0::double + distinct_words::double / greatest(1, wc)) else 1.0::double end) as final_score from r join d using (message_id) join c2 using (message_id))"""
+_COUNTS = f"c2 as (select message_id, len(list_filter(regexp_split_to_array(text, '[{_SPACES}]+'), lambda x: x <> '')) as wc from m)"
+_TIER = "case when {x} >= 1.0 then 'critical' when {x} >= 0.8 then 'high' when {x} >= 0.6 then 'medium' else 'low' end"
+_ACTION = "case when {x} >= 1.0 then 'block' when {x} >= 0.8 then 'warn' when {x} >= 0.6 then 'flag' else 'log' end"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = prepared(conversations(spark, sf_dir, *_MIXED), CONFIG).select(*stages.KEYS, "word_count")
+    return score.scored(_resolved(spark, sf_dir).join(counts, stages.KEYS), stages.KEYS, CONFIG)
+
+
+@query(f"with {sql_messages(*_MIXED)}, {_FOUND}, {_COVER}, {_KEPT}, {_COUNTS}, {_SCORED} select message_id, word, start, \"end\", round(final_score, 9) as final_score, {_TIER.format(x='final_score')} as tier from s")
+def score_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("message_id", "word", "start", "end", F.round("final_score", 9).alias("final_score"), "tier")
+
+
+@query(f"with {sql_messages(*_MIXED)}, {_FOUND}, {_COVER}, {_KEPT}, {_COUNTS}, {_SCORED}, g as (select message_id, count(*)::int as total_detections, count(distinct word)::int as distinct_words, max(final_score) as highest, avg(final_score) as average from s group by message_id) select message_id, coalesce(total_detections, 0)::int as total_detections, coalesce(distinct_words, 0)::int as distinct_words, round(coalesce(highest, 0), 9) as highest, round(coalesce(average, 0), 3) as average, {_TIER.format(x='coalesce(highest, 0)')} as tier, {_ACTION.format(x='coalesce(highest, 0)')} as action from m left join g using (message_id)")
+def message_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = _scored(spark, sf_dir).groupBy("message_id").agg(F.collect_list(F.struct("word", "final_score")).alias("detections"))
+    rows = conversations(spark, sf_dir, *_MIXED).select("message_id").join(listed, "message_id", "left")
+    full = rows.withColumn("detections", F.coalesce("detections", F.array().cast("array<struct<word: string, final_score: double>>")))
+    s = full.select("message_id", score.summary_of("detections", CONFIG).alias("s"), F.aggregate("detections", F.lit(0.0), lambda a, d: a + d["final_score"]).alias("sum"))
+    return s.select("message_id", "s.total_detections", "s.distinct_words", F.round("s.highest_score", 9).alias("highest"), F.round(F.coalesce(F.try_divide("sum", F.col("s.total_detections")), F.lit(0.0)), 3).alias("average"), "s.tier", "s.action")
+
+
+@query(f"select event_id, {_TIER.format(x='value / 100')} as tier, {_ACTION.format(x='value / 100')} as action from events")
+def tier_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.col("value") / 100
+    return table(spark, sf_dir, "events").select("event_id", score.tier_of(value, CONFIG.tiers).alias("tier"), score.action_of(value, CONFIG.tiers).alias("action"))
+
+
+@query()
+def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage over the conversations, one report a message: golden cases and a plain model hold it in the tests."""
+    result = scan(conversations(spark, sf_dir, ("thing", "th1ng"), (" the ", " t.h.e ")), word_list(spark))
+    s = "summary."
+    return result.reports.select("message_id", *(s + x for x in ("total_detections", "distinct_words", "highest_score", "average_score", "tier", "action")))
+
+
+# --- reports: one for each event, its type as the detected word
+
+_REPORTS = f"with r as (select event_id::varchar as message_id, ts as timestamp, event_type as word, least(1.0, value / 100) as s from events), q as (select *, {_TIER.format(x='s')} as tier, {_ACTION.format(x='s')} as action from r)"
+
+
+def event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.least(F.lit(1.0), F.col("value") / 100)
+    summary = F.struct(F.lit(1).alias("total_detections"), F.lit(1).alias("distinct_words"), value.alias("highest_score"), value.alias("average_score"), score.tier_of(value, CONFIG.tiers).alias("tier"), score.action_of(value, CONFIG.tiers).alias("action"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("message_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.array(F.struct(F.col("event_type").alias("word"), value.alias("final_score"))).alias("detections"), summary.alias("summary"))
+
+
+@query(f"{_REPORTS} select count(*) as total_messages, count(*) as total_detections, count(*) filter (where action = 'block') as blocked, count(*) filter (where action = 'flag') as flagged, round(avg(s), 2) as average_highest from q")
+def report_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.stats(event_reports(spark, sf_dir))
+
+
+@query(f"{_REPORTS} select lower(word) as word, count(*) as n from q group by 1 order by n desc, word limit 3")
+def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.top_words(event_reports(spark, sf_dir), 3)
+
+
+@query(f"{_REPORTS} select message_id, tier from q order by timestamp desc, message_id limit 50 offset 100")
+def reports_recent_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.newest(event_reports(spark, sf_dir), 50, 100).select("message_id", "summary.tier")
+
+
+@query(f"{_REPORTS} select message_id, action from q where tier = 'high' order by timestamp, message_id limit 40 offset 20")
+def reports_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.of_tier(event_reports(spark, sf_dir), "high", 40, 20).select("message_id", "summary.action")
+
+
+@query(f"{_REPORTS} select message_id from q where timestamp >= (select max(timestamp) - interval 7 day from q)")
+def retention_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = event_reports(spark, sf_dir)
+    last = reports.agg(F.max("timestamp").alias("last"))
+    return reports.join(F.broadcast(last)).where("timestamp >= last - interval 7 days").select("message_id")
+
+
+@query(f"{_REPORTS} select date_trunc('hour', timestamp)::timestamp as start, count(*) as messages, count(*) as detections, count(*) filter (where action = 'block') as blocked from q group by 1")
+def hourly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.windowed(event_reports(spark, sf_dir)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"{_REPORTS}, l as (select *, row_number() over (partition by word order by timestamp desc, message_id) as nth from q) select word as message_id, max(timestamp) as timestamp from l where nth = 1 group by 1")
+def reports_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last write wins: the events' types as message ids."""
+    typed = event_reports(spark, sf_dir).withColumn("message_id", F.col("detections")[0]["word"])
+    return rp.current(typed).select("message_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
+# --- word list, on words of part names
+
+_OLD = "o as (select lower(p_name) as k, min(p_partkey) as ord, arg_min(p_name, p_partkey) as word, arg_max(p_retailprice, p_partkey) as base_score from part where p_partkey % 3 <> 0 group by 1)"
+_NEW = "n as (select lower(p_name) as k, min(p_partkey) as ord, arg_min(p_name, p_partkey) as word, arg_max(p_retailprice + 1, p_partkey) as base_score from part where p_partkey % 2 = 0 group by 1)"
+
+
+def part_words(spark: SparkSession, sf_dir: str, condition: str, add: int = 0) -> DataFrame:
+    rows = table(spark, sf_dir, "part").where(condition).select(F.col("p_name").alias("word"), (F.col("p_retailprice") + add).cast("double").alias("base_score"), F.array().cast("array<string>").alias("tags"), F.lit(True).alias("enabled"), F.col("p_partkey").cast("long").alias("ord"))
+    return lx._entries(rows)
+
+
+def part_lexicon(spark: SparkSession, sf_dir: str) -> lx.Lexicon:
+    return lx.Lexicon.empty(spark).add_many(part_words(spark, sf_dir, "p_partkey % 3 <> 0"))
+
+
+_MERGED = f"with {_OLD}, {_NEW}, u as (select coalesce(o.word, n.word) as word, coalesce(n.base_score, o.base_score) as base_score, row_number() over (order by case when o.k is null then 1 else 0 end, coalesce(o.ord, n.ord)) as ord from o full join n using (k))"
+
+
+@query(f"{_MERGED} select word, base_score::double as base_score, ord from u")
+def lexicon_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = part_lexicon(spark, sf_dir).add_many(part_words(spark, sf_dir, "p_partkey % 2 = 0", 1))
+    return merged.entries.select("word", "base_score", "ord")
+
+
+@query(f"with {_OLD} select word, case when k = (select min(k) from o) then 0.25 else base_score::double end as base_score from o")
+def lexicon_partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = part_lexicon(spark, sf_dir)
+    first = lexicon.entries.agg(F.min(lx.key(F.col("word")))).first()[0]
+    return lexicon.update(first, base_score=0.25).entries.select("word", "base_score")
+
+
+@query(f"with {_OLD} select word from o where k <> (select min(k) from o)")
+def lexicon_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = part_lexicon(spark, sf_dir)
+    first = lexicon.entries.agg(F.min(lx.key(F.col("word")))).first()[0]
+    return lexicon.delete([first]).entries.select("word")
+
+
+@query(f"with {_OLD} select word from o order by ord limit 25 offset 50")
+def lexicon_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_lexicon(spark, sf_dir).page(3, 25).select("word")
+
+
+@query("select p_partkey, array_to_string(list_filter(list_transform(string_split(replace(p_name, ' ', ' , ') || ',, ', ','), lambda x: trim(x)), lambda x: x <> ''), '|') as tags from part")
+def csv_tags_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = F.concat(F.replace("p_name", F.lit(" "), F.lit(" , ")), F.lit(",, "))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(lx.split_tags(joined), "|").alias("tags"))
+
+
+# --- rule path
+
+_RULE = "array_to_string(list_transform(list_filter(range(1, length({t}) + 1), lambda i: i < 2 or ({t})[i::int] <> ({t})[i::int - 1]), lambda i: ({t})[i::int]), '')"
+_REDUCED = "regexp_replace(lower({t}), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"with {sql_messages()}, z as (select message_id, {_REDUCED.format(t='text')} as t from m), f as (select message_id, {_RULE.format(t='t')} as reduced from z), v as (select word, ord, {_RULE.format(t='word')} as form from w), h as (select message_id, string_agg(word, ' ' order by ord) as words, count(*)::int as hits from f, v where contains(reduced, form) group by 1) select message_id as id, coalesce(words, '') as words, case when hits > 0 then 100 else 0 end::int as score, coalesce(hits, 0)::int as hits from f left join h using (message_id)")
+def rule_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.rule_detect(conversations(spark, sf_dir), words(spark))
+    return found.withColumn("words", F.array_join("words", " "))

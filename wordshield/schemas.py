@@ -7,15 +7,18 @@ from pyspark.sql import types as T
 METHODS = ("exact", "homoglyph", "separator_bypass", "leetspeak", "repetition", "fuzzy")
 TIERS = ("low", "medium", "high", "critical")
 
-MESSAGE = T.StructType.fromDDL("message_id string, text string")
+_S, _I, _L, _D, _B, _TS = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
 
-LEXICON = T.StructType.fromDDL("word string not null, normalized string, base_score double, tags array<string>, enabled boolean, id bigint, ord bigint, created_at timestamp, updated_at timestamp")
 
-DETECTION = T.StructType.fromDDL(
-    "word string, matched_form string, start int, end int, base_score double, final_score double, method string, sub_methods array<string>, "
-    "homoglyphs_detected array<array<string>>, distance int, tags array<string>, tier string"
-)
+def _struct(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in columns.items()])
 
-SUMMARY = T.StructType.fromDDL("total_detections int, distinct_words int, highest_score double, average_score double, tier string, action string")
 
-REPORT = T.StructType([T.StructField("message_id", T.StringType()), T.StructField("timestamp", T.TimestampType()), T.StructField("text", T.StringType()), T.StructField("normalized_text", T.StringType()), T.StructField("detections", T.ArrayType(DETECTION)), T.StructField("summary", SUMMARY)])
+MESSAGE = _struct(message_id=_S, text=_S)
+LEXICON = _struct(word=_S, normalized=_S, base_score=_D, tags=T.ArrayType(_S), enabled=_B, id=_L, ord=_L, created_at=_TS, updated_at=_TS)
+DETECTION = _struct(
+    word=_S, matched_form=_S, start=_I, end=_I, base_score=_D, final_score=_D, method=_S, sub_methods=T.ArrayType(_S),
+    homoglyphs_detected=T.ArrayType(T.ArrayType(_S)), distance=_I, tags=T.ArrayType(_S), tier=_S,
+)
+SUMMARY = _struct(total_detections=_I, distinct_words=_I, highest_score=_D, average_score=_D, tier=_S, action=_S)
+REPORT = _struct(message_id=_S, timestamp=_TS, text=_S, normalized_text=_S, detections=T.ArrayType(DETECTION), summary=SUMMARY)

@@ -43,7 +43,7 @@ def read_txt(spark: SparkSession, path: str, score: float = 0.5) -> DataFrame:
 
 
 def split_tags(tags: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def read_csv(spark: SparkSession, path: str, default_score: float = 0.5) -> DataFrame:
