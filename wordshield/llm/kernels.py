@@ -65,8 +65,8 @@ def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def chunks(texts: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with up to `most` bytes together; a longer text is a range of its own."""
+def chunks(texts: list[bytes], most: int = 100_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with up to `most` bytes together, so that a kernel's arrays stay in the CPU's cache; a longer text is a range of its own."""
     first = size = 0
     for k, t in enumerate(texts):
         if k > first and size + len(t) > most:

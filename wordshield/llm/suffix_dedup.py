@@ -21,6 +21,7 @@ from .common import drop_written, inputs, release, text_keys, written
 from .kernels import RangeHash, chunks, joined, mix
 
 ANCHOR = 64
+BLOCK = 16
 #: A segment's positions must fit the bits that the hashes leave free for them.
 _PLACE_BITS = 20
 _SEGMENT = 1 << _PLACE_BITS
@@ -137,8 +138,12 @@ class SuffixFamily:
         return counts.join(settled, "suffix")
 
 
-def _strings(rows: DataFrame, length: int) -> DataFrame:
-    """(suffix, string, t0, t1, at, single) for every string of the runs listed with each text (places)."""
+def _blocks(rows: DataFrame, length: int) -> DataFrame:
+    """The strings of the runs listed with each text (places), in blocks of BLOCK neighbouring distances from the anchor.
+
+    core: what every string of the block holds, at its distance from the anchor, so equal strings are in blocks of equal
+    cores; whole: all strings of the block together; strings: the hash of each, in order, the first at `at`.
+    """
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,15 +155,23 @@ def _strings(rows: DataFrame, length: int) -> DataFrame:
                     part = places[low : low + 5000]
                     place = np.array([p["place"] for p in part], np.int64)
                     start, strings, ahead = place >> 16, place >> 8 & 255, place & 255
-                    suffix, single = np.array([p["suffix"] for p in part], np.int64), np.array([p["single"] for p in part], bool)
+                    suffix, single = np.array([p["suffix"] for p in part], np.int64).view(np.uint64), np.array([p["single"] for p in part], bool)
                     owner = np.repeat(np.arange(len(part)), strings)
-                    step = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
-                    at = start[owner] + step
-                    string = mix(hashes.of(at, at + length) + (ahead[owner] - step).astype(np.uint64))
-                    columns = [suffix[owner], string.view(np.int64), np.full(len(owner), keys[0][k]), np.full(len(owner), keys[1][k]), at, single[owner]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["suffix", "string", "t0", "t1", "at", "single"])
-
-    return rows.select("t0", "t1", "text", "places").mapInArrow(spell, "suffix long, string long, t0 long, t1 long, at long, single boolean")
+                    at = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
+                    anchor = (start + ahead)[owner]
+                    block = (anchor - at) // BLOCK
+                    string = mix(hashes.of(at, at + length) + (anchor - at).astype(np.uint64))
+                    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (block[1:] != block[:-1]))))
+                    count = np.diff(np.append(first, len(at)))
+                    from_, of, near = at[first], owner[first], block[first].astype(np.uint64)
+                    open_ = anchor[first] - block[first] * BLOCK  # the core's start
+                    core = mix(hashes.of(open_, open_ + (length - BLOCK + 1)) + suffix[of] * np.uint64(3) + near)
+                    whole = mix(hashes.of(from_, from_ + count + length - 1) + ((anchor[first] - from_) * 256 + count).astype(np.uint64))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(string.view(np.int64)))
+                    columns = [core.view(np.int64), whole.view(np.int64), np.full(len(first), keys[0][k]), np.full(len(first), keys[1][k]), from_, count, single[of]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["core", "whole", "t0", "t1", "at", "count", "single", "strings"])
+
+    return rows.select("t0", "t1", "text", "places").mapInArrow(spell, "core long, whole long, t0 long, t1 long, at long, count long, single boolean, strings array<long>")
 
 
 def repeated_spans(texts: DataFrame, length: int, batches: int) -> DataFrame:
@@ -173,30 +186,41 @@ def repeated_spans(texts: DataFrame, length: int, batches: int) -> DataFrame:
     start, strings = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255))
     whole = marked.where("n > 1").select("t0", "t1", start.alias("start"), (start + strings + (length - 1)).alias("end"))
 
-    # The rest lies at the ends of matches: a run that occurs once, whose suffix occurs again. All strings of such a
-    # suffix are compared; runs that occur again are there once, for the others to be found in.
+    # The rest lies at the ends of matches: a run that occurs once, whose suffix occurs again. The strings of such
+    # suffixes are compared, by blocks and, where a block's core is found again but not the block, one by one; runs that
+    # occur again take part once, for the others to be found in.
     first = F.min(F.struct("t0", "t1", "place")).alias("p")
     open_runs = marked.where("not settled").groupBy("suffix", "run").agg(first, F.max(F.col("n") == 1).alias("single"))
     listed = open_runs.groupBy("p.t0", "p.t1").agg(F.collect_list(F.struct("p.place", "suffix", "single")).alias("places"))
     listed = written(listed, "listed")
     sources = texts.withColumns(text_keys(F.col("text"))).join(listed.select("t0", "t1"), ["t0", "t1"], "left_semi").groupBy("t0", "t1").agg(F.first("text").alias("text"))
-    strings = written(_strings(sources.join(listed, ["t0", "t1"]), length), "strings")
-    again = strings.groupBy("suffix", "string").agg(F.count("*").alias("n")).where("n > 1").select("suffix", "string")
-    parts = strings.where("single").join(again, ["suffix", "string"]).select("t0", "t1", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    blocks = written(_blocks(sources.join(listed, ["t0", "t1"]), length), "blocks")
+    counts = blocks.groupBy("core", "whole").agg(F.count("*").alias("n"), F.max("single").alias("any"))
+    cores = counts.groupBy("core").agg(F.sum("n").alias("held"), F.min(F.when(F.col("any"), F.col("n"))).alias("least"))
+    judged = counts.join(cores.where("held > 1 and least is not null"), "core").select("core", "whole", (F.col("n") > 1).alias("again"), (F.col("least") == 1).alias("open"))
+    judged = written(judged, "judged")
+    known = blocks.join(judged.where("again"), ["core", "whole"]).where("single")
+    parts = known.select("t0", "t1", F.col("at").alias("start"), (F.col("at") + F.col("count") + (length - 1)).alias("end"))
+    wanted = blocks.join(judged.where("open"), ["core", "whole"])
+    strings = written(wanted.select("core", "t0", "t1", "at", (F.col("single") & ~F.col("again")).alias("single"), F.posexplode("strings").alias("k", "string")), "strings")
+    again = strings.groupBy("core", "string").agg(F.count("*").alias("n")).where("n > 1").select("core", "string")
+    some = strings.where("single").join(again, ["core", "string"]).select("t0", "t1", (F.col("at") + F.col("k")).alias("start"), (F.col("at") + F.col("k") + length).alias("end"))
+    parts = parts.union(some)
     spans = whole.union(parts).groupBy("t0", "t1").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = written(spans, "spans")
-    for df in (marked, listed, strings):
+    for df in (marked, listed, blocks, judged, strings):
         drop_written(df)
     release(texts.sparkSession)
     return spans
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = 3) -> DataFrame:
-    """(id, n_bytes, kept, spans) for every row: the UTF-8 bytes that are left, and the removed [start, end) spans, merged.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = 3, carry: bool = False) -> DataFrame:
+    """(id, n_bytes, kept, spans[, kept_text, row]) for every row: the UTF-8 bytes that are left, and the removed [start, end) spans, merged.
 
     A byte goes if a string of `length` bytes over it also starts anywhere else, in the same row or another; equal rows
     are elsewhere to each other. Strings are judged on the input. A null text is empty, shorter texts lose nothing.
-    kept is binary, since a span may end inside a character.
+    kept is binary, since a span may end inside a character. carry adds kept as text, without the bytes of cut characters,
+    and the whole input row as a struct.
 
     Each of `batches` parts of the table is sorted and scanned against the family's levels. Work and tables grow with
     the number of bytes; a passage in many texts costs rows in proportion to its occurrences, split over tasks.
@@ -204,6 +228,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = inputs(docs, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
     spans = repeated_spans(texts, length, batches)
+    if carry:
+        texts = inputs(docs, id_col, text_col, carry=True)
+    more = [f"kept_text string, row {texts.schema['row'].dataType.simpleString()}"] if carry else []
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -223,7 +250,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sizes.append(len(data))
                 kept.append(b"".join([*left, data[at:]]))
                 removed.append(merged)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["id", "n_bytes", "kept", "spans"])
+            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            names = ["id", "n_bytes", "kept", "spans"]
+            if carry:
+                columns += [pa.array([k.decode(errors="ignore") for k in kept], pa.string()), batch.column("row")]
+                names += ["kept_text", "row"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     keyed = texts.withColumns(text_keys(F.col("text")))
-    return keyed.join(spans.hint("shuffle_hash"), ["t0", "t1"], "left").select("id", "text", "spans").mapInArrow(cut, f"id {kind}, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
+    schema = ", ".join([f"id {kind}, n_bytes long, kept binary, spans array<struct<start: long, end: long>>", *more])
+    return keyed.join(spans.hint("shuffle_hash"), ["t0", "t1"], "left").drop("t0", "t1").mapInArrow(cut, schema)
