@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..config import Fuzzy
 from ..functions import text as tx
-from .stages import FOUND, KEYS
+from .stages import FOUND, KEYS, SIZES
 
 
 def tokens(messages: DataFrame, config: Fuzzy) -> DataFrame:
-    """(keys, token, start) for the tokens of a message that are long enough."""
-    rows = messages.select(*KEYS, F.explode(tx.alnum_tokens(F.lower("n"))).alias("t"))
-    return rows.select(*KEYS, F.col("t.piece").alias("token"), F.col("t.start").alias("start")).where(F.length("token") >= config.min_word_length)
+    """(keys, sizes, token, start) for the tokens of a message that are long enough."""
+    rows = messages.select(*KEYS, *SIZES, F.explode(tx.alnum_tokens(F.lower("n"))).alias("t"))
+    return rows.select(*KEYS, *SIZES, F.col("t.piece").alias("token"), F.col("t.start").alias("start")).where(F.length("token") >= config.min_word_length)
 
 
 def candidate_counts(words: DataFrame, distance: int) -> DataFrame:

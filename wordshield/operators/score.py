@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, Tier
@@ -43,8 +43,8 @@ def action_of(score: Column, tiers: tuple[Tier, ...]) -> Column:
 
 def scored(detections: DataFrame, keys: list[str], config: Config) -> DataFrame:
     """detections (keys, word, base_score, method, distance, word_count, ...) with final_score and tier."""
-    distinct = detections.groupBy(*keys).agg(F.count_distinct(F.lower("word")).alias("distinct_words"))
-    out = detections.join(distinct, keys)
+    distinct = F.size(F.collect_set(F.lower("word")).over(Window.partitionBy(*keys)))
+    out = detections.withColumn("distinct_words", distinct)
     score = final_score(F.col("base_score"), F.col("method"), F.col("distance"), F.col("word_count"), F.col("distinct_words"))
     return out.withColumn("final_score", score).withColumn("tier", tier_of(F.col("final_score"), config.tiers))
 

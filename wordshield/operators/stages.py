@@ -17,7 +17,9 @@ from .match import find_all
 KEYS = ["message_id", "text_key"]
 METHOD = {2: "exact", 3: "homoglyph", 4: "separator_bypass", 5: "leetspeak", 6: "repetition", 7: "leetspeak", 8: "repetition", 9: "fuzzy"}
 _VIEW = "struct<ord: int, kind: string, view: string, source: string, base: int, level: int>"
-FOUND = [*KEYS, "ord", "word", "base_score", "matched_form", "start", "end", "homoglyphs_detected", "distance"]
+#: What a message brings to each of its rows, so that no later step has to fetch it.
+SIZES = ["n_length", "word_count"]
+FOUND = [*KEYS, *SIZES, "ord", "word", "base_score", "matched_form", "start", "end", "homoglyphs_detected", "distance"]
 
 
 def patterns_of(words: DataFrame, config: Config) -> DataFrame:
@@ -72,8 +74,8 @@ def views(messages: DataFrame, config: Config) -> DataFrame:
         F.when(on("leetspeak") & changed, _leet_views(clean, 7)).otherwise(_none()),
         F.when(on("repetition") & changed, _run_views(clean, 8, config.repetition.threshold)).otherwise(_none()),
     ]
-    exploded = messages.select(*KEYS, "n", F.explode(F.concat(*(p.cast(f"array<{_VIEW}>") for p in parts))).alias("v"))
-    return exploded.select(*KEYS, "n", "v.*").where("view <> ''")
+    exploded = messages.select(*KEYS, *SIZES, "n", F.explode(F.concat(*(p.cast(f"array<{_VIEW}>") for p in parts))).alias("v"))
+    return exploded.select(*KEYS, *SIZES, "n", "v.*").where("view <> ''")
 
 
 def located(matches: DataFrame, config: Config) -> DataFrame:
@@ -118,25 +120,24 @@ def leet_fallback(messages: DataFrame, words: DataFrame, config: Config, variant
     on = _enabled("leetspeak", config.leetspeak.enabled, options)
     clean = tx.strip_keep_leet(n)
     both = F.concat(_leet_views(n, 5).cast(f"array<{_VIEW}>"), F.when(clean != n, _leet_views(clean, 7).cast(f"array<{_VIEW}>")).otherwise(_none()))
-    tokens = messages.where(on & n.rlike("[1|&]")).select(*KEYS, "n", F.explode(F.filter(both, lambda v: v["source"].rlike("[1|&]"))).alias("v")).select(*KEYS, "n", "v.*")
+    tokens = messages.where(on & n.rlike("[1|&]")).select(*KEYS, *SIZES, F.explode(F.filter(both, lambda v: v["source"].rlike("[1|&]"))).alias("v")).select(*KEYS, *SIZES, "v.*")
     missed = tokens.join(F.broadcast(words.select(F.col("word").alias("pattern"))), F.contains("view", F.col("pattern")), "left_anti")
-    readings = missed.select(*KEYS, "ord", "source", "base", F.posexplode(tx.leet_expansions(config.leetspeak.max_expansions)(F.col("source"))).alias("k", "reading"))
+    readings = missed.select(*KEYS, *SIZES, "ord", "source", "base", F.posexplode(tx.leet_expansions(config.leetspeak.max_expansions)(F.col("source"))).alias("k", "reading"))
     plain = words.select(F.col("word").alias("pattern"), "word", "base_score")
     found = find_all(readings, "reading", plain, variant)
     rank = F.struct(F.length("word").alias("length"), "k", (F.col("at") + F.length("word")).alias("until"), "word", "base_score", "reading")
-    best = found.groupBy(*KEYS, "ord", "base", F.length("source").alias("length")).agg(F.min(rank).alias("b"))
-    return best.select(*KEYS, "ord", "b.word", "b.base_score", F.col("b.reading").alias("matched_form"), F.col("base").alias("start"), (F.col("base") + F.col("length")).alias("end"), F.array().cast("array<array<string>>").alias("homoglyphs_detected"), F.lit(None).cast("int").alias("distance"))
+    best = found.groupBy(*KEYS, *SIZES, "ord", "base", F.length("source").alias("length")).agg(F.min(rank).alias("b"))
+    return best.select(*KEYS, *SIZES, "ord", "b.word", "b.base_score", F.col("b.reading").alias("matched_form"), F.col("base").alias("start"), (F.col("base") + F.col("length")).alias("end"), F.array().cast("array<array<string>>").alias("homoglyphs_detected"), F.lit(None).cast("int").alias("distance"))
 
 
-def resolved(found: DataFrame, messages: DataFrame) -> DataFrame:
+def resolved(found: DataFrame) -> DataFrame:
     """found, one row a (word, start, end, method): each word only from its first stage, and of messages that exact matches cover nothing else.
 
     Coverage adds up exact matches' lengths, overlaps counted each time.
     """
-    sized = found.join(messages.select(*KEYS, F.greatest(F.length("n"), F.lit(1)).alias("n_length")), KEYS)
     per_message, per_word = Window.partitionBy(*KEYS), Window.partitionBy(*KEYS, "word")
     exact = F.sum(F.when(F.col("ord") == 2, F.col("end") - F.col("start")).otherwise(0)).over(per_message)
-    kept = sized.withColumns({"covered": exact >= F.col("n_length"), "earliest": F.min("ord").over(per_word)})
+    kept = found.withColumns({"covered": exact >= F.col("n_length"), "earliest": F.min("ord").over(per_word)})
     kept = kept.where((F.col("ord") == F.col("earliest")) & ((F.col("ord") == 2) | ~F.col("covered")))
     method = F.create_map(*(F.lit(x) for k, v in METHOD.items() for x in (k, v)))
     return kept.withColumn("method", F.element_at(method, F.col("ord"))).dropDuplicates([*KEYS, "word", "start", "end", "method"]).select(*FOUND, "method", "covered")

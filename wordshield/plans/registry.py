@@ -334,14 +334,14 @@ _KEPT = "r as (select distinct * exclude (earliest, covered, n) from (select a.*
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = prepared(conversations(spark, sf_dir, *_MIXED), CONFIG)
     seen = stages.views(ready, CONFIG).where("ord <= 3")
-    return stages.resolved(stages.located(find_all(seen, "view", stages.patterns_of(words(spark), CONFIG), kind="kind"), CONFIG), ready)
+    return stages.resolved(stages.located(find_all(seen, "view", stages.patterns_of(words(spark), CONFIG), kind="kind"), CONFIG))
 
 
 @query(f"with {sql_messages(('the', 'the the the'))}, {_FOUND}, {_COVER} select message_id, covered from c")
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = prepared(conversations(spark, sf_dir, ("the", "the the the")), CONFIG)
     seen = stages.views(ready, CONFIG).where("ord = 2")
-    found = stages.resolved(stages.located(find_all(seen, "view", stages.patterns_of(words(spark), CONFIG), kind="kind"), CONFIG), ready)
+    found = stages.resolved(stages.located(find_all(seen, "view", stages.patterns_of(words(spark), CONFIG), kind="kind"), CONFIG))
     looked = stages.views(ready, CONFIG).where("ord = 3")
     alike = stages.located(find_all(looked, "view", stages.patterns_of(words(spark), CONFIG), kind="kind"), CONFIG)
     both = alike.select("message_id", F.lit(False).alias("covered")).union(found.select("message_id", "covered"))
@@ -361,8 +361,7 @@ _ACTION = "case when {x} >= 1.0 then 'block' when {x} >= 0.8 then 'warn' when {x
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = prepared(conversations(spark, sf_dir, *_MIXED), CONFIG).select(*stages.KEYS, "word_count")
-    return score.scored(_resolved(spark, sf_dir).join(counts, stages.KEYS), stages.KEYS, CONFIG)
+    return score.scored(_resolved(spark, sf_dir), stages.KEYS, CONFIG)
 
 
 @query(f"with {sql_messages(*_MIXED)}, {_FOUND}, {_COVER}, {_KEPT}, {_COUNTS}, {_SCORED} select message_id, word, start, \"end\", round(final_score, 9) as final_score, {_TIER.format(x='final_score')} as tier from s")
@@ -388,7 +387,7 @@ def tier_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage over the conversations, one report a message: golden cases and a plain model hold it in the tests."""
-    result = scan(conversations(spark, sf_dir, ("thing", "th1ng"), (" the ", " t.h.e ")), word_list(spark))
+    result = scan(conversations(spark, sf_dir, ("thing", "th1ng"), (" the ", " t.h.e ")), word_list(spark), unique=True)
     s = "summary."
     return result.reports.select("message_id", *(s + x for x in ("total_detections", "distinct_words", "highest_score", "average_score", "tier", "action")))
 

@@ -17,18 +17,19 @@ from ..sources.lexicon import Lexicon
 KEYS = stages.KEYS
 
 
-def prepared(messages: DataFrame, config: Config, id_col: str = "message_id", text_col: str = "text") -> DataFrame:
-    """(message_id, text_key, text, n, word_count[, options]): truncated, normalised texts.
+def prepared(messages: DataFrame, config: Config, id_col: str = "message_id", text_col: str = "text", unique: bool = False) -> DataFrame:
+    """(message_id, text_key, text, n, n_length, word_count[, options]): truncated, normalised texts.
 
-    Rows of one id and text are one message. A null or empty id becomes a hash of the text; a null text is empty.
+    Rows of one id and text are one message; unique says that there are none, which saves shuffling the texts. A null or empty id becomes a hash of the text; a null text is empty.
     """
     text = tx.truncate(F.coalesce(F.col(text_col), F.lit("")), config.max_message_length)
     more = ["options"] if "options" in messages.columns else []
     rows = messages.select(F.col(id_col).cast("string").alias("message_id"), text.alias("text"), *more)
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     rows = rows.withColumn("message_id", F.coalesce(F.nullif("message_id", F.lit("")), F.concat(F.lit("m-"), F.sha1("text"))))
-    rows = rows.dropDuplicates(KEYS)
-    return rows.select(*KEYS, "text", tx.normalize(F.col("text"), config.case_sensitive).alias("n"), tx.word_count(F.col("text")).alias("word_count"), *more)
+    rows = rows if unique else rows.dropDuplicates(KEYS)
+    rows = rows.withColumn("n", tx.normalize(F.col("text"), config.case_sensitive))
+    return rows.select(*KEYS, "text", "n", F.greatest(F.length("n"), F.lit(1)).alias("n_length"), tx.word_count(F.col("text")).alias("word_count"), *more)
 
 
 @dataclass(frozen=True)
@@ -50,10 +51,10 @@ def staged(messages: DataFrame, words: DataFrame, config: Config, variant: str =
     found = stages.located(find_all(seen, "view", stages.patterns_of(words, config), variant, kind="kind"), config)
     if config.leetspeak.enabled or "options" in messages.columns:
         found = found.unionByName(stages.leet_fallback(messages, words, config, variant))
-    return stages.resolved(found, messages)
+    return stages.resolved(found)
 
 
-def scan(messages: DataFrame, lexicon: Lexicon, config: Config | None = None, *, id_col: str = "message_id", text_col: str = "text", variant: str = "auto", with_tags: bool = False, keep: bool = True) -> ScanResult:
+def scan(messages: DataFrame, lexicon: Lexicon, config: Config | None = None, *, id_col: str = "message_id", text_col: str = "text", variant: str = "auto", with_tags: bool = False, keep: bool = True, unique: bool = False) -> ScanResult:
     """Find the words of the list, plain and disguised, in every message.
 
     detections: one row each, scored; reports: one row a message with its detections (by stage, end, start, word), summary
@@ -62,7 +63,7 @@ def scan(messages: DataFrame, lexicon: Lexicon, config: Config | None = None, *,
     """
     config = config or Config()
     words = lexicon.patterns()
-    ready = prepared(messages, config, id_col, text_col)
+    ready = prepared(messages, config, id_col, text_col, unique)
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK) if keep else ready
     found = staged(ready, words, config, variant)
     found = found.persist(StorageLevel.MEMORY_AND_DISK) if keep else found
@@ -83,7 +84,7 @@ def scan(messages: DataFrame, lexicon: Lexicon, config: Config | None = None, *,
         out = out.join(F.broadcast(words.select("word", "tags")), "word")
     else:
         out = out.withColumn("tags", tags)
-    out = score.scored(out.join(ready.select(*KEYS, "word_count"), KEYS), KEYS, config)
+    out = score.scored(out, KEYS, config)
     fields = ["word", "matched_form", "start", "end", "base_score", "final_score", "method", "sub_methods", "homoglyphs_detected", "distance", "tags", "tier"]
     detections = out.select(*KEYS, "ord", *fields)
     listed = detections.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ord", "end", "start", "word", F.struct(*fields).alias("d")))).alias("all"))
