@@ -208,6 +208,10 @@ def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     kind = texts.schema["id"].dataType.simpleString()
     item = pa.struct([("family", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])
 
+    # which template has which telling pair, and how many it has
+    held = np.stack([np.isin(model.vocabulary, t) for _, t in model.templates])
+    pairs = np.maximum(1, held.sum(1))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         likely = np.zeros(1 << 16, bool)
         likely[(model.vocabulary >> np.uint64(48)).astype(np.int64)] = True
@@ -216,21 +220,27 @@ def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
             counts, findings = [], [[] for _ in data]
             for a, b in chunks(data):
                 g = paragraph_grams(data[a:b])
-                n = len(g["text"])
                 counts.append(np.bincount(g["text"], minlength=b - a))
-                telling = likely[(g["gram"] >> np.uint64(48)).astype(np.int64)] & ~g["first"]
-                telling[telling] = np.isin(g["gram"][telling], model.vocabulary)
-                some = np.bincount(g["of_line"], weights=telling, minlength=n)
-                for line in np.flatnonzero(some >= 1).tolist():  # the others share no pair with any template
-                    own = np.unique(g["gram"][g["of_line"] == line])
-                    p = model.probabilities(g["gram"][g["of_line"] == line], np.zeros((g["of_line"] == line).sum(), int), 1)[0]
-                    near = any(len(np.intersect1d(own, t)) >= 0.34 * len(t) for _, t in model.templates)
-                    best = 1 + int(np.argmax(p[1:]))
-                    if not near and p[0] >= p[best]:
-                        continue
-                    share = p[best] / max(1e-12, 1 - p[0])
-                    sure = share >= model.unknown_below and model.confirmed(own, best, confirm)
-                    findings[a + int(g["text"][line])].append({"family": FAMILIES[best - 1] if sure else "unknown", "start": int(g["start"][line]), "end": int(g["end"][line]), "probability": float(share)})
+                telling = np.flatnonzero(likely[(g["gram"] >> np.uint64(48)).astype(np.int64)] & ~g["first"])
+                telling = telling[np.isin(g["gram"][telling], model.vocabulary)]
+                lines = np.unique(g["of_line"][telling])  # the others share no pair with any template
+                if not len(lines):
+                    continue
+                number = np.full(len(g["text"]), -1)
+                number[lines] = np.arange(len(lines))
+                of = number[g["of_line"]]
+                gram, of = g["gram"][of >= 0], of[of >= 0]
+                p = model.probabilities(gram, of, len(lines))
+                seen = np.unique(np.stack((number[g["of_line"][telling]], np.searchsorted(model.vocabulary, g["gram"][telling]))), axis=1)
+                shared = np.zeros((len(lines), len(pairs)))
+                np.add.at(shared, seen[0], held[:, seen[1]].T)
+                near = (shared >= 0.34 * pairs).any(1)
+                best = 1 + np.argmax(p[:, 1:], 1)
+                for k in np.flatnonzero(near | (p.max(1) > p[:, 0])).tolist():
+                    share = p[k, best[k]] / max(1e-12, 1 - p[k, 0])
+                    sure = share >= model.unknown_below and model.confirmed(np.unique(gram[of == k]), int(best[k]), confirm)
+                    line = int(lines[k])
+                    findings[a + int(g["text"][line])].append({"family": FAMILIES[best[k] - 1] if sure else "unknown", "start": int(g["start"][line]), "end": int(g["end"][line]), "probability": float(share)})
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64)), pa.array(findings, pa.list_(item))], ["id", "n_paragraphs", "findings"])
 
     return texts.mapInArrow(scan, f"id {kind}, n_paragraphs long, findings array<struct<family: string, start: long, end: long, probability: double>>")
