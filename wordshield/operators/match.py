@@ -97,3 +97,28 @@ def find_all(texts: DataFrame, col: str, patterns: DataFrame, variant: str = "au
 def has_match(texts: DataFrame, col: str, patterns: DataFrame) -> DataFrame:
     """The rows of texts whose col holds a pattern."""
     return texts.join(F.broadcast(patterns.select("pattern").distinct()), F.contains(F.col(col), F.col("pattern")), "left_semi")
+
+
+def lacks_match(texts: DataFrame, col: str, patterns: DataFrame, variant: str = "auto") -> DataFrame:
+    """The rows of texts whose col holds none of the patterns; long lists are looked up with the automaton."""
+    names = patterns.select("pattern").distinct()
+    count = names.limit(MOST_PATTERNS + 1).count()
+    if count > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    if variant == "split" or variant == "auto" and count <= SPLIT_UP_TO:
+        return texts.join(F.broadcast(names), F.contains(F.col(col), F.col("pattern")), "left_anti")
+    listed = [r["pattern"] for r in names.collect()]  # bounded
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        trie = ahocorasick.Automaton()
+        for p in listed:
+            trie.add_word(p, p)
+        if listed:
+            trie.make_automaton()
+        for batch in batches:
+            free = [not listed or next(trie.iter(t or ""), None) is None for t in batch.column(col).to_pylist()]
+            yield batch.filter(pa.array(free, pa.bool_()))
+
+    return texts.mapInArrow(keep, texts.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as tx
-from .match import find_all
+from .match import find_all, lacks_match
 
 KEYS = ["message_id", "text_key"]
 METHOD = {2: "exact", 3: "homoglyph", 4: "separator_bypass", 5: "leetspeak", 6: "repetition", 7: "leetspeak", 8: "repetition", 9: "fuzzy"}
@@ -107,6 +107,7 @@ def located(matches: DataFrame, config: Config) -> DataFrame:
     pairs = F.filter(tx.homoglyph_pairs(F.col("n")), lambda p: F.contains(F.col("matched_form"), F.get(p, 0)))
     rows = rows.withColumns({"homoglyphs_detected": F.when(ord_ == 3, pairs).otherwise(F.array().cast("array<array<string>>")), "distance": F.lit(None).cast("int")})
     # once runs are collapsed to one, only the first match of a word that the longer runs didn't show
+    rows = rows.repartition(*KEYS)  # the one shuffle of all matches: the windows here and in resolved() share it
     mine = Window.partitionBy(*KEYS, "ord", "word")
     long = F.max((level > 1).cast("int")).over(mine)
     nth = F.row_number().over(mine.orderBy("last", "at", "pattern"))
@@ -121,7 +122,7 @@ def leet_fallback(messages: DataFrame, words: DataFrame, config: Config, variant
     clean = tx.strip_keep_leet(n)
     both = F.concat(_leet_views(n, 5).cast(f"array<{_VIEW}>"), F.when(clean != n, _leet_views(clean, 7).cast(f"array<{_VIEW}>")).otherwise(_none()))
     tokens = messages.where(on & n.rlike("[1|&]")).select(*KEYS, *SIZES, F.explode(F.filter(both, lambda v: v["source"].rlike("[1|&]"))).alias("v")).select(*KEYS, *SIZES, "v.*")
-    missed = tokens.join(F.broadcast(words.select(F.col("word").alias("pattern"))), F.contains("view", F.col("pattern")), "left_anti")
+    missed = lacks_match(tokens, "view", words.select(F.col("word").alias("pattern")), variant)
     readings = missed.select(*KEYS, *SIZES, "ord", "source", "base", F.posexplode(tx.leet_expansions(config.leetspeak.max_expansions)(F.col("source"))).alias("k", "reading"))
     plain = words.select(F.col("word").alias("pattern"), "word", "base_score")
     found = find_all(readings, "reading", plain, variant)
