@@ -8,24 +8,42 @@ from pyspark.sql import functions as F
 from .common import drop_written, written
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, label) for every node of links (a, b): label is the smallest node that it is connected with.
 
     Each round takes the smallest label among the neighbours, then the label of that label, so chains halve; a round
     that changes nothing ends it. Links stay in tables of the shared folder; only a count comes to the driver.
+    most_rounds ends it earlier: nodes of one label are then still connected, but connected nodes may have several.
     """
     pairs = links.select("a", "b").where("a <> b")
     both = written(pairs.union(pairs.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+    rounds = 0
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("least"))
-        step = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
+        step = written(labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "least").alias("label")), "step")
         up = step.select(F.col("node").alias("via"), F.col("label").alias("top"))
-        step = step.join(up, step.label == up.via, "left").select("node", "old", F.coalesce("top", "label").alias("label"))
-        step = written(step, "labels")
-        changed = step.where("label <> old").limit(1).count()
+        jumped = written(step.join(up, F.col("label") == F.col("via"), "left").select("node", "old", F.coalesce("top", "label").alias("label")), "labels")
+        rounds += 1
+        done = rounds == most_rounds or not jumped.where("label <> old").limit(1).count()
         drop_written(labels)
-        labels = step.select("node", "label")
-        if not changed:
+        drop_written(step)
+        labels = jumped.select("node", "label")
+        if done:
             drop_written(both)
             return labels
+
+
+def refined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) of connected_components(), maybe of fewer links or cut short, brought up to all links (a, b).
+
+    Links become links between labels; usually few are left, and only those take rounds.
+    """
+    to = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    between = links.select("a", "b").join(to("a"), "a", "left").join(to("b"), "b", "left")
+    between = written(between.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a <> b").distinct(), "between")
+    ends = labels.union(links.select("a", "a")).union(links.select("b", "b")).groupBy("node").agg(F.min("label").alias("label"))
+    if not between.limit(1).count():
+        return ends
+    tops = connected_components(between).select(F.col("node").alias("of"), F.col("label").alias("top"))
+    return ends.join(tops, F.col("label") == F.col("of"), "left").select("node", F.coalesce("top", "label").alias("label"))

@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, inputs, text_keys, written
-from .components import connected_components
+from .common import drop_written, inputs, release, text_keys, written
+from .components import connected_components, refined
 from .kernels import LOWER, RangeHash, chunks, joined, mix, words
 
 
+BITMAP = 16
+
+
 def _permuted(x: np.ndarray, out: np.ndarray) -> np.ndarray:
     """The second permutation, of the 32-bit values; works in place on x."""
     np.right_shift(x, 16, out=out)
@@ -78,13 +81,16 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(id, t0, t1, n_shingles, bands) of inputs(); bands holds one 64-bit value for each band, none for an empty set."""
+    """(id, t0, t1, n_shingles, bands, bitmap) of inputs(); bands holds one 64-bit value for each band, none for an empty set.
+
+    bitmap: BITMAP times 64 bits, set where the hash of one of the set's shingles falls.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            counts, keys = [], []
+            counts, keys, maps = [], [], []
             for a, b in chunks(texts):
                 values, starts = shingle_sets(texts[a:b], width)
                 n = np.diff(starts)
@@ -93,15 +99,19 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 key = np.full((len(some) - 1, bands), 1, np.uint64) * np.arange(1, bands + 1, dtype=np.uint64)
                 for j in range(rows):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, j::rows])
+                bits = np.zeros((b - a, BITMAP * 64), np.uint8)
+                bits[np.repeat(np.arange(b - a), n), (values % np.uint64(BITMAP * 64)).astype(np.int64)] = 1
+                maps.append(np.packbits(bits, axis=1).view(">i8").astype(np.int64).ravel())
                 counts.append(n)
                 keys.append(key.view(np.int64).ravel())
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             offsets = np.zeros(len(n) + 1, np.int32)
             np.cumsum(np.where(n > 0, bands, 0), out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(x) for x in ("id", "t0", "t1")] + [pa.array(n, pa.int64()), lists], ["id", "t0", "t1", "n_shingles", "bands"])
+            fixed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(maps) if maps else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(x) for x in ("id", "t0", "t1")] + [pa.array(n, pa.int64()), lists, fixed], ["id", "t0", "t1", "n_shingles", "bands", "bitmap"])
 
-    return docs.withColumns(text_keys(F.col("text"))).mapInArrow(sign, f"id {kind}, t0 long, t1 long, n_shingles long, bands array<long>")
+    return docs.withColumns(text_keys(F.col("text"))).mapInArrow(sign, f"id {kind}, t0 long, t1 long, n_shingles long, bands array<long>, bitmap array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -131,8 +141,69 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(check, "a long, b long")
 
 
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Whether the sets of the nodes a and b (structs n, bitmap) can be similar enough; only ever wrong by saying yes.
+
+    A bit that only one bitmap has is an element that the other set lacks, so it bounds the intersection from above.
+    """
+    missing = lambda p, q: sum((F.bit_count(F.get(f"{p}.bitmap", F.lit(k)).bitwiseAND(F.bitwise_not(F.get(f"{q}.bitmap", F.lit(k))))) for k in range(BITMAP)), F.lit(0))
+    most = F.least(F.col(f"{a}.n") - missing(a, b), F.col(f"{b}.n") - missing(b, a))
+    return most * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - most) * percent
+
+
+def _linked(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, all_pairs_up_to: int = 16, centres: int = 12) -> DataFrame:
+    """(node, label): components of the verified links between members (bucket, node) of shared buckets.
+
+    Buckets of at most all_pairs_up_to members give all their pairs. Each larger one names a member by hash as its
+    centre, and its members try at most `centres` of their buckets' centres; that connects nearly all of a large group of
+    near copies with a few pairs a member. What is left are pairs of one bucket that aren't connected yet; all of
+    those are tried, so no link is lost. A pair is verified only if its bitmaps allow the similarity, which the joins
+    themselves check: pairs that don't are never rows.
+    """
+    about = nodes.select("node", F.struct("n", "bitmap").alias("about"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "bucket"), "node")).alias("centre"))
+    sized = members.join(sizes, "bucket").select("bucket", "node", "size", F.col("centre.node").alias("centre"))
+    sized = written(sized.join(about, "node"), "sized")
+
+    def side(df: DataFrame, k: str, *more: str) -> DataFrame:
+        return df.select("bucket", F.col("node").alias(k), F.col("about").alias(f"about_{k}"), *(F.col(m).alias(f"{m}_{k}") for m in more))
+
+    low, high = sized.where(F.col("size") <= all_pairs_up_to), sized.where(F.col("size") > all_pairs_up_to)
+    same, possible = (F.col("left.bucket") == F.col("right.bucket")) & (F.col("a") < F.col("b")), _possible("about_a", "about_b", percent)
+    pairs = side(low, "a").alias("left").join(side(low, "b").alias("right"), same & possible).select("a", "b")
+
+    pick = Window.partitionBy("node").orderBy(F.xxhash64("node", "centre"))
+    stars = high.where(F.col("node") != F.col("centre")).groupBy("node", "centre").agg(F.first("about").alias("about_a"))
+    stars = stars.withColumn("k", F.row_number().over(pick)).where(F.col("k") <= centres)
+    stars = stars.join(about.select(F.col("node").alias("centre"), F.col("about").alias("about_b")), "centre")
+    stars = stars.where(possible).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    tried = written(pairs.union(stars).distinct(), "pairs")
+    links = written(verified(tried, texts, width, percent), "verified")
+    if not high.limit(1).count():
+        labels = connected_components(links)
+        made = [sized, tried, links]
+    else:
+        early = connected_components(links, most_rounds=2)
+        known = high.join(early, "node", "left").select("bucket", "node", "about", F.coalesce("label", "node").alias("label"))
+        mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        short = lambda x: F.pmod(x, F.lit(2_147_483_647)).cast("int")
+        bands = nodes.select("node", F.transform("bands", short).alias("bands"))
+        known = known.join(mixed, "bucket").join(bands, "node").withColumn("earlier", F.slice("bands", 1, F.array_position("bands", short(F.col("bucket"))).cast("int") - 1))
+        known = written(known.drop("bands"), "mixed")
+        # the cheaper tests first; the last one lets a pair through only in the first bucket that it shares
+        apart = same & (F.col("label_a") != F.col("label_b")) & possible & ~F.arrays_overlap("earlier_a", "earlier_b")
+        rest = side(known, "a", "label", "earlier").alias("left").join(side(known, "b", "label", "earlier").alias("right"), apart).select("a", "b").distinct()
+        rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = written(verified(rest, texts, width, percent), "verified")
+        labels = written(refined(early, links.union(more)), "labels")
+        made = [sized, tried, links, early, known, rest, more]
+    for df in made:
+        drop_written(df)
+    return labels
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row.
+    """(id, n_shingles, component_id, kept, t0, t1) for every row; t0 and t1 are the text's key.
 
     Two texts are linked if the Jaccard similarity of their sets of `width`-word shingles is at least percent / 100;
     component_id is the smallest id that links reach, kept says that it is the row's own. A text without words (null
@@ -140,44 +211,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a group of null ids alone has a null component and is kept.
 
     Equal texts become one node first, so groups of copies cost one row. Nodes that share a band (a pair at 0.8 misses
-    all 40 bands of 5 with chance 1e-7) are candidates: first each node with the smallest node of any of its buckets,
-    then, bucket by bucket, only nodes whose components still differ, so a group of near copies costs about a link a
-    member and not all pairs. Candidates whose sizes rule the similarity out go; the rest are verified on full texts.
+    all 40 bands of 5 with chance 1e-7) are candidates; candidates whose sizes rule the similarity out go, the rest are
+    verified on full texts, without forming all pairs of a large group (see _linked).
     """
     texts = inputs(docs, id_col, text_col)
     signed = written(signatures(texts, width, bands, rows), "signed")
-    nodes = signed.where("n_shingles > 0").groupBy("t0", "t1").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = signed.where("n_shingles > 0").groupBy("t0", "t1").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bitmap").alias("bitmap"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bucketed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = bucketed.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre <> other")
-    members = written(bucketed.join(shared, "bucket").select("bucket", "node", "n", "centre"), "members")
-
-    wanted = members.select("node").distinct().join(nodes.select("node", "t0", "t1"), "node")
+    bucketed = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = bucketed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
+    members = written(bucketed.join(shared, "bucket"), "members")
+    wanted = nodes.select("node", "t0", "t1").join(members.select("node").distinct(), "node", "left_semi")
     found = texts.withColumns(text_keys(F.col("text"))).join(wanted, ["t0", "t1"]).groupBy("node").agg(F.first("text").alias("text"))
     found = written(found, "texts")
-
-    def fits(a: str, b: str):
-        return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-
-    stars = members.where("centre <> node").groupBy("node", "n").agg(F.min("centre").alias("a"))
-    stars = stars.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").where(fits("n", "n_a")).select("a", F.col("node").alias("b"))
-    links = written(verified(stars, found, width, percent), "verified")
-    labels = connected_components(links)
-    known = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    known = written(known.join(mixed, "bucket").drop("high"), "mixed")
-    # members outside a bucket's first component, with everything in the bucket that isn't in their own
-    outside = known.where("label <> low").select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    inside = known.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), "low")
-    pairs = inside.join(outside, "bucket").where("label_a <> label_b and (label_a = low or a < b)").where(fits("n_a", "n_b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(verified(pairs, found, width, percent), "verified")
-    labels = connected_components(links.select("a", "b").union(more))
-    drop_written(known)
+    labels = _linked(members, nodes, found, width, percent)
     least = nodes.join(labels, "node", "left").select("t0", "t1", "id", F.coalesce("label", "node").alias("label"))
     groups = least.groupBy("label").agg(F.min("id").alias("component_id"))
     verdict = least.join(groups, "label").select("t0", "t1", "component_id")
     out = signed.select("id", "t0", "t1", "n_shingles").join(verdict, ["t0", "t1"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select("id", "n_shingles", own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    out = written(out.select("id", "n_shingles", own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"), "t0", "t1"), "near_duplicates")
+    for df in (signed, nodes, members, found, labels):
+        drop_written(df)
+    release(docs.sparkSession)
+    return out
