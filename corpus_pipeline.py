@@ -12,8 +12,9 @@ from wordshield.llm.common import text_keys, written
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with its text's key as _t0 and _t1; a null text counts as empty."""
-    return docs.withColumns({f"_{k}": v for k, v in text_keys(F.coalesce("text", F.lit(""))).items()})
+    """(row, id, t0, t1): each document whole, so that none of its columns can clash, with its text's key; a null text counts as empty."""
+    keys = text_keys(F.coalesce("text", F.lit("")))
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), *(v.alias(k) for k, v in keys.items()))
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,23 +24,24 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (its smallest doc_id); of equal rows one stays."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("id").alias("_id"), F.col("t0").alias("_u0"), F.col("t1").alias("_u1")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t0") == F.col("_u0")) & (F.col("_t1") == F.col("_u1"))
-    return _keyed(docs).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_t0", "_t1"]).select(*docs.columns)
+    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("id").alias("kept_id"), F.col("t0").alias("kept_t0"), F.col("t1").alias("kept_t1")).distinct()
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("t0") == F.col("kept_t0")) & (F.col("t1") == F.col("kept_t1"))
+    return _keyed(docs).join(kept, same, "left_semi").dropDuplicates(["id", "t0", "t1"]).select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the bytes of repeated 200-byte strings; characters that a cut splits go too."""
-    out = suffix_dedup.remove_repeats(docs, carry=True).select("row.*", "kept_text")
-    new = {"text": F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.col("kept_text")), "n_chars": F.length("kept_text").cast("long")}
-    return out.withColumns({k: v for k, v in new.items() if k in docs.columns}).select(*docs.columns)
+    out = suffix_dedup.remove_repeats(docs, carry=True)
+    text = F.when(F.col("row.text").isNotNull(), F.col("kept_text"))
+    new = {"text": text, "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without too large a share of benchmark passages."""
     found = decontamination.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
-    dirty = found.where("contaminated").select(F.col("t0").alias("_t0"), F.col("t1").alias("_t1")).distinct()
-    return _keyed(docs).join(dirty, ["_t0", "_t1"], "left_anti").select(*docs.columns)
+    dirty = found.where("contaminated").select("t0", "t1").distinct()
+    return _keyed(docs).join(dirty, ["t0", "t1"], "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wordshield.llm import chat_format, decontamination, license_scan, near_dedup, packing, quality_classifier, quality_rules, queries, sharding, suffix_dedup, token_counts
-from wordshield.llm.components import connected_components
+from wordshield.llm.components import connected_components, refined
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{k}" for k in range(400))
@@ -174,6 +174,10 @@ def test_connected_components(spark):
     links = [(k, k + 1) for k in range(200, 260)] + [(5, 9), (9, 7), (7, 5), (5, 5), (1, 300)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 200 for k in range(200, 261)}, 5: 5, 7: 5, 9: 5, 1: 1, 300: 1}
+    for rounds in (1, 2):
+        table = spark.createDataFrame(links + [(260, 5), (800, 801)], "a long, b long")
+        early = connected_components(spark.createDataFrame(links, "a long, b long"), most_rounds=rounds)
+        assert {r["node"]: r["label"] for r in refined(early, table).collect()} == {**{k: 5 for k in (*range(200, 261), 5, 7, 9)}, 1: 1, 300: 1, 800: 800, 801: 800}
 
 
 def brute_repeats(rows, length=200):

@@ -67,7 +67,8 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +103,32 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_quality_rules, op4_best_fit_packing, op5_near_dedup, op6_license_scan, op7_sharding, op8_token_counts, op9_quality_classifier, op10_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _sql_words(gaps: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{gaps}'), lambda x: x <> '')"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+with d as (select doc_id, {_sql_words("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} as w from documents),
+i as (select item_id::varchar as item, {_sql_words("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} as w from benchmark),
+x as (select distinct item, array_to_string(w[k::int:k::int + 12], ' ') as win, least(len(w), 13) as n from (select item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as k from i where len(w) > 0)),
+p as (select doc_id, n, k, array_to_string(w[k::int:(k + n - 1)::int], ' ') as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from x))),
+h as (select doc_id, k, p.n, item from p join x using (win, n)),
+c as (select doc_id, count(distinct k + j) as n_hit from (select doc_id, k, unnest(range(0, n)) as j from h) group by 1),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from h) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join c using (doc_id) left join t using (doc_id)""",
+    "op5_near_dedup": f"""
+with recursive d as (select doc_id, {_sql_words("[\\x09-\\x0D\\x20]+")} as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) < 2 then [w] else list_transform(range(1, len(w)), lambda k: [w[k::int], w[k::int + 1]]) end) as g from d where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by 1),
+b as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from b join n p on p.doc_id = x join n q on q.doc_id = y where 100 * shared >= 80 * (p.n + q.n - shared)),
+l as (select x, y from e union all select y, x from e),
+r(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, l.y from r join l on l.x = r.other),
+c as (select doc_id, min(other) as component_id from r group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from c left join n using (doc_id)""",
+}
