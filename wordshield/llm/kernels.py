@@ -77,6 +77,13 @@ def chunks(texts: list[bytes], most: int = 100_000) -> Iterator[tuple[int, int]]
         yield first, len(texts)
 
 
+def sliced(batches: Iterator, rows: int = 512) -> Iterator:
+    """The record batches in pieces of a few hundred rows, so that Python copies of their texts stay small."""
+    for batch in batches:
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """One buffer with a blank after each text, and each text's start in it (and the end of all)."""
     starts = np.zeros(len(texts) + 1, np.int64)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import inputs
-from .kernels import LOWER, RangeHash, chunks, joined, mix
+from .kernels import LOWER, RangeHash, chunks, joined, mix, sliced
 
 # Notices of licence families, as their publishers word them or as projects commonly do.
 TEMPLATES: dict[str, list[str]] = {
@@ -215,7 +215,7 @@ def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         likely = np.zeros(1 << 16, bool)
         likely[(model.vocabulary >> np.uint64(48)).astype(np.int64)] = True
-        for batch in batches:
+        for batch in sliced(batches):
             data = [t.encode() for t in batch.column("text").to_pylist()]
             counts, findings = [], [[] for _ in data]
             for a, b in chunks(data):

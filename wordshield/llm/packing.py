@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
+from .kernels import sliced
 
 
 def load_ranks(ranks_path: str, pattern: str, end_of_text: tuple[str, int]):
@@ -40,7 +41,7 @@ def encode_pieces(docs: DataFrame, ranks_path: str, pattern: str, end_of_text: t
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_ranks(ranks_path, pattern, end_of_text)
         names = {end_of_text[0]}
-        for batch in batches:
+        for batch in sliced(batches):
             rows: dict[str, list] = {x: [] for x in ("at", "piece", "start", "length", "ids")}
             size = 0
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import inputs
-from .kernels import RangeHash, chunks, joined, mix, words
+from .kernels import RangeHash, chunks, joined, mix, sliced, words
 
 PASSAGE_WORDS = 64
 #: Classes of bytes: lower case, upper case, digits, beyond ASCII, blanks, line ends, other control bytes; each other ASCII character is its own.
@@ -116,7 +116,7 @@ def fit(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, encoding: int = 2
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         blobs = []
         texts = [t.encode() for t in batch.column("text").to_pylist()]
         for a, b in chunks(texts):
@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     kind = texts.schema["id"].dataType.simpleString()
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data = [t.encode() for t in batch.column("text").to_pylist()]
             found = [model.scores(*passages(data[a:b])) if model else np.ones(b - a) for a, b in chunks(data)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(found) if found else np.zeros(0))], ["id", "score"])
@@ -167,7 +167,7 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float, text_col:
     """The rows of docs, with all columns, whose text scores at least threshold."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data = [(t or "").encode() for t in batch.column(text_col).to_pylist()]
             found = [model.scores(*passages(data[a:b])) if model else np.ones(b - a) for a, b in chunks(data)]
             yield batch.filter(pa.array(np.concatenate(found) >= threshold)) if found else batch

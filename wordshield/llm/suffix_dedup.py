@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, inputs, release, text_keys, written
-from .kernels import RangeHash, chunks, joined, mix
+from .kernels import RangeHash, chunks, joined, mix, sliced
 
 ANCHOR = 64
 BLOCK = 16
@@ -80,7 +80,7 @@ def suffix_runs(texts: DataFrame, length: int, batches: int) -> DataFrame:
     """(t0, t1, place, suffix, run, batch) for every run of every row of inputs()."""
 
     def sample(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in sliced(rows):
             data = [t.encode() for t in batch.column("text").to_pylist()]
             keys = [batch.column(x).to_numpy() for x in ("t0", "t1")]
             for a, b in chunks(data):
@@ -146,7 +146,7 @@ def _blocks(rows: DataFrame, length: int) -> DataFrame:
     """
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys = [batch.column(x).to_pylist() for x in ("t0", "t1")]
             for k, (text, places) in enumerate(zip(batch.column("text").to_pylist(), batch.column("places").to_pylist())):
                 buf = np.frombuffer(text.encode(), np.uint8)
@@ -233,7 +233,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = [f"kept_text string, row {texts.schema['row'].dataType.simpleString()}"] if carry else []
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in sliced(rows):
             sizes, kept, removed = [], [], []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 data = text.encode()

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import sliced
+
 #: A blank between two characters that aren't white space: the pre-tokenizer always begins a new piece there.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -59,7 +61,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _load(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             totals = [0] * len(texts)
             pieces: list[str] = []
