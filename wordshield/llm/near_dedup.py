@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, inputs, release, text_keys, written
 from .components import connected_components, refined
-from .kernels import LOWER, RangeHash, chunks, joined, mix, words
+from .kernels import LOWER, RangeHash, chunks, joined, mix, sliced, words
 
 
 BITMAP = 16
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             counts, keys, maps = [], [], []
             for a, b in chunks(texts):
@@ -128,7 +128,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 known[node] = set(zip(*(w[k:] for k in range(width)))) if len(w) >= width else {tuple(w)}
             return known[node]
 
-        for batch in batches:
+        for batch in sliced(batches):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
             for x, y, tx, ty in zip(a, b, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
@@ -151,19 +151,25 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return most * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - most) * percent
 
 
-def _linked(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, all_pairs_up_to: int = 16, centres: int = 12) -> DataFrame:
-    """(node, label): components of the verified links between members (bucket, node) of shared buckets.
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, size, centre, about) of every bucket that several nodes share; centre: one of them, by the bucket's hash."""
+    bucketed = nodes.select("node", F.explode("bands").alias("bucket"))
+    mask = F.xxhash64("bucket")
+    sizes = bucketed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.col("node").bitwiseXOR(mask)).alias("least")).where("size > 1")
+    shared = bucketed.join(sizes, "bucket").select("bucket", "node", "size", F.col("least").bitwiseXOR(mask).alias("centre"))
+    return shared.join(nodes.select("node", F.struct("n", "bitmap").alias("about")), "node")
+
 
-    Buckets of at most all_pairs_up_to members give all their pairs. Each larger one names a member by hash as its
+def _linked(sized: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, all_pairs_up_to: int = 16, centres: int = 12) -> DataFrame:
+    """(node, label): components of the verified links between nodes of one bucket, as _shared() lists them.
+
+    Buckets of at most all_pairs_up_to members give all their pairs. Each larger one has a member as its
     centre, and its members try at most `centres` of their buckets' centres; that connects nearly all of a large group of
     near copies with a few pairs a member. What is left are pairs of one bucket that aren't connected yet; all of
     those are tried, so no link is lost. A pair is verified only if its bitmaps allow the similarity, which the joins
     themselves check: pairs that don't are never rows.
     """
     about = nodes.select("node", F.struct("n", "bitmap").alias("about"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "bucket"), "node")).alias("centre"))
-    sized = members.join(sizes, "bucket").select("bucket", "node", "size", F.col("centre.node").alias("centre"))
-    sized = written(sized.join(about, "node"), "sized")
 
     def side(df: DataFrame, k: str, *more: str) -> DataFrame:
         return df.select("bucket", F.col("node").alias(k), F.col("about").alias(f"about_{k}"), *(F.col(m).alias(f"{m}_{k}") for m in more))
@@ -218,20 +224,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(signatures(texts, width, bands, rows), "signed")
     nodes = signed.where("n_shingles > 0").groupBy("t0", "t1").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bitmap").alias("bitmap"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bucketed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = bucketed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
-    members = written(bucketed.join(shared, "bucket"), "members")
-    wanted = nodes.select("node", "t0", "t1").join(members.select("node").distinct(), "node", "left_semi")
+    sized = written(_shared(nodes), "sized")
+    wanted = nodes.select("node", "t0", "t1").join(sized.select("node").distinct(), "node", "left_semi")
     found = texts.withColumns(text_keys(F.col("text"))).join(wanted, ["t0", "t1"]).groupBy("node").agg(F.first("text").alias("text"))
     found = written(found, "texts")
-    labels = _linked(members, nodes, found, width, percent)
+    labels = _linked(sized, nodes, found, width, percent)
     least = nodes.join(labels, "node", "left").select("t0", "t1", "id", F.coalesce("label", "node").alias("label"))
     groups = least.groupBy("label").agg(F.min("id").alias("component_id"))
     verdict = least.join(groups, "label").select("t0", "t1", "component_id")
     out = signed.select("id", "t0", "t1", "n_shingles").join(verdict, ["t0", "t1"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
     out = written(out.select("id", "n_shingles", own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"), "t0", "t1"), "near_duplicates")
-    for df in (signed, nodes, members, found, labels):
+    for df in (signed, nodes, found, labels):
         drop_written(df)
     release(docs.sparkSession)
     return out
