@@ -121,3 +121,11 @@ def test_query_equals_sql(spark, name):
     order = sorted(got.columns)
     clean = lambda rows: sorted(repr([round(x, 9) if isinstance(x, float) else str(x) for x in r]) for r in rows)
     assert clean(tuple(r[c] for c in order) for r in got.collect()) == clean(want.select(*(f'"{c}"' for c in order)).fetchall())
+
+
+def test_documents_are_scanned_whole(spark, tmp_path):
+    rows = [(1, "x" * 9_998 + "thing" + "y" * 20_000 + "Para" + "nicht"), (2, "para " * 5_000), (3, "short thing"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in registry.exact_scan_documents(spark, str(tmp_path)).select("doc_id", "word", "start").collect()]
+    want = [(k, w, at) for k, t in rows if t for w in ("thing", "nicht", "para") for at in range(len(t)) if t.lower().startswith(w, at)]
+    assert sorted(got) == sorted(want)

@@ -105,7 +105,7 @@ _DOCUMENT_PARTS = "with d as (select doc_id, lower(substr(text, 1, 10000)) as n
 
 @query(f"{_DOCUMENT_PARTS} select doc_id, word, (list_sum(list_transform(parts[1:k::int], lambda x: length(x))) + (k - 1) * length(word))::int as start from (select *, unnest(range(1, len(parts))) as k from p)")
 def exact_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(tx.truncate(F.col("text"), 10_000)).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("n"))
     patterns = spark.createDataFrame([("thing",), ("nicht",), ("para",)], "pattern string")
     return find_all(docs, "n", patterns).select("doc_id", F.col("pattern").alias("word"), F.col("at").alias("start"))
 
