@@ -330,6 +330,17 @@ def test_quality_ratio(spark, docs):
     assert all(abs(want[r["id"]] - r["ratio"]) < 1e-9 for r in quality_rules.quality_rules(docs, labels).collect())
 
 
+def test_quality_ratio_counts_every_trusted_row(spark, monkeypatch):
+    rows, good = 300_000, 250_000
+    docs = spark.range(rows).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") < good).cast("int").alias("quality"))
+    share = lambda n: (n + 0.5) / (n + 0.5 * (1 << 15))
+    want = np.log(share(good) / share(rows))
+    assert abs(quality_rules.quality_rules(docs, labels).first()["ratio"] - want) < 1e-9
+    monkeypatch.setattr(quality_rules, "BROADCAST_BYTES", 0)  # joined by shuffle
+    assert abs(quality_rules.quality_rules(docs, labels).first()["ratio"] - want) < 1e-9
+
+
 def test_quality_classifier(spark, odd):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in queries.op9_quality_classifier(spark, sf).collect()}

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import inputs
 from .kernels import RangeHash, chunks, joined, mix, sliced, words
 
+#: Larger tables of trusted ids are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 #: The characters that count as symbols.
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -58,10 +60,11 @@ def _grams(buf: np.ndarray, buckets: int) -> np.ndarray:
 def gram_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, bits: int) -> np.ndarray:
     """Counts [2, 2**bits] of hashed byte trigrams within texts: of all rows, and of rows whose id is in trusted (of).
 
-    trusted has a bounded size and is broadcast. Each task sums its rows first, so what is shuffled is at most 2**bits rows a
-    task; 2**bits sums come to the driver.
+    trusted has each id once; it is broadcast up to BROADCAST_BYTES (at 64 a row), beyond that joined by shuffle. Each task sums its rows
+    first, so what the sums shuffle is at most 2**bits rows a task; 2**bits sums come to the driver.
     """
-    rows = inputs(docs, id_col, text_col).join(F.broadcast(trusted), F.col("id") == F.col("of"), "left").select("text", F.col("of").isNotNull().alias("good"))
+    side = F.broadcast(trusted) if trusted.count() * 64 <= BROADCAST_BYTES else trusted.hint("merge")
+    rows = inputs(docs, id_col, text_col).join(side, F.col("id") == F.col("of"), "left").select("text", F.col("of").isNotNull().alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << bits), np.int64)
@@ -86,23 +89,20 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str,
     return out
 
 
-def trusted_sample(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """(of): ids labelled 1, about `most` of them by hash of the id; never over twice as many."""
-    known = labels.select(F.col(id_col).alias("of"), F.col(label_col).alias("label")).dropna().groupBy("of").agg(F.min("label").alias("label")).where("label = 1").select("of")
-    share = min(1.0, most / max(1, known.count()))
-    return known.where(F.pmod(F.xxhash64("of", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * most)
+def trusted_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(of): all ids labelled 1, each once."""
+    return labels.select(F.col(id_col).alias("of"), F.col(label_col).alias("label")).dropna().groupBy("of").agg(F.min("label").alias("label")).where("label = 1").select("of")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = 15, threshold: float = -0.5, smoothing: float = 0.5, most_trusted: int = 100_000, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = 15, threshold: float = -0.5, smoothing: float = 0.5, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept) for every row.
 
     ratio: mean over a text's byte trigrams of log(trusted share / raw share) of their hash buckets. The raw multinomial
-    counts every row, the trusted one the rows labelled 1 (at most about most_trusted, by hash of the id). base_failed:
-    fewer than min_words words, or over max_repeat_percent % repeated words. kept: not base_failed, and ratio at least
-    threshold; the same text always gets the same verdict. Null texts are empty and fail; a text under three bytes has
+    counts every row, the trusted one every row labelled 1. base_failed: fewer than min_words words, or over
+    max_repeat_percent % repeated words. kept: not base_failed, and ratio at least threshold; the same text always gets the same verdict. Null texts are empty and fail; a text under three bytes has
     ratio 0; without labels every ratio is 0.
     """
-    raw, good = gram_counts(docs, trusted_sample(labels, id_col, label_col, most_trusted), id_col, text_col, bits)
+    raw, good = gram_counts(docs, trusted_ids(labels, id_col, label_col), id_col, text_col, bits)
     shares = lambda x: (x + smoothing) / (x.sum() + smoothing * len(x))
     weight = np.log(shares(good) / shares(raw)) if good.sum() else np.zeros(1 << bits)
     texts = inputs(docs, id_col, text_col)
