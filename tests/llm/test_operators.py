@@ -382,6 +382,43 @@ def test_license_scan(spark, odd):
     assert license_scan.scan_licenses(empty(odd), license_scan.train(empty(odd))).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are
+ * met."""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+def test_license_scan_of_wrapped_notices(spark):
+    model = license_scan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    long_line = "Some words first. Released under the MIT License. The data files are something else. Licensed under CC BY 4.0. And more words follow."
+    cases = {MIT: ["mit"], BSD: ["bsd"], GPL: ["gpl"], long_line: ["mit", "cc-by"], "\n\n".join((MIT, BSD, "Plain text of one line", GPL)): ["mit", "bsd", "gpl"]}
+    rows = [*enumerate(cases), (9, "Released under the\n\nMIT License and more"), (10, "\n".join(["all the rights of the words", "that are not reserved for the"] * 50))]
+    got = {r["id"]: r["findings"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for k, (text, want) in enumerate(cases.items()):
+        assert [f["family"] for f in got[k]] == want, text
+    assert got[0][0]["start"] == 0 and got[0][0]["end"] >= MIT.index("without restriction")
+    assert [(f["start"], f["end"]) for f in got[1]] == [(0, len(BSD))]
+    assert not {f["family"] for k in (9, 10) for f in got[k]} - {"unknown"}
+
+
+def test_unknown_bound():
+    z = lambda share: [0.0, np.log(share / (1 - share)), 0.0]
+    free, notices = [z(0.5 + k / 500) for k in range(100)], [z(0.9 + k / 2000) for k in range(100)]
+    bound = license_scan.unknown_bound(np.array(free + notices), np.array([0] * 100 + [1] * 100))
+    assert abs(bound - np.quantile([0.5 + k / 500 for k in range(100)], 0.95)) < 1e-9
+    strict = license_scan.unknown_bound(np.array(free + [z(0.55 + k / 2000) for k in range(100)]), np.array([0] * 100 + [1] * 100))
+    assert strict < 0.56 and license_scan.unknown_bound(np.zeros((0, 3)), np.zeros(0, int)) == 0.5
+
+
 def test_byte_shards(odd, docs):
     for df in (odd, docs, empty(odd)):
         texts = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

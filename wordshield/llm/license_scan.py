@@ -82,10 +82,11 @@ _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 def paragraph_grams(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Words (lower-cased runs of letters and digits) of every line, as hashes of words and of word pairs.
+    """Words (lower-cased runs of letters and digits) of every paragraph, as hashes of words and of word pairs.
 
-    text, start, end: of each line that has a word (bytes in its text); gram (64-bit), of_line, first: each gram's hash, its line, and whether it is
-    a single word.
+    A paragraph is a run of lines with words. text, start, end, block: of each line that has a word (bytes in its text, number
+    of its paragraph); gram (64-bit), of_line, first, word, cross: each gram's hash, its line, whether it is a single word,
+    the number of its first word, and whether it is a pair over a line's end. Single words come first, in order.
     """
     buf, at = joined(texts)
     raw, buf = buf, LOWER[buf]
@@ -98,11 +99,35 @@ def paragraph_grams(texts: list[bytes]) -> dict[str, np.ndarray]:
     line = np.searchsorted(breaks, start)
     lines, of_line = np.unique(line, return_inverse=True)
     hashes = RangeHash(buf).of(start, end)
-    pair = np.flatnonzero(of_line[1:] == of_line[:-1])
-    pairs = mix(hashes[pair] * np.uint64(3) + hashes[pair + 1])
     begin = np.where(lines > 0, breaks[lines - 1] + 1, 0)
     text = np.searchsorted(at, begin, "right") - 1
-    return {"text": text, "start": begin - at[text], "end": breaks[lines] - at[text], "gram": np.concatenate((hashes, pairs)), "of_line": np.concatenate((of_line, of_line[pair])), "first": np.arange(len(hashes) + len(pairs)) < len(hashes)}
+    block = np.cumsum(np.concatenate(([False], (np.diff(lines) > 1) | (np.diff(text) > 0)))[: len(lines)])
+    pair = np.flatnonzero(block[of_line[1:]] == block[of_line[:-1]])
+    word = np.concatenate((np.arange(len(hashes)), pair))
+    cross = np.concatenate((np.zeros(len(hashes), bool), of_line[pair + 1] != of_line[pair]))
+    return {"text": text, "start": begin - at[text], "end": breaks[lines] - at[text], "block": block, "gram": np.concatenate((hashes, pair_grams(hashes)[pair])), "of_line": of_line[word], "first": np.arange(len(word)) < len(hashes), "word": word, "cross": cross}
+
+
+def pair_grams(hashes: np.ndarray) -> np.ndarray:
+    return mix(hashes[:-1] * np.uint64(3) + hashes[1:])
+
+
+def windows(first: np.ndarray, last: np.ndarray, code: np.ndarray, need: int, most: float) -> list[tuple[int, int]]:
+    """Shortest runs of words (first, last), from left to right, that hold `need` distinct codes within `most` words."""
+    order = np.argsort(last, kind="stable")
+    first, last, code = first[order].tolist(), last[order].tolist(), code[order].tolist()
+    out, count, i = [], {}, 0
+    for j, c in enumerate(code):
+        count[c] = count.get(c, 0) + 1
+        while count[code[i]] > 1 or last[j] - first[i] >= most and i < j:
+            count[code[i]] -= 1
+            if not count[code[i]]:
+                del count[code[i]]
+            i += 1
+        if len(count) >= need:
+            out.append((min(first[i : j + 1]), last[j]))
+            count, i = {}, j + 1
+    return out
 
 
 @dataclass
@@ -136,8 +161,9 @@ def train(docs: DataFrame, text_col: str = "text", most_negatives: int = 3000, b
     """Fit on varied templates against corpus paragraphs that share no telling template pair.
 
     At most most_negatives texts, by hash, give negatives; that bounds what comes to the driver (one line of each).
-    A quarter of the varied templates is held back to set the temperature, and the share of template-free lines that
-    must fall below the unknown threshold sets that.
+    A quarter of the samples is held back. It sets the temperature, and unknown_below: 95 % of its template-free lines fall
+    below that in their likeliest licence's share among the licences, unless over 2 % of its rightly classified notices
+    would fall below it too; then the bound is where those 2 % end.
     """
     rng = np.random.default_rng(seed)
     texts = docs.select(F.coalesce(text_col, F.lit("")).alias("text"))
@@ -193,24 +219,84 @@ def train(docs: DataFrame, text_col: str = "text", most_negatives: int = 3000, b
     if held.any():
         loss = lambda t: -np.mean((z / t - np.log(np.exp(z / t - (z / t).max(1, keepdims=True)).sum(1, keepdims=True)) - (z / t).max(1, keepdims=True))[np.arange(len(z)), y[held]])
         model.temperature = min(np.linspace(0.2, 3, 57), key=loss)
+        model.unknown_below = unknown_bound(z / model.temperature, y[held])
     return model
 
 
+def unknown_bound(z: np.ndarray, y: np.ndarray, free_below: float = 0.95, notices_below: float = 0.02) -> float:
+    """The bound on the likeliest licence's share among the licences, from held-back logits and classes, as train() says."""
+    e = np.exp(z[:, 1:] - z[:, 1:].max(1, keepdims=True))
+    share, best = (e / e.sum(1, keepdims=True)).max(1), 1 + np.argmax(e, 1)
+    free, right = share[y == 0], share[(y > 0) & (best == y)]
+    bounds = [np.quantile(x, q) for x, q in ((free, free_below), (right, notices_below)) if len(x)]
+    return float(min(bounds, default=0.5))
+
+
+def notices(model: Model, g: dict[str, np.ndarray], grams: np.ndarray, k: int, need: int) -> list[tuple[int, int, int, float]]:
+    """(family, first line, last line, probability) where template k is confirmed in a paragraph and is the likeliest; grams: numbers of the paragraph's grams."""
+    family, own = model.templates[k]
+    code = np.minimum(np.searchsorted(own, g["gram"][grams]), len(own) - 1)
+    hit = own[code] == g["gram"][grams]
+    grams, code = grams[hit], code[hit]
+    first, line = g["word"][grams], g["of_line"][grams]
+    last = first + ~g["first"][grams]
+    last_line = g["of_line"][last]
+    whole, runs = [], []
+    for x in np.unique(line).tolist():
+        at = (line == x) & (last_line == x)
+        if len(np.unique(code[at])) >= need:
+            whole.append(x)
+            runs += windows(first[at], last[at], code[at], need, np.inf)
+    # wrapped ones: lie between the lines that hold one each, within about twice the template's words
+    apart = ~np.isin(line, whole) & ~np.isin(last_line, whole)
+    stretch = np.searchsorted(np.array(whole, np.int64), line)
+    for x in np.unique(stretch[apart]).tolist():
+        at = apart & (stretch == x)
+        if len(np.unique(code[at])) >= need:
+            runs += windows(first[at], last[at], code[at], need, len(own) + 1)
+    # lengthen each by the template's words beside it, over a line's end only by its pairs
+    out, hits, follows = [], {*first.tolist(), *last.tolist()}, set(first[last > first].tolist())
+    for a, b in runs:
+        while a - 1 in follows or a - 1 in hits and g["of_line"][a - 1] == g["of_line"][a]:
+            a -= 1
+        while b in follows or b + 1 in hits and g["of_line"][b + 1] == g["of_line"][b]:
+            b += 1
+        h = g["gram"][a : b + 1]
+        p = model.probabilities(np.concatenate((h, pair_grams(h))), np.zeros(2 * len(h) - 1, np.int64), 1)[0]
+        share = float(p[family] / max(1e-12, 1 - p[0]))
+        if family == 1 + int(np.argmax(p[1:])) and share >= model.unknown_below:
+            out.append((family, int(g["of_line"][a]), int(g["of_line"][b]), share))
+    return out
+
+
 def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.75) -> DataFrame:
     """(id, n_paragraphs, findings) for every row; findings: array of (family, start, end, probability), spans in bytes.
 
-    Every line with a word is a paragraph. One is a finding if it has at least a third of some template's pairs, or the
-    classifier's likeliest class is a licence and it has one pair. It is of the likeliest licence family if that has at
-    least the calibrated probability unknown_below among the licences and a template of it confirms (the share `confirm`
-    of its words and pairs is there); else it is "unknown". Null and empty texts have no paragraphs.
+    A paragraph is a run of lines up to one without words; its wrapped lines are read as one text. A finding names a family
+    where a template of it confirms (the share `confirm` of its words and pairs is in one line, or within twice the
+    template's words over several lines) and the words that do so have that family as likeliest licence, with at least the
+    calibrated probability unknown_below among the licences. A paragraph or line gives every family that is so confirmed; a
+    finding spans whole lines. Other lines, or words over several lines, with at least a third of some template's pairs, and
+    lines whose likeliest class is a licence and that have one pair, are "unknown", but for the rest of a confirmed
+    family's notice in the same paragraph, which lengthens its finding. n_paragraphs counts lines with a word. Null and empty texts
+    have none.
     """
     texts = inputs(docs, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
     item = pa.struct([("family", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])
 
-    # which template has which telling pair, and how many it has
+    # which template has which telling pair, and how many it has; a confirmation takes `need` grams, so at least able_from pairs
     held = np.stack([np.isin(model.vocabulary, t) for _, t in model.templates])
-    pairs = np.maximum(1, held.sum(1))
+    family = np.array([f for f, _ in model.templates])
+    size, pairs = np.array([len(t) for _, t in model.templates]), np.maximum(1, held.sum(1))
+    need = np.ceil(confirm * size).astype(np.int64)
+    able_from = np.maximum(1, need - (size - held.sum(1)))
+
+    def shared_pairs(of: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+        seen = np.unique(np.stack((of, code)), axis=1)
+        out = np.zeros((n, len(pairs)))
+        np.add.at(out, seen[0], held[:, seen[1]].T)
+        return out
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         likely = np.zeros(1 << 16, bool)
@@ -223,24 +309,77 @@ def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 counts.append(np.bincount(g["text"], minlength=b - a))
                 telling = np.flatnonzero(likely[(g["gram"] >> np.uint64(48)).astype(np.int64)] & ~g["first"])
                 telling = telling[np.isin(g["gram"][telling], model.vocabulary)]
-                lines = np.unique(g["of_line"][telling])  # the others share no pair with any template
-                if not len(lines):
+                if not len(telling):
                     continue
+                code = np.searchsorted(model.vocabulary, g["gram"][telling])
+                within = ~g["cross"][telling]
+                # lines that share a pair with some template: near a template, or likely a licence
+                lines = np.unique(g["of_line"][telling[within]])
                 number = np.full(len(g["text"]), -1)
                 number[lines] = np.arange(len(lines))
-                of = number[g["of_line"]]
-                gram, of = g["gram"][of >= 0], of[of >= 0]
-                p = model.probabilities(gram, of, len(lines))
-                seen = np.unique(np.stack((number[g["of_line"][telling]], np.searchsorted(model.vocabulary, g["gram"][telling]))), axis=1)
-                shared = np.zeros((len(lines), len(pairs)))
-                np.add.at(shared, seen[0], held[:, seen[1]].T)
+                of = np.where(g["cross"], -1, number[g["of_line"]])
+                p = model.probabilities(g["gram"][of >= 0], of[of >= 0], len(lines))
+                shared = shared_pairs(number[g["of_line"][telling[within]]], code[within], len(lines))
                 near = (shared >= 0.34 * pairs).any(1)
                 best = 1 + np.argmax(p[:, 1:], 1)
+                candidates: dict[int, list[int]] = {}
                 for k in np.flatnonzero(near | (p.max(1) > p[:, 0])).tolist():
-                    share = p[k, best[k]] / max(1e-12, 1 - p[k, 0])
-                    sure = share >= model.unknown_below and model.confirmed(np.unique(gram[of == k]), int(best[k]), confirm)
-                    line = int(lines[k])
-                    findings[a + int(g["text"][line])].append({"family": FAMILIES[best[k] - 1] if sure else "unknown", "start": int(g["start"][line]), "end": int(g["end"][line]), "probability": float(share)})
+                    candidates.setdefault(int(g["block"][lines[k]]), []).append(k)
+                # paragraphs that share a pair
+                block = g["block"][g["of_line"]]
+                blocks, of_block = np.unique(block[telling], return_inverse=True)
+                shared = shared_pairs(of_block, code, len(blocks))
+                able, nearly = shared >= able_from, shared >= 0.34 * pairs
+                some = np.array([int(x) in candidates for x in blocks]) | able.any(1) | nearly.any(1)
+                mine = np.flatnonzero(np.isin(block, blocks[some]))
+                mine = mine[np.argsort(block[mine], kind="stable")]
+                bounds = np.searchsorted(block[mine], blocks, "left"), np.searchsorted(block[mine], blocks, "right")
+                for n in np.flatnonzero(some).tolist():
+                    grams = mine[bounds[0][n] : bounds[1][n]]
+                    found: list[list] = []  # family, first and last line, probability
+                    for x in sorted(y for k in np.flatnonzero(able[n]).tolist() for y in notices(model, g, grams, k, int(need[k]))):
+                        if found and found[-1][0] == x[0] and x[1] <= found[-1][2]:
+                            found[-1][2:] = max(found[-1][2], x[2]), max(found[-1][3], x[3])
+                        else:
+                            found.append([*x])
+                    covered = {x for f in found for x in range(f[1], f[2] + 1)}
+                    own = set(telling[of_block == n].tolist()) if found and int(blocks[n]) in candidates else set()
+                    for k in candidates.get(int(blocks[n]), []):
+                        line = int(lines[k])
+                        if line in covered:
+                            continue
+                        share = float(p[k, best[k]] / max(1e-12, 1 - p[k, 0]))
+                        one = np.unique(g["gram"][of == k])
+                        if share >= model.unknown_below and model.confirmed(one, int(best[k]), confirm):
+                            found.append([int(best[k]), line, line, share])
+                            covered.add(line)
+                            continue
+                        same = [f for f in found if f[0] == best[k]]
+                        if same:
+                            f = min(same, key=lambda f: min(abs(f[1] - line), abs(f[2] - line)))
+                            has = {int(g["gram"][x]) for x in own if f[1] <= g["of_line"][x] <= f[2]}
+                            new = {int(g["gram"][x]) for x in own if g["of_line"][x] == line and not g["cross"][x]} - has
+                            ours = np.concatenate([t for c, t in model.templates if c == f[0]])
+                            if not near[k] or np.isin(np.array([*new], np.uint64), ours).any():
+                                f[1:3] = min(f[1], line), max(f[2], line)
+                                continue
+                        found.append([0, line, line, share])
+                        covered.add(line)
+                    confirmed = {f[0] for f in found}
+                    for k in np.flatnonzero(nearly[n] & ~np.isin(family, [*confirmed])).tolist():  # words over several lines that are near a template
+                        some_pairs = grams[~g["first"][grams] & np.isin(g["gram"][grams], model.templates[k][1])]
+                        code_of = np.unique(g["gram"][some_pairs], return_inverse=True)[1]
+                        first = g["word"][some_pairs]
+                        for x, y in windows(first, first + 1, code_of, int(np.ceil(0.34 * pairs[k])), len(model.templates[k][1]) + 1):
+                            u, v = int(g["of_line"][x]), int(g["of_line"][y])
+                            if covered.isdisjoint(range(u, v + 1)):
+                                h = g["gram"][x : y + 1]
+                                q = model.probabilities(np.concatenate((h, pair_grams(h))), np.zeros(2 * len(h) - 1, np.int64), 1)[0]
+                                found.append([0, u, v, float(q[1:].max() / max(1e-12, 1 - q[0]))])
+                                covered.update(range(u, v + 1))
+                    text = findings[a + int(g["text"][g["of_line"][grams[0]]])]
+                    for c, u, v, share in sorted(found, key=lambda f: f[1:3]):
+                        text.append({"family": FAMILIES[c - 1] if c else "unknown", "start": int(g["start"][u]), "end": int(g["end"][v]), "probability": share})
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64)), pa.array(findings, pa.list_(item))], ["id", "n_paragraphs", "findings"])
 
     return texts.mapInArrow(scan, f"id {kind}, n_paragraphs long, findings array<struct<family: string, start: long, end: long, probability: double>>")
