@@ -55,7 +55,7 @@ def messages():
     return list(dict.fromkeys(texts))
 
 
-@pytest.mark.parametrize("variant", ["split", "trie"])
+@pytest.mark.parametrize("variant", ["auto", "split", "shingle", "trie"])
 def test_scan_equals_the_model(spark, messages, variant):
     scores = {w: round(0.3 + 0.02 * k, 2) for k, w in enumerate(LIST)}
     lexicon = Lexicon.of(spark, [{"word": w, "base_score": s} for w, s in scores.items()])

@@ -9,35 +9,35 @@ LEET: dict[str, str] = {
     "2": "z", "%": "x",
 }
 
-# Look-alike characters (as code points) by the Latin letter they are read as, after NFKC and lower-casing.
+# Look-alike characters and the Latin letter that each is read as, after NFKC and lower-casing.
 HOMOGLYPHS: dict[str, str] = {
-    "a": "0430 03B1 0251 0101 0103 0105 00E0 00E1 00E2 00E3",
-    "b": "0432 0180",
-    "c": "0441 00E7 010B 0109",
-    "e": "0435 03B5 00E8 00E9 00EA 0113 0115 0117 0119 011B 0033",
-    "g": "0262",
-    "h": "04BB 043D",
-    "i": "0456 0454 0131 00EC 00ED 00EE 0129 012B 012D 012F",
-    "j": "0458 03F3",
-    "k": "043A 0138",
-    "l": "0031",
-    "m": "043C",
-    "n": "03B7 00F1",
-    "o": "043E 03BF 00F2 00F3 00F4 00F5 014D 014F 0151 0030",
-    "p": "0440 03C1",
-    "r": "044F",
-    "s": "0455 03C2 0282 0035",
-    "t": "0442 03C4 0037",
-    "v": "03BD",
-    "w": "03C9",
-    "x": "0445 03C7",
-    "y": "0443 03C5 0459",
-    "z": "03B6 1D22",
-}
+    "а": "a", "α": "a", "ɑ": "a", "ā": "a", "ă": "a", "ą": "a", "à": "a", "á": "a", "â": "a", "ã": "a",
+    "в": "b", "ƀ": "b",
+    "с": "c", "ç": "c", "ċ": "c", "ĉ": "c",
+    "е": "e", "ε": "e", "è": "e", "é": "e", "ê": "e", "ē": "e", "ĕ": "e", "ė": "e", "ę": "e", "ě": "e", "3": "e",
+    "ɢ": "g",
+    "һ": "h", "н": "h",
+    "і": "i", "є": "i", "ı": "i", "ì": "i", "í": "i", "î": "i", "ĩ": "i", "ī": "i", "ĭ": "i", "į": "i",
+    "ј": "j", "ϳ": "j",
+    "к": "k", "ĸ": "k",
+    "1": "l",
+    "м": "m",
+    "η": "n", "ñ": "n",
+    "о": "o", "ο": "o", "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ō": "o", "ŏ": "o", "ő": "o", "0": "o",
+    "р": "p", "ρ": "p",
+    "я": "r",
+    "ѕ": "s", "ς": "s", "ʂ": "s", "5": "s",
+    "т": "t", "τ": "t", "7": "t",
+    "ν": "v",
+    "ω": "w",
+    "х": "x", "χ": "x",
+    "у": "y", "υ": "y", "љ": "y",
+    "ζ": "z", "ᴢ": "z",
+}
 
 #: Sources and targets for translate().
-HOMOGLYPH_FROM = "".join(chr(int(c, 16)) for codes in HOMOGLYPHS.values() for c in codes.split())
-HOMOGLYPH_TO = "".join(letter for letter, codes in HOMOGLYPHS.items() for _ in codes.split())
+HOMOGLYPH_FROM = "".join(HOMOGLYPHS)
+HOMOGLYPH_TO = "".join(HOMOGLYPHS.values())
 LEET_FROM = "".join(LEET)
 LEET_TO = "".join(letters[0] for letters in LEET.values())
 

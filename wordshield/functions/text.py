@@ -38,7 +38,7 @@ def replace_homoglyphs(text: Column) -> Column:
 
 def homoglyph_pairs(text: Column) -> Column:
     """[[seen, read as], ...] for every look-alike character, in order, with repeats."""
-    found = F.filter(chars(text), lambda c: F.lit(HOMOGLYPH_FROM).contains(c))
+    found = F.regexp_extract_all(text, F.lit(f"[{HOMOGLYPH_FROM}]"), F.lit(0))
     return F.transform(found, lambda c: F.array(c, replace_homoglyphs(c)))
 
 
@@ -60,11 +60,44 @@ def collapse_to_one(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)(.)\1+", "$1")
 
 
-def _once(value: Column, use) -> Column:
-    """use(value) with value computed once, though use names it often."""
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once, though use names it often or for each element of an array."""
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def sums_before(sizes: Column, block: int = 16) -> Column:
+    """For each of an array of sizes, the sum of those before it.
+
+    Blocks are summed each for itself and then shifted by the blocks before, since appending copies an array.
+    """
+    none = F.array().cast("array<int>")
+
+    def walked(xs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("upto"), none.alias("before"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct((acc["upto"] + x).alias("upto"), F.array_append(acc["before"], acc["upto"]).alias("before")))
+
+    def shifted(parts: Column) -> Column:
+        bases = walked(F.transform(parts, lambda p: p["upto"]))["before"]
+        return F.flatten(F.zip_with(parts, bases, lambda p, base: F.transform(p["before"], lambda x: x + base)))
+
+    def blocked(xs: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(block))
+        return F.when(F.size(xs) <= block, walked(xs)["before"]).otherwise(once(F.transform(starts, lambda b: walked(F.slice(xs, b + 1, block))), shifted))
+
+    return once(sizes, blocked)
+
+
+def places(text: Column, pattern: Column, ahead: Column) -> Column:
+    """Starts (from 0) of a pattern in a text, overlapping ones too; ahead is the pattern as a look-ahead (see ahead_of)."""
+    parts = F.split(text, ahead)
+    return F.filter(sums_before(F.transform(parts, lambda p: F.length(p))), lambda at, k: (k > 0) | F.startswith(text, pattern))
+
+
+def ahead_of(pattern: Column) -> Column:
+    """A regular expression that matches the empty string before each occurrence of a literal pattern."""
+    return F.concat(F.lit("(?=\\Q"), F.replace(pattern, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+
+
 def kept_places(text: Column, n: int, keep_lines: bool) -> Column:
     """Indices (from 0) of the characters that collapsing runs to n keeps; keep_lines: runs of line ends stay."""
 
@@ -74,7 +107,7 @@ def kept_places(text: Column, n: int, keep_lines: bool) -> Column:
             same = same & (F.get(cs, i - k) == c)
         return same & (c != "\n") if keep_lines else same
 
-    return _once(chars(text), lambda cs: F.filter(F.transform(cs, lambda c, i: F.when(dropped(cs, c, i), F.lit(-1)).otherwise(i)), lambda i: i >= 0))
+    return once(chars(text), lambda cs: F.filter(F.transform(cs, lambda c, i: F.when(dropped(cs, c, i), F.lit(-1)).otherwise(i)), lambda i: i >= 0))
 
 
 def alnum_places(text: Column) -> Column:
@@ -91,53 +124,69 @@ def greedy_leet(text: Column) -> Column:
 
 
 def leet_expansions(cap: int):
-    """Column function: all readings of a token in table order; stops when more than cap readings, partial ones included, were made."""
-
-    def expand(token: str) -> list[str]:
-        whole, made = [""], 0
-        for c in token:
-            longer = []
-            for prefix, letter in ((p, x) for p in whole for x in LEET.get(c, c)):
-                longer.append(prefix + letter)
-                made += 1
-                if made > cap:
-                    return list(dict.fromkeys(whole + longer))
-            whole = longer
-        return list(dict.fromkeys(whole))
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def expansions(tokens: pd.Series) -> pd.Series:
-        return tokens.map(expand)
+    """Column function: the distinct readings of a token, its characters' letters multiplied out from left to right.
+
+    Each character makes a generation, as large as the one before times the character's letters. Once the generations
+    together have over cap readings, the readings are those of the last complete generation and as many of the next as
+    bring the count to cap + 1: beginnings of the token.
+    """
+    letters = F.create_map(*(x for c, to in LEET.items() for x in (F.lit(c), F.array(*map(F.lit, to)))))
+
+    def grow(acc: Column, c: Column) -> Column:
+        each = F.coalesce(F.try_element_at(letters, c), F.array(c))
+        product = F.flatten(F.transform(acc["readings"], lambda p: F.transform(each, lambda x: F.concat(p, x))))
+
+        def counted(new: Column) -> Column:
+            total = acc["total"] + F.size(new)
+            head = F.concat(acc["readings"], F.slice(new, 1, F.greatest(F.lit(cap + 1) - acc["total"], F.lit(0))))
+            return F.struct(F.when(total > cap, head).otherwise(new).alias("readings"), total.alias("total"))
+
+        return F.when(acc["total"] > cap, acc).otherwise(once(product, counted))
+
+    def expansions(token: Column) -> Column:
+        start = F.struct(F.array(F.lit("")).alias("readings"), F.lit(0).alias("total"))
+        return F.array_distinct(F.aggregate(chars(token), start, grow)["readings"])
 
     return expansions
 
 
-def pieces(text: Column, inside: str, opening: str | None = None) -> Column:
-    """[(start, piece), ...]: a text's maximal pieces that begin with a character of `opening` (default: inside) and go on with `inside` ones."""
+def pieces(text: Column, inside: str, opening: str | None = None, wanted=None) -> Column:
+    """[(start, piece), ...]: a text's maximal pieces that begin with a character of `opening` (default: inside) and go on with `inside` ones.
+
+    wanted: a test of a piece; texts without any wanted piece cost no places.
+    """
     opening = opening or inside
+
+    def test(p: Column) -> Column:
+        opens = p.rlike(f"^[{opening}]")
+        return opens & wanted(p) if wanted else opens
+
+    def placed(parts: Column) -> Column:
+        starts = sums_before(F.transform(parts, lambda p: F.length(p)))
+        return F.filter(F.zip_with(starts, parts, lambda at, p: F.struct(at.alias("start"), p.alias("piece"))), lambda x: test(x["piece"]))
+
+    none = F.array().cast("array<struct<start: int, piece: string>>")
     alternating = F.regexp_extract_all(text, F.lit(rf"[{opening}][{inside}]*|[^{opening}]+"), F.lit(0))
-    placed = F.aggregate(
-        alternating,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, piece: string>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            F.when(p.rlike(f"^[{opening}]"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), p.alias("piece")))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    return placed["out"]
+    return once(alternating, lambda parts: F.when(F.exists(parts, test), placed(parts)).otherwise(none))
+
+
+def runs_of(text: Column, inside: str) -> Column:
+    """A text's maximal pieces of `inside` characters, in order."""
+    return F.regexp_extract_all(text, F.lit(f"[{inside}]+"), F.lit(0))
 
 
 def alnum_tokens(text: Column) -> Column:
     return pieces(text, ALNUM)
 
 
-def leet_tokens(text: Column) -> Column:
-    return pieces(text, ALNUM + LEET_CLASS)
+def leet_tokens(text: Column, wanted=None) -> Column:
+    return pieces(text, ALNUM + LEET_CLASS, wanted=wanted)
 
 
-def separator_spans(text: Column) -> Column:
+def separator_spans(text: Column, wanted=None) -> Column:
     """Stretches from a letter or digit to the next white space that hold a letter."""
-    return F.filter(pieces(text, f"^{SPACE}", ALNUM), lambda p: p["piece"].rlike(r"\p{L}"))
+    letters = lambda p: wanted(p) & p.rlike(r"\p{L}") if wanted else p.rlike(r"\p{L}")
+    return pieces(text, f"^{SPACE}", ALNUM, letters)
 
 
 def word_count(text: Column) -> Column:

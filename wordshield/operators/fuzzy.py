@@ -2,14 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Fuzzy
 from ..functions import text as tx
+from ..functions.text import once
 from .stages import FOUND, KEYS, SIZES
 
 
+def distance_of(token: Column, word: Column, most: Column, kind: str = "edits") -> Column:
+    """Edits between two strings, -1 if there are over `most`.
+
+    kind "edits" is the Levenshtein distance; "doubled" also takes a letter pair in swapped order in one step of its table,
+    from the row just above, so words with doubled letters can be nearer (mmal and mammal 1, kill and killl 0).
+    """
+    if kind == "edits":
+        return F.call_function("levenshtein", token, word, most)
+    assert kind == "doubled", kind
+
+    def counted(a: Column, b: Column) -> Column:
+        first = F.sequence(F.lit(0), F.size(b))
+
+        def row(above: Column, c: Column, i: Column) -> Column:
+            """The next row of the table: its last value is carried as each cell needs its left neighbour."""
+
+            def cell(acc: Column, j: Column) -> Column:
+                other = (c != F.get(b, j - 1)).cast("int")
+                plain = F.least(F.get(above, j) + 1, F.get(acc, j - 1) + 1, F.get(above, j - 1) + other)
+                swapped = (i > 0) & (j > 1) & (c == F.get(b, j - 2)) & (F.get(a, i - 1) == F.get(b, j - 1))
+                return F.array_append(acc, F.when(swapped, F.least(plain, F.get(above, j - 2) + other)).otherwise(plain))
+
+            return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(i + 1), cell)
+
+        numbered = F.transform(a, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+        total = F.aggregate(numbered, first, lambda above, x: row(above, x["c"], x["i"]))
+        return F.element_at(total, -1)
+
+    near = F.abs(F.length(token) - F.length(word)) <= most
+    table = once(tx.chars(token), lambda a: once(tx.chars(word), lambda b: counted(a, b)))
+    found = F.when((F.length(token) == 0) | (F.length(word) == 0), F.greatest(F.length(token), F.length(word))).otherwise(table)
+    return F.when(near, once(found, lambda d: F.when(d <= most, d).otherwise(F.lit(-1)))).otherwise(F.lit(-1))
+
+
 def tokens(messages: DataFrame, config: Fuzzy) -> DataFrame:
     """(keys, sizes, token, start) for the tokens of a message that are long enough."""
     rows = messages.select(*KEYS, *SIZES, F.explode(tx.alnum_tokens(F.lower("n"))).alias("t"))

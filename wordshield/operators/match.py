@@ -1,49 +1,55 @@
 """Multi-pattern search: every occurrence of every pattern, overlaps included, as rows.
 
 Three ways with equal results. "split" joins texts with a broadcast pattern table on containment and finds the places by
-splitting at look-ahead matches; it stays within SQL and suits lists of up to a few hundred words. "shingle" joins the
-texts' substrings of each pattern length with the patterns by hash. "trie" walks each text once in an Arrow batch with an
-Aho-Corasick automaton and suits long lists.
+splitting at look-ahead matches; it suits lists of up to a few hundred words. "shingle" joins the texts' substrings of each
+pattern length with the patterns by hash; it stays within SQL too and is what longer lists take. "trie" walks each text in an
+Arrow batch with an Aho-Corasick automaton; it is taken only by name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A list longer than this is searched with the trie.
+from ..functions.text import ahead_of, chars, places
+
+#: A longer list is searched by shingles.
 SPLIT_UP_TO = 300
+#: A larger pattern table is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Lists are bounded (Config.max_words); nothing longer is broadcast.
 MOST_PATTERNS = 400_000
 
 
-def _places(text: str, pattern: str) -> F.Column:
-    """Starts (from 0) of pattern in text."""
-    quoted = F.concat(F.lit("(?=\\Q"), F.replace(F.col(pattern), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    parts = F.split(F.col(text), quoted)
-    first = F.when(F.startswith(F.col(text), F.col(pattern)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    walked = F.aggregate(
-        F.slice(parts, 1, F.size(parts) - 1),
-        F.struct(F.lit(0).alias("at"), first.alias("out")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(p)).alias("out")),
-    )
-    return walked["out"]
-
-
 def _by_split(texts: DataFrame, col: str, patterns: DataFrame, kind: str | None) -> DataFrame:
-    joined = texts.join(F.broadcast(patterns), F.contains(F.col(col), F.col("pattern")) & _same(kind))
-    return joined.withColumn("at", F.explode(_places(col, "pattern")))
+    table = F.broadcast(patterns.withColumn("ahead", ahead_of(F.col("pattern"))))
+    joined = texts.join(table, F.contains(F.col(col), F.col("pattern")) & _same(kind))
+    return joined.withColumn("at", F.explode(places(F.col(col), F.col("pattern"), F.col("ahead")))).drop("ahead")
 
 
 def _by_shingle(texts: DataFrame, col: str, patterns: DataFrame, kind: str | None) -> DataFrame:
-    lengths = patterns.select(F.length("pattern").alias("width")).distinct()
-    cut = texts.join(F.broadcast(lengths), F.length(col) >= F.col("width")).select("*", F.explode(F.sequence(F.lit(0), F.length(col) - F.col("width"))).alias("at"))
-    cut = cut.withColumn("shingle", F.substring(F.col(col), F.col("at") + 1, F.col("width")))
-    return cut.join(F.broadcast(patterns), (F.col("shingle") == F.col("pattern")) & _same(kind)).drop("shingle", "width")
+    """Every substring of a pattern's length is a row with only its text's key, until it has met the patterns by hash."""
+    widths = sorted(r[0] for r in patterns.select(F.length("pattern")).distinct().collect())  # a row a length
+    keyed = texts.withColumn("_text", F.xxhash64(col)).withColumn("_same", F.sha2(col, 256))
+    of_kind = [kind] if kind else []
+    # each distinct text is cut once; rows of equal texts share its matches
+    unique = keyed.select("_text", "_same", F.col(col).alias("_whole"), *of_kind).dropDuplicates(["_text", "_same", *of_kind])
+    joins = unique.select("_text", "_same", *of_kind, chars(F.col("_whole")).alias("_chars"))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.size("_chars") - w), lambda k: F.struct(k.alias("at"), F.array_join(F.slice("_chars", k + 1, w), "").alias("shingle")))
+    none = F.array().cast("array<struct<at: int, shingle: string>>")
+    pieces = F.flatten(F.array(*(F.when(F.size("_chars") >= w, cut(w)).otherwise(none) for w in widths))) if widths else none
+    rows = joins.select("_text", "_same", *of_kind, F.explode(pieces).alias("s")).select("_text", "_same", *of_kind, "s.at", "s.shingle")
+    small = patterns.agg(F.coalesce(F.sum(F.octet_length("pattern") + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    hint = F.broadcast if small else (lambda df: df)
+    found = rows.join(hint(patterns), (F.col("shingle") == F.col("pattern")) & _same(kind)).drop("shingle", *of_kind)
+    where = [keyed["_text"] == found["_text"], keyed["_same"] == found["_same"], *([keyed[kind] == found["pattern_kind"]] if kind else [])]
+    out = keyed.join(found, reduce(lambda x, y: x & y, where))
+    return out.select(*(keyed[c] for c in texts.columns), *(found[c] for c in patterns.columns), found["at"])
 
 
 def _by_trie(texts: DataFrame, col: str, patterns: DataFrame, kind: str | None) -> DataFrame:
@@ -81,44 +87,34 @@ def _same(kind: str | None):
     return F.col(kind) == F.col("pattern_kind") if kind else F.lit(True)
 
 
+def bounded(patterns: DataFrame) -> DataFrame:
+    """patterns, if they are few enough to be broadcast."""
+    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    return patterns
+
+
 def find_all(texts: DataFrame, col: str, patterns: DataFrame, variant: str = "auto", kind: str | None = None) -> DataFrame:
     """texts joined with patterns (pattern, ...) at each occurrence of a pattern in col; ``at`` is its start from 0.
 
     kind: a column of texts; each text then only meets the patterns whose pattern_kind is equal. Patterns must not be empty; null texts match nothing. A pattern table of over MOST_PATTERNS rows is refused.
     """
-    count = patterns.limit(MOST_PATTERNS + 1).count()
-    if count > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns")
     if variant == "auto":
-        variant = "split" if count <= SPLIT_UP_TO else "trie"
+        count = bounded(patterns).limit(SPLIT_UP_TO + 1).count()
+        variant = "split" if count <= SPLIT_UP_TO else "shingle"
     return {"split": _by_split, "shingle": _by_shingle, "trie": _by_trie}[variant](texts, col, patterns, kind)
 
 
 def has_match(texts: DataFrame, col: str, patterns: DataFrame) -> DataFrame:
     """The rows of texts whose col holds a pattern."""
-    return texts.join(F.broadcast(patterns.select("pattern").distinct()), F.contains(F.col(col), F.col("pattern")), "left_semi")
+    return texts.join(F.broadcast(bounded(patterns.select("pattern").distinct())), F.contains(F.col(col), F.col("pattern")), "left_semi")
 
 
 def lacks_match(texts: DataFrame, col: str, patterns: DataFrame, variant: str = "auto") -> DataFrame:
-    """The rows of texts whose col holds none of the patterns; long lists are looked up with the automaton."""
+    """The rows of texts whose col holds none of the patterns."""
     names = patterns.select("pattern").distinct()
-    count = names.limit(MOST_PATTERNS + 1).count()
-    if count > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    count = bounded(names).limit(SPLIT_UP_TO + 1).count()
     if variant == "split" or variant == "auto" and count <= SPLIT_UP_TO:
         return texts.join(F.broadcast(names), F.contains(F.col(col), F.col("pattern")), "left_anti")
-    listed = [r["pattern"] for r in names.collect()]  # bounded
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        trie = ahocorasick.Automaton()
-        for p in listed:
-            trie.add_word(p, p)
-        if listed:
-            trie.make_automaton()
-        for batch in batches:
-            free = [not listed or next(trie.iter(t or ""), None) is None for t in batch.column(col).to_pylist()]
-            yield batch.filter(pa.array(free, pa.bool_()))
-
-    return texts.mapInArrow(keep, texts.schema)
+    held = find_all(texts.select(F.col(col).alias("_held")).distinct(), "_held", names, variant).select("_held").distinct()
+    return texts.join(held, F.col(col) == F.col("_held"), "left_anti")

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .match import bounded
 
 
 def rule_detect(messages: DataFrame, words: DataFrame, id_col: str = "message_id", text_col: str = "text") -> DataFrame:
     """(id, words, score, hits) for every message; words (word, ord) that occur in its reduced form, in list order."""
-    listed = words.select("word", "ord", tx.rule_form(F.col("word")).alias("form")).where("form <> ''")
+    listed = bounded(words.select("word", "ord", tx.rule_form(F.col("word")).alias("form")).where("form <> ''"))
     reduced = messages.select(F.col(id_col).alias("id"), F.coalesce(tx.rule_form(F.col(text_col)), F.lit("")).alias("reduced"), F.monotonically_increasing_id().alias("row"))
     # the list is bounded, so each message meets it as one array and needs no shuffle
     lexicon = listed.agg(F.array_sort(F.collect_list(F.struct("ord", "word", "form"))).alias("lexicon"))

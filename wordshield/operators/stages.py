@@ -1,4 +1,4 @@
-"""Detection stages: every reading of a message that a stage searches is a row, and one search finds all their matches.
+"""Detection stages over word lists of any length: every reading of a message is a row, and one search finds all their matches.
 
 Ordinals: 2 exact, 3 look-alikes, 4 separators, 5 leetspeak, 6 repetition, 7 and 8 leetspeak and repetition over the whole
 message without other characters, 9 fuzzy. Offsets are in the normalised text, for 7 and 8 in the cleaned one; a
@@ -17,6 +17,7 @@ from .match import find_all, lacks_match
 KEYS = ["message_id", "text_key"]
 METHOD = {2: "exact", 3: "homoglyph", 4: "separator_bypass", 5: "leetspeak", 6: "repetition", 7: "leetspeak", 8: "repetition", 9: "fuzzy"}
 _VIEW = "struct<ord: int, kind: string, view: string, source: string, base: int, level: int>"
+_PAIRS = "array<array<string>>"
 #: What a message brings to each of its rows, so that no later step has to fetch it.
 SIZES = ["n_length", "word_count"]
 FOUND = [*KEYS, *SIZES, "ord", "word", "base_score", "matched_form", "start", "end", "homoglyphs_detected", "distance"]
@@ -58,12 +59,15 @@ def _run_views(source: Column, ord_: int, threshold: int) -> Column:
 
 
 def views(messages: DataFrame, config: Config) -> DataFrame:
-    """(keys, n, ord, kind, view, source, base, level) for every reading of every message (keys, n[, options])."""
-    n, options = F.col("n"), "options" in messages.columns
+    """(keys, ord, kind, view, source, base, level, places, pairs) for every reading of every message (keys, n[, options]).
+
+    places and pairs, which every match of a reading looks up, are made once a reading.
+    """
+    options = "options" in messages.columns
     on = lambda name: _enabled(name, getattr(config, name).enabled, options)
-    look = tx.replace_homoglyphs(n)
-    spans = F.transform(tx.separator_spans(F.lower(n)), lambda s: _view(4, "clean", tx.strip_non_alnum(s["piece"]), s["piece"], s["start"]))
-    clean = tx.strip_keep_leet(n)
+    read = messages.withColumns({"low": F.lower("n"), "look": tx.replace_homoglyphs(F.col("n")), "clean": tx.strip_keep_leet(F.col("n"))})
+    n, look, clean = F.col("n"), F.col("look"), F.col("clean")
+    spans = F.transform(tx.separator_spans(F.col("low")), lambda s: _view(4, "clean", tx.strip_non_alnum(s["piece"]), s["piece"], s["start"]))
     changed = clean != n
     parts = [
         F.array(_view(2, "plain", n, n)),
@@ -74,8 +78,12 @@ def views(messages: DataFrame, config: Config) -> DataFrame:
         F.when(on("leetspeak") & changed, _leet_views(clean, 7)).otherwise(_none()),
         F.when(on("repetition") & changed, _run_views(clean, 8, config.repetition.threshold)).otherwise(_none()),
     ]
-    exploded = messages.select(*KEYS, *SIZES, "n", F.explode(F.concat(*(p.cast(f"array<{_VIEW}>") for p in parts))).alias("v"))
-    return exploded.select(*KEYS, *SIZES, "n", "v.*").where("view <> ''")
+    exploded = read.select(*KEYS, *SIZES, F.explode(F.concat(*(p.cast(f"array<{_VIEW}>") for p in parts))).alias("v"))
+    rows = exploded.select(*KEYS, *SIZES, "v.*").where("view <> ''")
+    source, ord_ = F.col("source"), F.col("ord")
+    kept = F.when(F.col("level") == 1, tx.kept_places(source, 1, keep_lines=False)).otherwise(tx.kept_places(source, config.repetition.threshold, keep_lines=True))
+    places = F.when(ord_ == 4, tx.alnum_places(source)).when(ord_.isin(6, 8), kept)
+    return rows.withColumns({"places": places, "pairs": F.when(ord_ == 3, tx.homoglyph_pairs(source)).otherwise(F.array().cast(_PAIRS))})
 
 
 def located(matches: DataFrame, config: Config) -> DataFrame:
@@ -84,9 +92,6 @@ def located(matches: DataFrame, config: Config) -> DataFrame:
     first = last - F.length("word") + 1  # a shortened pattern moves its word's start to the left
     ord_, source, base, level = F.col("ord"), F.col("source"), F.col("base"), F.col("level")
     rows = matches.withColumns({"first": first, "last": last})
-    alnum = tx.alnum_places(source)
-    kept = F.when(level == 1, tx.kept_places(source, 1, keep_lines=False)).otherwise(tx.kept_places(source, config.repetition.threshold, keep_lines=True))
-    rows = rows.withColumn("places", F.when(ord_ == 4, alnum).when(ord_.isin(6, 8), kept))
     place = lambda i: F.when(i >= 0, F.get("places", i))
     start = (
         F.when(ord_.isin(2, 3), F.col("first"))
@@ -104,8 +109,8 @@ def located(matches: DataFrame, config: Config) -> DataFrame:
     stop = F.when(ord_.isin(6, 8), F.col("end") + 1).otherwise(F.col("end"))
     form = F.when(ord_.isin(5, 7), source).otherwise(F.substring(source, F.col("start") - base + 1, F.greatest(stop - F.col("start"), F.lit(0))))
     rows = rows.withColumn("matched_form", form)
-    pairs = F.filter(tx.homoglyph_pairs(F.col("n")), lambda p: F.contains(F.col("matched_form"), F.get(p, 0)))
-    rows = rows.withColumns({"homoglyphs_detected": F.when(ord_ == 3, pairs).otherwise(F.array().cast("array<array<string>>")), "distance": F.lit(None).cast("int")})
+    pairs = F.filter("pairs", lambda p: F.contains(F.col("matched_form"), F.get(p, 0)))
+    rows = rows.withColumns({"homoglyphs_detected": pairs, "distance": F.lit(None).cast("int")}).select(*FOUND, "level", "last", "at", "pattern")
     # once runs are collapsed to one, only the first match of a word that the longer runs didn't show
     rows = rows.repartition(*KEYS)  # the one shuffle of all matches: the windows here and in resolved() share it
     mine = Window.partitionBy(*KEYS, "ord", "word")

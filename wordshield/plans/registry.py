@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import chars
 from ..functions import text as tx
-from ..operators import fuzzy, rules, score, stages
+from ..operators import fuzzy, rowwise, rules, score, stages
 from ..operators.match import find_all, has_match
 from ..sources import lexicon as lx
 from . import reports as rp
@@ -42,6 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, dealt over the cores: scanning a message costs far more than moving it."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def word_list(spark: SparkSession) -> lx.Lexicon:
     return lx.Lexicon.of(spark, [{"word": w, "base_score": s} for w, s in WORDS])
 
@@ -55,14 +61,19 @@ def conversations(spark: SparkSession, sf_dir: str, *disguise: tuple[str, str])
     text = F.col("text")
     for old, new in disguise:
         text = F.replace(text, F.lit(old), F.lit(new))
-    return table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), text.alias("text"))
+    rows = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    return rows.select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), text.alias("text"))
+
 
+def constants() -> rowwise.Constants:
+    return rowwise.Constants.of([Row(word=w, base_score=s, ord=k) for k, (w, s) in enumerate(WORDS)], CONFIG)
 
-def stage(spark: SparkSession, messages: DataFrame, *ords: int) -> DataFrame:
-    """What single stages find, before words found by earlier stages are left out."""
-    ready = prepared(messages, CONFIG)
-    seen = stages.views(ready, CONFIG).where(F.col("ord").isin(*ords))
-    return stages.located(find_all(seen, "view", stages.patterns_of(words(spark), CONFIG), kind="kind"), CONFIG).select("message_id", "ord", "word", "start", "end", "matched_form", "base_score")
+
+def stage(spark: SparkSession, messages: DataFrame, ord_: int) -> DataFrame:
+    """What a single stage finds, before words found by earlier stages are left out."""
+    found = rowwise.stage_column(ord_, constants(), CONFIG)
+    rows = prepared(messages, CONFIG, unique=True).select("message_id", F.inline(found))
+    return rows.select("message_id", "ord", "word", "start", "end", "matched_form", "base_score", "homoglyphs_detected", "distance")
 
 
 def sql_str(text: str) -> str:
@@ -100,7 +111,7 @@ def exact_scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, conversations(spark, sf_dir), 2).select("message_id", "word", "start", "end")
 
 
-_DOCUMENT_PARTS = "with d as (select doc_id, lower(substr(text, 1, 10000)) as n from documents), w(word) as (values ('thing'), ('nicht'), ('para')), p as (select doc_id, word, string_split(n, word) as parts from d, w where contains(n, word))"
+_DOCUMENT_PARTS = "with d as (select doc_id, lower(text) as n from documents), w(word) as (values ('thing'), ('nicht'), ('para')), p as (select doc_id, word, string_split(n, word) as parts from d, w where contains(n, word))"
 
 
 @query(f"{_DOCUMENT_PARTS} select doc_id, word, (list_sum(list_transform(parts[1:k::int], lambda x: length(x))) + (k - 1) * length(word))::int as start from (select *, unnest(range(1, len(parts))) as k from p)")
@@ -315,9 +326,10 @@ _NEAREST = "d as (select message_id, token, start, word, levenshtein(regexp_repl
 
 @query(f"with {sql_messages(*_EDITED)}, {_TOKENS}, {_BUDGET}, {_NEAREST} select message_id, word, token as matched_form, start, (start + length(token))::int as \"end\", distance::int as distance from d where nth = 1")
 def fuzzy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = prepared(conversations(spark, sf_dir, *_EDITED), CONFIG)
-    none = ready.where("false").select(*stages.KEYS, F.lit("").alias("word"))
-    return fuzzy.fuzzy_matches(ready, none, words(spark), CONFIG.fuzzy).select("message_id", "word", "matched_form", "start", "end", "distance")
+    ready = prepared(conversations(spark, sf_dir, *_EDITED), CONFIG, unique=True)
+    none = ready.withColumns({"found": F.array().cast(f"array<{rowwise.FOUND}>"), "covered": F.lit(False)})
+    found = rowwise.with_fuzzy(none, constants().lengths, CONFIG).select("message_id", F.inline("found"))
+    return found.select("message_id", "word", "matched_form", "start", "end", "distance")
 
 
 # --- resolution and scores

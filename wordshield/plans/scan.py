@@ -5,25 +5,27 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as tx
-from ..operators import fuzzy, score, stages
-from ..operators.match import find_all
+from ..operators import rowwise, score, stages
+from ..operators.match import SPLIT_UP_TO, find_all
 from ..sources.lexicon import Lexicon
 
 KEYS = stages.KEYS
+#: What a message may bring besides its text; options overrides the configuration, the others come out in its report.
+CARRIED = ("timestamp", "context")
 
 
 def prepared(messages: DataFrame, config: Config, id_col: str = "message_id", text_col: str = "text", unique: bool = False) -> DataFrame:
-    """(message_id, text_key, text, n, n_length, word_count[, options]): truncated, normalised texts.
+    """(message_id, text_key, text, n, n_length, word_count[, options, timestamp, context]): truncated, normalised texts.
 
     Rows of one id and text are one message; unique says that there are none, which saves shuffling the texts. A null or empty id becomes a hash of the text; a null text is empty.
     """
     text = tx.truncate(F.coalesce(F.col(text_col), F.lit("")), config.max_message_length)
-    more = ["options"] if "options" in messages.columns else []
+    more = [c for c in ("options", *CARRIED) if c in messages.columns and c not in (id_col, text_col)]
     rows = messages.select(F.col(id_col).cast("string").alias("message_id"), text.alias("text"), *more)
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     rows = rows.withColumn("message_id", F.coalesce(F.nullif("message_id", F.lit("")), F.concat(F.lit("m-"), F.sha1("text"))))
@@ -34,7 +36,7 @@ def prepared(messages: DataFrame, config: Config, id_col: str = "message_id", te
 
 @dataclass(frozen=True)
 class ScanResult:
-    """Lazy tables. Prepared messages and stage matches are kept while several results use them; release() frees them."""
+    """Lazy tables. What both are made from is kept on first use (keep); release() frees it."""
 
     detections: DataFrame
     reports: DataFrame
@@ -46,7 +48,7 @@ class ScanResult:
 
 
 def staged(messages: DataFrame, words: DataFrame, config: Config, variant: str = "auto") -> DataFrame:
-    """Resolved detections of all stages but the fuzzy one, of prepared messages."""
+    """Resolved detections of all stages but the fuzzy one, of prepared messages, as joins with the word list."""
     seen = stages.views(messages, config)
     found = stages.located(find_all(seen, "view", stages.patterns_of(words, config), variant, kind="kind"), config)
     if config.leetspeak.enabled or "options" in messages.columns:
@@ -54,42 +56,74 @@ def staged(messages: DataFrame, words: DataFrame, config: Config, variant: str =
     return stages.resolved(found)
 
 
+def _joined(ready: DataFrame, words: DataFrame, config: Config, variant: str, with_tags: bool) -> DataFrame:
+    """ready with ``found`` (and tags), where the list is too long to be a constant: the stages' matches are grouped by message, the fuzzy stage is the row's own."""
+    found = staged(ready, words, config, variant)
+    item = F.struct(*(F.col(f).alias(f) for f in ("ord", "end", "start", "word", "base_score", "matched_form", "homoglyphs_detected", "distance")))
+    more = []
+    if with_tags:
+        found = found.join(words.select("word", "tags"), "word", "left")
+        more = [F.map_from_entries(F.collect_set(F.struct("word", F.coalesce("tags", F.array().cast("array<string>"))))).alias("tags")]
+    listed = found.groupBy(*KEYS).agg(F.collect_list(item).alias("found"), F.max("covered").alias("covered"), *more)
+    rows = ready.join(listed, KEYS, "left")
+    rows = rows.withColumns({"found": F.coalesce(F.col("found").cast(f"array<{rowwise.FOUND}>"), F.array().cast(f"array<{rowwise.FOUND}>")), "covered": F.coalesce("covered", F.lit(False))})
+    return rowwise.with_fuzzy(rows, rowwise.Lengths.of_table(words, config.fuzzy), config).drop("covered")
+
+
+def _scored(tags: Column | None, config: Config) -> Column:
+    """The column found as an array of scored detections, by stage, end, start and word."""
+    method = F.create_map(*(F.lit(x) for k, v in stages.METHOD.items() for x in (k, v)))
+    none = F.array().cast("array<string>")
+
+    def each(d: Column, distinct: Column) -> Column:
+        def made(x: Column) -> Column:
+            columns = {"word": d["word"], "matched_form": d["matched_form"], "start": d["start"], "end": d["end"], "base_score": d["base_score"], "final_score": x["score"], "method": x["method"]}
+            columns |= {"sub_methods": F.when(x["method"] == "exact", none).otherwise(F.array(x["method"])), "homoglyphs_detected": d["homoglyphs_detected"], "distance": d["distance"]}
+            columns |= {"tags": none if tags is None else F.coalesce(F.try_element_at(tags, d["word"]), none), "tier": score.tier_of(x["score"], config.tiers)}
+            return F.struct(*(v.alias(k) for k, v in columns.items()))
+
+        named = F.element_at(method, d["ord"])
+        return tx.once(F.struct(named.alias("method"), score.final_score(d["base_score"], named, d["distance"], F.col("word_count"), distinct).alias("score")), made)
+
+    distinct = F.size(F.array_distinct(F.transform("found", lambda d: F.lower(d["word"]))))
+    return tx.once(distinct, lambda n: F.transform(F.array_sort("found"), lambda d: each(d, n)))
+
+
 def scan(messages: DataFrame, lexicon: Lexicon, config: Config | None = None, *, id_col: str = "message_id", text_col: str = "text", variant: str = "auto", with_tags: bool = False, keep: bool = True, unique: bool = False) -> ScanResult:
     """Find the words of the list, plain and disguised, in every message.
 
     detections: one row each, scored; reports: one row a message with its detections (by stage, end, start, word), summary
-    and action. All stages share one shuffle by message; the word list is broadcast (at most Config.max_words words).
-    An empty list or message gives reports without detections.
+    and action, and the message's timestamp and context if it has them. A list of up to SPLIT_UP_TO enabled words becomes
+    constants of the plan, and each message is scanned within its row, without a join or shuffle ("rows"). A longer one, of
+    at most Config.max_words words, is joined by shingles. variant names another way. An empty list or message gives
+    reports without detections.
     """
     config = config or Config()
     words = lexicon.patterns()
+    most = config.max_words
+    if variant in ("auto", "rows"):
+        head = words.limit((SPLIT_UP_TO if variant == "auto" else most) + 1).collect()
+        variant = "rows" if variant == "rows" or len(head) <= SPLIT_UP_TO else "shingle"
+    over = len(head) > most if variant == "rows" else words.limit(most + 1).count() > most
+    if over:
+        raise ValueError(f"more than {most} words")
     ready = prepared(messages, config, id_col, text_col, unique)
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK) if keep else ready
-    found = staged(ready, words, config, variant)
-    found = found.persist(StorageLevel.MEMORY_AND_DISK) if keep else found
-    out = found.drop("covered")
-    options = "options" in messages.columns
-    if config.fuzzy.enabled or options:
-        wanted = ready.where(F.coalesce("options.fuzzy", F.lit(config.fuzzy.enabled))) if options else ready
-        open_ = wanted.join(found.where("covered").select(*KEYS).distinct(), KEYS, "left_anti")
-        near = fuzzy.fuzzy_matches(open_, found, words, config.fuzzy)
-        if options:
-            limit = ready.select(*KEYS, F.coalesce("options.max_distance", F.lit(config.fuzzy.max_distance)).alias("most"))
-            near = near.join(limit, KEYS).where("distance <= most").drop("most")
-        out = out.unionByName(near.withColumn("method", F.lit("fuzzy")))
-    sub = F.when(F.col("method") == "exact", F.array().cast("array<string>")).otherwise(F.array("method"))
-    tags = F.array().cast("array<string>")
-    out = out.withColumn("sub_methods", sub)
-    if with_tags:
-        out = out.join(F.broadcast(words.select("word", "tags")), "word")
+    kept: list[DataFrame] = []
+
+    def keeping(df: DataFrame) -> DataFrame:
+        if keep:
+            kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    if variant == "rows":
+        constants = rowwise.Constants.of(head, config)
+        rows = rowwise.detected(ready, constants, config)
+        tags = constants.tags if with_tags else None
     else:
-        out = out.withColumn("tags", tags)
-    out = score.scored(out, KEYS, config)
-    fields = ["word", "matched_form", "start", "end", "base_score", "final_score", "method", "sub_methods", "homoglyphs_detected", "distance", "tags", "tier"]
-    detections = out.select(*KEYS, "ord", *fields)
-    listed = detections.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ord", "end", "start", "word", F.struct(*fields).alias("d")))).alias("all"))
-    listed = listed.select(*KEYS, F.transform("all", lambda x: x["d"]).alias("found"))
-    none = F.filter("found", lambda d: F.lit(True))
-    reports = ready.join(listed, KEYS, "left").withColumn("detections", F.coalesce(none, F.array()))
-    reports = reports.withColumn("summary", score.summary_of("detections", config))
-    return ScanResult(detections.drop("text_key", "ord"), reports.select("message_id", "text", F.col("n").alias("normalized_text"), "word_count", "detections", "summary"), (ready, found) if keep else ())
+        rows = _joined(keeping(ready), words, config, variant, with_tags)
+        tags = F.coalesce("tags", F.create_map().cast("map<string, array<string>>")) if with_tags else None
+    carried = [c for c in CARRIED if c in ready.columns]
+    rows = rows.select("message_id", *carried, "text", F.col("n").alias("normalized_text"), "word_count", _scored(tags, config).alias("detections"))
+    rows = keeping(rows)
+    reports = rows.withColumn("summary", score.summary_of("detections", config))
+    return ScanResult(rows.select("message_id", F.inline("detections")), reports, tuple(kept))
