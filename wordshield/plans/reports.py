@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NullType, StringType, StructField, StructType
 
 from ..config import Config
 from ..schemas import REPORT
@@ -23,8 +26,8 @@ def of_tier(reports: DataFrame, tier: str, limit: int = 100, offset: int = 0) ->
 
 
 def current(reports: DataFrame) -> DataFrame:
-    """The last report of each message id."""
-    last = Window.partitionBy("message_id").orderBy(F.desc("timestamp"))
+    """The last report of each message id; of equal times, the one whose JSON hashes lowest."""
+    last = Window.partitionBy("message_id").orderBy(F.desc("timestamp"), F.xxhash64(F.to_json(F.struct(*reports.columns))))
     return reports.withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth")
 
 
@@ -33,21 +36,25 @@ def since(reports: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def stats(reports: DataFrame) -> DataFrame:
-    """One row: reports, detections, blocked and flagged messages, mean score of the messages' highest."""
+    """One row: reports, detections, blocked and flagged messages, mean score of the messages' highest, and mean processing time where reports have one."""
     action = F.col("summary.action")
+    timed = [F.coalesce(F.round(F.avg("processing_time_ms"), 2), F.lit(0.0)).alias("average_processing_time_ms")] if "processing_time_ms" in reports.columns else []
     return reports.agg(
         F.count("*").alias("total_messages"),
         F.coalesce(F.sum("summary.total_detections"), F.lit(0)).alias("total_detections"),
         F.count_if(action == "block").alias("blocked"),
         F.count_if(action == "flag").alias("flagged"),
         F.coalesce(F.round(F.avg("summary.highest_score"), 2), F.lit(0.0)).alias("average_highest"),
+        *timed,
     )
 
 
-def top_words(reports: DataFrame, limit: int = 10) -> DataFrame:
-    """The most detected words and their counts; equal counts by the word."""
-    words = reports.select(F.explode("detections").alias("d")).select(F.lower("d.word").alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+def top_words(reports: DataFrame, limit: int = 10, first_seen: bool = False) -> DataFrame:
+    """The most detected words and their counts; equal counts by the word, or by the earliest report with it."""
+    seen = [F.struct("timestamp", "message_id").alias("at")] if first_seen else []
+    words = reports.select(*seen, F.explode("detections").alias("d")).withColumn("word", F.lower("d.word"))
+    firsts = [F.min("at").alias("at")] if first_seen else []
+    return words.groupBy("word").agg(F.count("*").alias("n"), *firsts).orderBy(F.desc("n"), *(["at"] if first_seen else []), "word").limit(limit).select("word", "n")
 
 
 def windowed(reports: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -59,33 +66,54 @@ def windowed(reports: DataFrame, width: str = "1 hour") -> DataFrame:
 
 @dataclass
 class ReportTable:
-    """Reports in Parquet, one folder a day, so time filters and expiry prune folders."""
+    """Reports in Parquet or JSON lines, one folder a day, so time filters and expiry prune folders."""
 
     spark: SparkSession
     path: str
     config: Config = Config()
     hooks: tuple[Callable[[DataFrame], None], ...] = ()
-
-    def append(self, reports: DataFrame) -> None:
-        """Add reports (message_id, text, normalized_text, detections, summary[, timestamp]); hooks get what was added."""
-        stamped = reports if "timestamp" in reports.columns else reports.withColumn("timestamp", F.current_timestamp())
-        day = F.to_date("timestamp").alias("day")
-        rows = stamped.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in REPORT), day)
-        rows.write.mode("append").partitionBy("day").parquet(self.path)
-        for hook in self.hooks:
-            hook(rows)
+    form: str = "parquet"
+
+    @staticmethod
+    def configured(spark: SparkSession, config: Config, path: str = "./data/reports", **more) -> ReportTable:
+        """At $REPORT_PATH as it was when config was loaded, else at path."""
+        return ReportTable(spark, config.environment.get("REPORT_PATH", path), config, **more)
+
+    def append(self, reports: DataFrame, processing_time_ms: float | None = None) -> None:
+        """Add reports (message_id, text, normalized_text, detections, summary[, timestamp, context]).
+
+        Hooks get the rows as they were stored: they are read back, so nothing is scanned or stamped twice.
+        """
+        number = uuid.uuid4().hex
+        given = {"timestamp": F.current_timestamp(), "context": F.lit(None), "processing_time_ms": F.lit(processing_time_ms)}
+        full = reports.withColumns({k: v for k, v in given.items() if k not in reports.columns} | {"appended": F.lit(number)})
+        if not isinstance(full.schema["context"].dataType, (StringType, NullType)):
+            full = full.withColumn("context", F.to_json("context"))
+        rows = full.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in REPORT), F.to_date("timestamp").alias("day"))
+        rows.write.mode("append").partitionBy("day").format(self.form).save(self.path)
+        if self.hooks:
+            stored = self.all().where(F.col("appended") == number).drop("day", "appended")
+            for hook in self.hooks:
+                hook(stored)
 
     def all(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        schema = StructType([*REPORT.fields, StructField("day", DateType())])
+        return self.spark.read.schema(schema).format(self.form).load(self.path)
 
     def get(self, message_id: str) -> DataFrame:
-        return current(self.all().where(F.col("message_id") == message_id)).drop("day")
+        return current(self.all().where(F.col("message_id") == message_id)).drop("day", "appended")
+
+    def page(self, page: int = 1, size: int = 50, tier: str | None = None) -> tuple[DataFrame, int]:
+        """A page, latest first or in order of arrival within a tier, and how many reports there are in all pages."""
+        rows = self.all()
+        total = rows.where(F.col("summary.tier") == tier).count() if tier else rows.count()
+        return (of_tier(rows, tier, size, (page - 1) * size) if tier else newest(rows, size, (page - 1) * size)), total
 
     def stats(self, hours: int = 24) -> DataFrame:
         return stats(self._recent(hours))
 
     def top_words(self, hours: int = 24, limit: int = 10) -> DataFrame:
-        return top_words(self._recent(hours), limit)
+        return top_words(self._recent(hours), limit, first_seen=True)
 
     def _recent(self, hours: int) -> DataFrame:
         cutoff = F.current_timestamp() - F.make_dt_interval(hours=F.lit(hours))
@@ -105,19 +133,19 @@ class ReportTable:
 
     def export(self, path: str, form: str = "json") -> None:
         """The newest reports (Config.reporting.export_limit) as JSON or Parquet."""
-        newest(self.all().drop("day"), self.config.reporting.export_limit).write.mode("overwrite").format(form).save(path)
+        newest(self.all().drop("day", "appended"), self.config.reporting.export_limit).write.mode("overwrite").format(form).save(path)
 
 
 def post_each(send: Callable[[str], None]) -> Callable[[DataFrame], None]:
-    """A hook that hands every report, as JSON, to send() in the tasks; a failure of one is ignored."""
+    """A hook that hands every report, as JSON, to send() in the tasks; a failure of one, whatever its kind, is logged and ignored."""
 
     def hook(reports: DataFrame) -> None:
         def partition(rows) -> None:
             for row in rows:
                 try:
                     send(row["json"])
-                except OSError:
-                    continue
+                except Exception:
+                    logging.getLogger(__name__).debug("report not sent", exc_info=True)
 
         reports.select(F.to_json(F.struct("*")).alias("json")).foreachPartition(partition)
 

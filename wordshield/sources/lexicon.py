@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..schemas import LEXICON
 
 # The words that a new list starts with, in order.
@@ -64,6 +66,15 @@ def read_json(spark: SparkSession, path: str, default_score: float = 0.5) -> Dat
     return filled.where(key(F.col("word")) != "").select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in LEXICON))
 
 
+def _snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """A saved list, as JSON lines or as one array; missing fields get defaults, of equal keys the last row counts, and rows without an id get new ones."""
+    rows = read_json(spark, path)
+    if path.endswith(".json"):  # written by another program, so keys may repeat
+        return upserted(spark.createDataFrame([], LEXICON), rows)
+    saved = spark.read.schema(LEXICON).json(path)
+    return saved.withColumns({"base_score": F.coalesce("base_score", F.lit(0.5)), "tags": F.coalesce("tags", F.array().cast("array<string>")), "enabled": F.coalesce("enabled", F.lit(True))})
+
+
 READERS = {"json": read_json, "csv": read_csv}
 
 
@@ -79,8 +90,9 @@ def from_rows(spark: SparkSession, rows: list[dict], max_words: int = 100_000) -
     for r in rows:
         if not 1 <= len(r["word"]) <= 256 or not 0 <= r.get("base_score", 0.5) <= 1:
             raise ValueError(f"not a valid entry: {r}")
-    data = [(r["word"], float(r.get("base_score", 0.5)), list(r.get("tags", [])), r.get("enabled", True), k) for k, r in enumerate(rows)]
-    return _entries(spark.createDataFrame(data, "word string, base_score double, tags array<string>, enabled boolean, ord long"))
+    made = {"word": [r["word"] for r in rows], "base_score": [float(r.get("base_score", 0.5)) for r in rows], "tags": [list(r.get("tags", [])) for r in rows], "enabled": [bool(r.get("enabled", True)) for r in rows], "ord": list(range(len(rows)))}
+    types = {"word": pa.string(), "base_score": pa.float64(), "tags": pa.list_(pa.string()), "enabled": pa.bool_(), "ord": pa.int64()}
+    return _entries(spark.createDataFrame(pa.table({k: pa.array(v, types[k]) for k, v in made.items()})))
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -113,12 +125,21 @@ class Lexicon:
     @staticmethod
     def load(spark: SparkSession, path: str | None = None, fill: bool = True) -> Lexicon:
         """The list persisted at path; fill adds those default words that it lacks."""
-        found = Lexicon(spark.read.schema(LEXICON).json(path)) if path else Lexicon.empty(spark)
+        found = Lexicon(_snapshot(spark, path)) if path else Lexicon.empty(spark)
         if not fill:
             return found
         missing = from_rows(spark, [{"word": w} for w in DEFAULT_WORDS]).join(found.entries.select(key(F.col("word")).alias("k")), F.col("word") == F.col("k"), "left_anti")
         return found.add_many(missing)
 
+    @staticmethod
+    def configured(spark: SparkSession, config: Config, path: str | None = None) -> Lexicon:
+        """The list persisted at path, filled up from the TXT list of $WORD_LIST_PATH or the configuration, else from the default words; words without a score get default_base_score."""
+        source = config.environment.get("WORD_LIST_PATH", config.word_list_path)
+        found = Lexicon.load(spark, path, fill=False)
+        more = read_txt(spark, source, config.default_base_score) if source else from_rows(spark, [{"word": w, "base_score": config.default_base_score} for w in DEFAULT_WORDS])
+        known = found.entries.select(key(F.col("word")).alias("k"))
+        return found.add_many(more.join(known, key(F.col("word")) == F.col("k"), "left_anti"))
+
     def save(self, path: str) -> None:
         self.entries.write.mode("overwrite").json(path)
 
@@ -128,6 +149,10 @@ class Lexicon:
     def get(self, word: str) -> DataFrame:
         return self.entries.where(key(F.col("word")) == word.lower().strip())
 
+    def has(self, word: str) -> bool:
+        """Whether the word is listed, so that a change of one that isn't can be answered."""
+        return bool(self.get(word).limit(1).count())
+
     def get_by_id(self, id_: int) -> DataFrame:
         return self.entries.where(F.col("id") == id_)
 

@@ -19,19 +19,19 @@ def unique_messages(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
     return stamped.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["message_id"])
 
 
-def scan_stream(messages: DataFrame, lexicon: Callable[[], Lexicon], path: str, checkpoint: str, config: Config | None = None) -> StreamingQuery:
-    """Start writing the reports of a stream (message_id, text, timestamp) to path, one folder a micro-batch.
+def scan_stream(messages: DataFrame, lexicon: Callable[[], Lexicon], path: str, checkpoint: str, config: Config | None = None, every: str | None = None) -> StreamingQuery:
+    """Start writing the reports of a stream (message_id, text[, timestamp, context, options]) to path, one folder a micro-batch.
 
-    The list is read again for each micro-batch, so changes take effect; a repeated micro-batch overwrites its folder.
+    The list is read again for each micro-batch, so changes take effect; a repeated micro-batch overwrites its folder. A
+    message's timestamp goes through the scan with it. every: how often to run, such as "10 seconds"; None ends with the backlog.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        result = scan(batch, lexicon(), config)
-        times = batch.groupBy("message_id").agg(F.max("timestamp").alias("timestamp"))
-        result.reports.join(times, "message_id", "left").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        result.release()
+        result = scan(batch, lexicon(), config, keep=False)
+        result.reports.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def live_stats(reports: DataFrame, width: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
