@@ -17,6 +17,10 @@ _CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_PRIME = np.uint64(2**31 - 1)
+_PRIME_CODES = _rng.integers(1, 2**31 - 1, 256, dtype=np.uint64)
+_PRIME_BASE = 1_220_703_125
+_prime_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,22 +42,39 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x or less, equal modulo the prime: its upper bits added to its lower 31."""
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
+def _prime_power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_prime_powers[0]) < n:
+        for k, base in enumerate((_PRIME_BASE, pow(_PRIME_BASE, -1, int(_PRIME)))):
+            p = np.ones(1, np.uint64)
+            while len(p) < n:
+                p = np.concatenate((p, p * np.uint64(pow(base, len(p), int(_PRIME))) % _PRIME))
+            _prime_powers[k] = p
+    return _prime_powers[0], _prime_powers[1]
+
+
 class RangeHash:
-    """64-bit hashes of any byte ranges of one buffer, from prefix sums; equal contents hash alike at any place."""
+    """64-bit hashes of any byte ranges of one buffer, from prefix sums; equal contents hash alike at any place.
+
+    Two polynomials of the bytes' codes are mixed. One is modulo 2**64, where some texts collide by construction, whatever the
+    base (such as the Thue-Morse word of 1,024 letters and its complement); the other is modulo a prime, where they don't.
+    """
 
     def __init__(self, buf: np.ndarray):
         up, self.down = _power(len(buf) + 1)
-        self.sums = np.empty(len(buf) + 1, np.uint64)
-        self.sums[0] = 0
+        self.sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(_CODES[buf] * up[: len(buf)], out=self.sums[1:])
+        up, self.prime_down = _prime_power(len(buf) + 1)
+        self.prime_sums = np.zeros(len(buf) + 1, np.uint64)  # of terms under 2**32, so they can't overflow
+        np.cumsum(_folded(_PRIME_CODES[buf] * up[: len(buf)]), out=self.prime_sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
-
-    def fixed(self, width: int) -> np.ndarray:
-        """Of all ranges of this width, by start."""
-        n = len(self.sums) - width
-        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
+        second = (self.prime_sums[end] - self.prime_sums[start]) % _PRIME * self.prime_down[start] % _PRIME
+        return mix((self.sums[end] - self.sums[start]) * self.down[start] ^ second * np.uint64(0xD6E8FEB86659FD93))
 
 
 def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
