@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def prefix_sums(rows: DataFrame, order: list[str], size: str, partitions: int | None = None) -> DataFrame:
+def prefix_sums(rows: DataFrame, order: list[str], size: str, rows_per_partition: int = 2_000_000) -> DataFrame:
     """rows with ``before`` (sum of size over all rows before it in the order) and ``number`` (rows before it), over the whole table.
 
-    Rows are range-partitioned by the order and written; each partition's total then shifts its own running sums. Only
-    one row a partition meets in one task. Equal rows may land in either order, which no result can tell.
+    Rows are range-partitioned by the order, into spark.sql.shuffle.partitions or more of about rows_per_partition, and
+    written; each partition's total then shifts its own running sums. Only one row a partition meets in one task. Equal
+    rows may land in either order, which no result can tell. The order's columns go to the driver as samples: keep them short.
     """
     spark = rows.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_per_partition))
     ranged = written(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy("part").agg(F.sum(size).alias("part_size"), F.count("*").alias("part_rows"))
     so_far = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
@@ -37,10 +38,16 @@ def byte_shards(rows: DataFrame, group: Column, size: Column, shards: int, id_co
     keyed = rows.select(F.col(id_col).alias("id"), group.alias("grp"), size.cast("long").alias("size"))
     placed = written(prefix_sums(keyed, ["grp", "id"], "size"), "placed")
     total = placed.agg(F.sum("size")).first()[0] or 1
-    groups = placed.groupBy(F.col("grp").alias("of")).agg(F.min("before").alias("group_start"), F.sum("size").alias("group_size"))
-    whole = F.col("group_size") * shards <= F.lit(float(whole_groups_up_to * total))
-    middle = F.when(whole, F.col("group_start") * 2 + F.col("group_size")).otherwise(F.col("before") * 2 + F.col("size"))
-    shard = F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / (2 * total))).cast("int")
-    out = placed.join(groups, F.col("grp").eqNullSafe(F.col("of"))).select("id", "grp", "size", "number", shard.alias("shard"))
+    shard_of = lambda twice: F.least(F.lit(shards - 1), F.floor(twice.cast("decimal(38,0)") * shards / (2 * total))).cast("int")
+    placed = placed.withColumn("own", shard_of(F.col("before") * 2 + F.col("size")))
+    # only a group over a target can move, and a target has one such group: those few are looked up
+    edges = placed.groupBy("own").agg(F.min_by("grp", "number").alias("low"), F.max_by("grp", "number").alias("high"))
+    both = edges.select("own", "low").union(edges.select("own", "high"))
+    cut = both.groupBy(F.col("low").alias("of")).agg(F.count_distinct("own").alias("shards")).where("shards > 1").select("of")  # fewer than shards
+    groups = placed.join(F.broadcast(cut), F.col("grp").eqNullSafe(F.col("of"))).groupBy("of").agg(F.min("before").alias("group_start"), F.sum("size").alias("group_size"))
+    groups = groups.where(F.col("group_size") * shards <= F.lit(float(whole_groups_up_to * total)))
+    out = placed.join(F.broadcast(groups), F.col("grp").eqNullSafe(F.col("of")), "left")
+    twice = F.when(F.col("of").isNull(), F.col("before") * 2 + F.col("size")).otherwise(F.col("group_start") * 2 + F.col("group_size"))
+    out = out.select("id", "grp", "size", "number", shard_of(twice).alias("shard"))
     firsts = out.groupBy("shard").agg(F.min("number").alias("first"))  # at most one row a shard
     return out.join(F.broadcast(firsts), "shard").select("id", "grp", "size", "shard", (F.col("number") - F.col("first")).alias("slot"))
