@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set to a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a temporary one takes its place in local mode; on a cluster that is an error, as executors don't share their disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -62,7 +65,7 @@ def inputs(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> Da
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
 
 
-def small(df: DataFrame, limit_bytes: int, row_bytes: int) -> bool:
-    """Whether df has at most limit_bytes at row_bytes a row; counts no further than that."""
-    most = max(1, limit_bytes // row_bytes)
-    return df.limit(most + 1).count() <= most
+def small(df: DataFrame, limit_bytes: int, overhead: int, *texts: Column) -> bool:
+    """Whether df's rows take at most limit_bytes, by the measured bytes of their texts and `overhead` a row."""
+    size = sum((F.coalesce(F.octet_length(t), F.lit(0)).cast("long") for t in texts), F.lit(overhead).cast("long"))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= limit_bytes

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,10 @@ from .common import drop_written, written
 from .kernels import sliced
 
 
+#: A run of white space that the pattern of the ranks might not take.
+_LONG_GAP = re.compile(r"\s{10000}")
+
+
 def load_ranks(ranks_path: str, pattern: str, end_of_text: tuple[str, int]):
     """The byte-level BPE of a .tiktoken file; end_of_text is matched inside texts, as the twin .json does by default."""
     import base64
@@ -25,13 +30,33 @@ def load_ranks(ranks_path: str, pattern: str, end_of_text: tuple[str, int]):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict([end_of_text]))
 
 
+def encoder(ranks_path: str, pattern: str, end_of_text: tuple[str, int], tokenizer_path: str):
+    """Token ids of a text, by the ranks or, where their pattern can't take the text (very long runs of blanks exhaust its backtracking), by the tokenizer file."""
+    model, names, slow = load_ranks(ranks_path, pattern, end_of_text), {end_of_text[0]}, []
+
+    def encode(text: str) -> np.ndarray:
+        if not _LONG_GAP.search(text):
+            try:
+                return model.encode_to_numpy(text, allowed_special=names)
+            except ValueError:
+                pass
+        if not slow:
+            from tokenizers import Tokenizer
+
+            slow.append(Tokenizer.from_file(tokenizer_path))
+            slow[0].no_truncation()
+        return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
+
+
 def cut_lengths(n: int, capacity: int) -> list[int]:
     """Lengths of the pieces of n tokens: full ones, and what is over as a shorter first piece."""
     first = n % capacity
     return [first] * (first > 0) + [capacity] * (n // capacity)
 
 
-def encode_pieces(docs: DataFrame, ranks_path: str, pattern: str, end_of_text: tuple[str, int], final_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, ranks_path: str, pattern: str, end_of_text: tuple[str, int], tokenizer_path: str, final_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Written table (piece_key, id, piece, start, length, ids): each row's token ids (little-endian unsigned 32-bit), cut.
 
     Equal rows are packed each for itself: piece_key, not the id, names a piece. A null text is empty: one piece, final_id.
@@ -39,8 +64,7 @@ def encode_pieces(docs: DataFrame, ranks_path: str, pattern: str, end_of_text: t
     kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load_ranks(ranks_path, pattern, end_of_text)
-        names = {end_of_text[0]}
+        model = encoder(ranks_path, pattern, end_of_text, tokenizer_path)
         for batch in sliced(batches):
             rows: dict[str, list] = {x: [] for x in ("at", "piece", "start", "length", "ids")}
             size = 0
@@ -49,7 +73,7 @@ def encode_pieces(docs: DataFrame, ranks_path: str, pattern: str, end_of_text: t
                 return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows["at"], pa.int64())), pa.array(rows["piece"], pa.int32()), pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int64()), pa.array(rows["ids"], pa.binary())], ["id", "piece", "start", "length", "ids"])
 
             for k, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.append(model.encode_to_numpy(text, allowed_special=names), final_id).astype("<u4")
+                ids = np.append(model(text), final_id).astype("<u4")
                 start = 0
                 for piece, n in enumerate(cut_lengths(len(ids), capacity)):
                     for name, x in (("at", k), ("piece", piece), ("start", start), ("length", n), ("ids", ids[start : start + n].tobytes())):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +42,17 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
-    windows = chat_format.read_back(chat_format.format_chats(turns.union(extra)))
-    whole = windows.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "targets"))).alias("w"), F.sum("n_chars").alias("formatted_chars"))
-    said = F.flatten(F.transform("w", lambda w: w["turns"]))
-    text = F.array_join(F.transform(said, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.flatten(F.transform("w", lambda w: w["targets"])), "")
-    return whole.select(F.col("conv").alias("conv_id"), F.size(said).cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+    def digests(windows: DataFrame) -> DataFrame:
+        back = chat_format.read_back(windows)
+        whole = back.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "targets"))).alias("w"), F.sum("n_chars").alias("formatted_chars"))
+        said = F.flatten(F.transform("w", lambda w: w["turns"]))
+        text = F.array_join(F.transform(said, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+        loss = F.array_join(F.flatten(F.transform("w", lambda w: w["targets"])), "")
+        return whole.select(F.col("conv").alias("conv_id"), F.size(said).cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+    # each part for itself, so that the one that is dealt by conversation needn't be dealt again
+    return reduce(DataFrame.unionByName, map(digests, chat_format.format_parts(turns.union(extra))))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +63,7 @@ def packed_pieces(docs: DataFrame) -> DataFrame:
     """All documents in sequences of 1024 tokens, each document closed by id 2; the digest is of the written ids."""
     import public_tokenizers
 
-    pieces = packing.encode_pieces(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("<|endoftext|>", 50_256), final_id=2, capacity=1024)
+    pieces = packing.encode_pieces(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("<|endoftext|>", 50_256), vocabulary("byte_bpe_50k.json"), final_id=2, capacity=1024)
     placed = packing.pack(pieces.select("piece_key", "length"), capacity=1024)
     digest = pieces.select("piece_key", F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return digest.join(placed, "piece_key").drop("piece_key")
