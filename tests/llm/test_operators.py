@@ -275,12 +275,14 @@ def test_chat_format(spark):
         assert (got[k]["n_turns"], got[k]["turns_sha256"], got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(rows), sha("".join(f"{role}\n{t}\n" for _, role, t in rows)), len(loss), sha(loss))
 
 
-def test_chat_windows(spark):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_chat_windows(spark, hot):
+    """Conversations dealt over tasks, and conversations that each stay in one."""
     control = r"\ \\ <|turn|>x<|text|>y<|end|> <s></s> <<SYS>> [INST] \<|end|> <\|end|>"
     rows = [(1, 0, "system", "Be brief. " + control)] + [(1, k, ("assistant", "user")[k % 2], f"{k} {control} " * (k % 5 + 1)) for k in range(1, 60)]
     rows += [(2, None, None, None), (2, 0, "assistant", ""), (None, 3, "user<|text|>", "hi"), (3, 1, "assistant", "same"), (3, 1, "assistant", "same"), (4, 1, "assistant", "word " * 500), (4, 2, "user", "after")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(1))
-    windows = chat_format.format_chats(df, target_tokens=120, history_tokens=60)
+    windows = chat_format.format_chats(df, target_tokens=120, history_tokens=60, hot=hot)
     found = sorted(windows.collect(), key=lambda r: (r["conv"] or -9, r["window"]))
     back = {(r["conv"], r["window"]): r for r in chat_format.read_back(windows).collect()}
     by = defaultdict(list)
@@ -296,6 +298,12 @@ def test_chat_windows(spark):
     assert empty(df).sparkSession and chat_format.format_chats(empty(df)).count() == 0
 
 
+def test_chat_windows_are_the_same_either_way(spark):
+    table = spark.read.parquet(f"{SF}/conversations.parquet")
+    made = [Counter(tuple(map(str, r)) for r in chat_format.format_chats(table, target_tokens=150, history_tokens=80, hot=hot).collect()) for hot in (1, 30, 1000)]
+    assert made[0] == made[1] == made[2]
+
+
 def brute_base(text, window=8):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -451,3 +459,39 @@ def test_queries_have_their_columns(spark):
     assert set(want) == set(queries.QUERIES)
     for name, columns in want.items():
         assert set(columns.split()) <= set(queries.QUERIES[name](spark, SF).columns), name
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_hashes_tell_texts_that_collide_modulo_powers_of_two(spark):
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = spark.createDataFrame([(1, f"{word} x {other} x"), (2, f"{word} x"), (3, f"{other} x")], "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(texts).collect()}
+    assert got == {1: (3, 1), 2: (1, 2), 3: (1, 3)}
+
+
+def test_packing_of_very_long_gaps(spark):
+    rows = [(1, " " * 2_000_000), (2, "a" + "\n" * 1_000_000 + "b"), (3, "plain text"), (4, "word " * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bins, bound = check_packing(df, queries.packed_pieces(df))
+    assert bound <= bins <= bound + 1
+
+
+def test_near_duplicates_of_mixed_buckets(spark, monkeypatch):
+    """Large buckets of several classes, with few members a task: a base with near copies, and relatives that are linked with some of them only."""
+    rng = np.random.default_rng(8)
+    base = [f"t{k}" for k in range(60)]
+    rows = []
+    for k in range(150):
+        w = base[:]
+        for p in rng.choice(60, k % 14, replace=False):
+            w[p] = f"n{k}x{p}"
+        rows.append((k, " ".join(w)))
+    linked = near_dedup._linked
+    monkeypatch.setattr(near_dedup, "_linked", lambda *a: linked(*a, all_pairs_up_to=4, centres=1, per_task=7))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df, width=2).collect())
+    assert got == brute_components(rows, 2)

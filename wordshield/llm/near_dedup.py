@@ -160,21 +160,23 @@ def _shared(nodes: DataFrame) -> DataFrame:
     return shared.join(nodes.select("node", F.struct("n", "bitmap").alias("about")), "node")
 
 
-def _linked(sized: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, all_pairs_up_to: int = 16, centres: int = 12) -> DataFrame:
+def _linked(sized: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, all_pairs_up_to: int = 16, centres: int = 12, per_task: int = 512) -> DataFrame:
     """(node, label): components of the verified links between nodes of one bucket, as _shared() lists them.
 
     Buckets of at most all_pairs_up_to members give all their pairs. Each larger one has a member as its
     centre, and its members try at most `centres` of their buckets' centres; that connects nearly all of a large group of
-    near copies with a few pairs a member. What is left are pairs of one bucket that aren't connected yet; all of
-    those are tried, so no link is lost. A pair is verified only if its bitmaps allow the similarity, which the joins
-    themselves check: pairs that don't are never rows.
+    near copies with a few pairs a member. What is left are pairs of one bucket that aren't connected yet. Of the
+    bucket's classes of connected members, those outside the largest meet all others (so a bucket with one member apart takes
+    as many tests as it has members), `per_task` members of the bucket at a time in a task; no link is lost. A pair is
+    verified only if its bitmaps allow the similarity, which the joins themselves check: pairs that don't are never rows.
     """
     about = nodes.select("node", F.struct("n", "bitmap").alias("about"))
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number keeps tasks of few bytes but many tests apart
 
     def side(df: DataFrame, k: str, *more: str) -> DataFrame:
         return df.select("bucket", F.col("node").alias(k), F.col("about").alias(f"about_{k}"), *(F.col(m).alias(f"{m}_{k}") for m in more))
 
-    low, high = sized.where(F.col("size") <= all_pairs_up_to), sized.where(F.col("size") > all_pairs_up_to)
+    low, high = sized.where(F.col("size") <= all_pairs_up_to).repartition(tasks, "bucket"), sized.where(F.col("size") > all_pairs_up_to)
     same, possible = (F.col("left.bucket") == F.col("right.bucket")) & (F.col("a") < F.col("b")), _possible("about_a", "about_b", percent)
     pairs = side(low, "a").alias("left").join(side(low, "b").alias("right"), same & possible).select("a", "b")
 
@@ -191,14 +193,21 @@ def _linked(sized: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, pe
     else:
         early = connected_components(links, most_rounds=2)
         known = high.join(early, "node", "left").select("bucket", "node", "about", F.coalesce("label", "node").alias("label"))
-        mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        classes = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        mixed = classes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("members"), F.max(F.struct("n", "label"))["label"].alias("main")).where("classes > 1")
+        mixed = mixed.select("bucket", "main", F.ceil(F.col("members") / per_task).cast("int").alias("parts"))
         short = lambda x: F.pmod(x, F.lit(2_147_483_647)).cast("int")
         bands = nodes.select("node", F.transform("bands", short).alias("bands"))
         known = known.join(mixed, "bucket").join(bands, "node").withColumn("earlier", F.slice("bands", 1, F.array_position("bands", short(F.col("bucket"))).cast("int") - 1))
         known = written(known.drop("bands"), "mixed")
-        # the cheaper tests first; the last one lets a pair through only in the first bucket that it shares
-        apart = same & (F.col("label_a") != F.col("label_b")) & possible & ~F.arrays_overlap("earlier_a", "earlier_b")
-        rest = side(known, "a", "label", "earlier").alias("left").join(side(known, "b", "label", "earlier").alias("right"), apart).select("a", "b").distinct()
+        columns = ("label", "earlier", "main", "part")
+        apart = side(known.where(F.col("label") != F.col("main")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "a", *columns)
+        all_ = side(known.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "b", *columns)
+        met = (F.col("left.bucket") == F.col("right.bucket")) & (F.col("part_a") == F.col("part_b")) & (F.col("label_a") != F.col("label_b"))
+        # the cheaper tests first; of two members outside the main class one meets the other, and the last test lets a pair through only in the first bucket that it shares
+        met = met & ((F.col("label_b") == F.col("main_b")) | (F.col("a") < F.col("b"))) & possible & ~F.arrays_overlap("earlier_a", "earlier_b")
+        rest = apart.repartition(tasks, "bucket", "part_a").alias("left").join(all_.repartition(tasks, "bucket", "part_b").alias("right"), met)
+        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = written(verified(rest, texts, width, percent), "verified")
         labels = written(refined(early, links.union(more)), "labels")
@@ -208,6 +217,19 @@ def _linked(sized: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, pe
     return labels
 
 
+def _components(nodes: DataFrame, labels: DataFrame, hot: int = 1000) -> DataFrame:
+    """(t0, t1, component_id) of every node. A label of over one in `hot` nodes, of which there are fewer than `hot`, is looked up in a broadcast table, so its nodes needn't meet in a task."""
+    linked = nodes.select("node", "t0", "t1", "id").join(labels, "node", "left")
+    alone = linked.where("label is null").select("t0", "t1", F.col("id").alias("component_id"))
+    together = written(linked.where("label is not null").select("t0", "t1", "id", "label"), "labelled")
+    groups = together.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("n"))
+    large = F.broadcast(groups.where(F.col("n") * hot > nodes.count()).select("label", F.struct("component_id").alias("of")))
+    split = together.join(large, "label", "left")
+    fast = split.where("of is not null").select("t0", "t1", "of.component_id")
+    slow = split.where("of is null").join(groups, "label").select("t0", "t1", "component_id")
+    return alone.union(fast).union(slow)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """(id, n_shingles, component_id, kept, t0, t1) for every row; t0 and t1 are the text's key.
 
@@ -229,9 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = texts.withColumns(text_keys(F.col("text"))).join(wanted, ["t0", "t1"]).groupBy("node").agg(F.first("text").alias("text"))
     found = written(found, "texts")
     labels = _linked(sized, nodes, found, width, percent)
-    least = nodes.join(labels, "node", "left").select("t0", "t1", "id", F.coalesce("label", "node").alias("label"))
-    groups = least.groupBy("label").agg(F.min("id").alias("component_id"))
-    verdict = least.join(groups, "label").select("t0", "t1", "component_id")
+    verdict = _components(nodes, labels)
     out = signed.select("id", "t0", "t1", "n_shingles").join(verdict, ["t0", "t1"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
     out = written(out.select("id", "n_shingles", own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"), "t0", "t1"), "near_duplicates")
