@@ -456,8 +456,8 @@ def reports_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- word list, on words of part names
 
-_OLD = "o as (select lower(p_name) as k, min(p_partkey) as ord, arg_min(p_name, p_partkey) as word, arg_max(p_retailprice, p_partkey) as base_score from part where p_partkey % 3 <> 0 group by 1)"
-_NEW = "n as (select lower(p_name) as k, min(p_partkey) as ord, arg_min(p_name, p_partkey) as word, arg_max(p_retailprice + 1, p_partkey) as base_score from part where p_partkey % 2 = 0 group by 1)"
+_OLD = "o as (select lower(p_name) as k, min(p_partkey) as ord, arg_min(p_name, p_partkey) as word, arg_max(p_retailprice, p_partkey) as base_score from part group by 1)"
+_NEW = "b as (select upper(p_name) as w, p_retailprice + 1 as price, p_partkey as pos from part union all select p_brand, p_retailprice, p_partkey + 1000000000 from part), n as (select lower(w) as k, min(pos) as ord, arg_min(w, pos) as word, arg_max(price, pos) as base_score from b group by 1)"
 
 
 def part_words(spark: SparkSession, sf_dir: str, condition: str, add: int = 0) -> DataFrame:
@@ -466,7 +466,7 @@ def part_words(spark: SparkSession, sf_dir: str, condition: str, add: int = 0) -
 
 
 def part_lexicon(spark: SparkSession, sf_dir: str) -> lx.Lexicon:
-    return lx.Lexicon.empty(spark).add_many(part_words(spark, sf_dir, "p_partkey % 3 <> 0"))
+    return lx.Lexicon.empty(spark).add_many(part_words(spark, sf_dir, "true"))
 
 
 _MERGED = f"with {_OLD}, {_NEW}, u as (select coalesce(o.word, n.word) as word, coalesce(n.base_score, o.base_score) as base_score, row_number() over (order by case when o.k is null then 1 else 0 end, coalesce(o.ord, n.ord)) as ord from o full join n using (k))"
@@ -474,7 +474,10 @@ _MERGED = f"with {_OLD}, {_NEW}, u as (select coalesce(o.word, n.word) as word,
 
 @query(f"{_MERGED} select word, base_score::double as base_score, ord from u")
 def lexicon_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = part_lexicon(spark, sf_dir).add_many(part_words(spark, sf_dir, "p_partkey % 2 = 0", 1))
+    again = part_words(spark, sf_dir, "true", 1).withColumn("word", F.upper("word"))
+    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("brand"))
+    brands = part_words(spark, sf_dir, "true").join(brands, "ord").withColumns({"word": F.col("brand"), "ord": F.col("ord") + 1_000_000_000}).drop("brand")
+    merged = part_lexicon(spark, sf_dir).add_many(again.unionByName(brands))
     return merged.entries.select("word", "base_score", "ord")
 
 
@@ -513,3 +516,6 @@ _REDUCED = "regexp_replace(lower({t}), '[^a-z0-9]', '', 'g')"
 def rule_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.rule_detect(conversations(spark, sf_dir), words(spark))
     return found.withColumn("words", F.array_join("words", " "))
+
+
+from . import registry_store  # noqa: E402, F401  (adds its queries)
