@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordshield.llm import decontamination, near_dedup, quality_classifier, queries, suffix_dedup
-from wordshield.llm.common import text_keys, written
+from wordshield.llm.common import drop_written, text_keys, written
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -61,9 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    """The packed pieces; each stage's output is written, and goes when the next one's is there."""
+    docs, before = queries.table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_written(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
