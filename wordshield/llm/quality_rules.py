@@ -60,11 +60,10 @@ def _grams(buf: np.ndarray, buckets: int) -> np.ndarray:
 def gram_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, bits: int) -> np.ndarray:
     """Counts [2, 2**bits] of hashed byte trigrams within texts: of all rows, and of rows whose id is in trusted (of).
 
-    trusted has each id once; it is broadcast up to BROADCAST_BYTES (at 64 a row), beyond that joined by shuffle. Each task sums its rows
+    trusted has each id once; see _side for its join. Each task sums its rows
     first, so what the sums shuffle is at most 2**bits rows a task; 2**bits sums come to the driver.
     """
-    side = F.broadcast(trusted) if trusted.count() * 64 <= BROADCAST_BYTES else trusted.hint("merge")
-    rows = inputs(docs, id_col, text_col).join(side, F.col("id") == F.col("of"), "left").select("text", F.col("of").isNotNull().alias("good"))
+    rows = inputs(docs, id_col, text_col).join(_side(trusted), F.col("id") == F.col("of"), "left").select("text", F.col("of").isNotNull().alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << bits), np.int64)
@@ -94,18 +93,45 @@ def trusted_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return labels.select(F.col(id_col).alias("of"), F.col(label_col).alias("label")).dropna().groupBy("of").agg(F.min("label").alias("label")).where("label = 1").select("of")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = 15, threshold: float = -0.5, smoothing: float = 0.5, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = 15, threshold: float | None = -0.5, smoothing: float = 0.5, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept) for every row.
 
     ratio: mean over a text's byte trigrams of log(trusted share / raw share) of their hash buckets. The raw multinomial
     counts every row, the trusted one every row labelled 1. base_failed: fewer than min_words words, or over
     max_repeat_percent % repeated words. kept: not base_failed, and ratio at least threshold; the same text always gets the same verdict. Null texts are empty and fail; a text under three bytes has
-    ratio 0; without labels every ratio is 0.
+    ratio 0; without labels every ratio is 0. threshold None takes it from the trusted rows (see below_trusted).
     """
     raw, good = gram_counts(docs, trusted_ids(labels, id_col, label_col), id_col, text_col, bits)
     shares = lambda x: (x + smoothing) / (x.sum() + smoothing * len(x))
     weight = np.log(shares(good) / shares(raw)) if good.sum() else np.zeros(1 << bits)
-    texts = inputs(docs, id_col, text_col)
+    out = _judged(inputs(docs, id_col, text_col), weight, bits)
+    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
+    if threshold is None:
+        trusted = inputs(docs, id_col, text_col).join(_side(trusted_ids(labels, id_col, label_col)), F.col("id") == F.col("of")).select("id", "text")
+        threshold = below_trusted(_judged(trusted, weight, bits).where(~failed))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= threshold))
+
+
+def below_trusted(trusted: DataFrame, share: float = 0.01, times: float = 10.0) -> float:
+    """The threshold that lies `times` as far below the trusted rows' median ratio as their lowest `share` begins; without rows, minus infinity.
+
+    From counts of ratios in steps of 0.001, all rows counted, so it's the same however the rows are dealt; a row a step comes to the driver.
+    """
+    steps = sorted((r["step"], r["count"]) for r in trusted.groupBy(F.floor(F.col("ratio") * 1000).alias("step")).count().collect())
+    if not steps:
+        return float("-inf")
+    value, upto = np.array([v for v, _ in steps]) / 1000, np.cumsum([n for _, n in steps])
+    low, middle = (float(value[np.searchsorted(upto, q * upto[-1])]) for q in (share, 0.5))
+    return middle - times * max(middle - low, 0.001)
+
+
+def _side(trusted: DataFrame) -> DataFrame:
+    """The trusted ids, each once, as a join's side: broadcast up to BROADCAST_BYTES (at 64 a row), beyond that joined by shuffle."""
+    return F.broadcast(trusted) if trusted.count() * 64 <= BROADCAST_BYTES else trusted.hint("merge")
+
+
+def _judged(texts: DataFrame, weight: np.ndarray, bits: int) -> DataFrame:
+    """(id, base counts, ratio) of every row of texts (id, text)."""
     kind = texts.schema["id"].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -125,6 +151,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             arrays = [pa.array(np.concatenate(counts[x]) if ratios else np.zeros(0, np.int64)) for x in names]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays, pa.array(np.concatenate(ratios) if ratios else np.zeros(0))], ["id", *names, "ratio"])
 
-    out = texts.mapInArrow(judge, f"id {kind}, " + ", ".join(f"{x} long" for x in names) + ", ratio double")
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= threshold))
+    return texts.mapInArrow(judge, f"id {kind}, " + ", ".join(f"{x} long" for x in names) + ", ratio double")
