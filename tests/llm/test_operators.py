@@ -495,3 +495,55 @@ def test_near_duplicates_of_mixed_buckets(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df, width=2).collect())
     assert got == brute_components(rows, 2)
+
+
+def test_slopes_equal_differences():
+    rng = np.random.default_rng(9)
+    x, bounds, y = rng.normal(size=(12, 5)), np.array([0, 3, 4, 12]), np.array([0.0, 1.0, 1.0])
+    model = quality_classifier.fit(x, bounds, y, encoding=4, gates=3, steps=3)
+    loss = lambda: -np.mean(y * np.log(s := model.forward(x, bounds)["score"]) + (1 - y) * np.log(1 - s))
+    for name, slope in quality_classifier.slopes(model, x, bounds, y).items():
+        weight = np.atleast_1d(model.weights[name])
+        for k in np.ndindex(weight.shape):
+            ends = []
+            for step in (1e-5, -1e-5):
+                moved = weight.copy()
+                moved[k] += step
+                model.weights[name] = moved.reshape(np.shape(slope))
+                ends.append(loss())
+            model.weights[name] = weight.reshape(np.shape(slope))
+            assert abs((ends[0] - ends[1]) / 2e-5 - np.atleast_1d(slope)[k]) < 1e-7, name
+
+
+def test_quality_threshold_from_trusted_rows(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality_rules.quality_rules(docs, labels, threshold=None).collect()
+    good = {r[0] for r in labels.where("quality = 1").collect()}
+    own = sorted(np.floor(r["ratio"] * 1000) / 1000 for r in rows if r["id"] in good and not r["base_failed"])
+    low, middle = own[int(np.ceil(0.01 * len(own))) - 1], own[int(np.ceil(0.5 * len(own))) - 1]
+    bound = middle - 10 * max(middle - low, 0.001)
+    assert all(r["kept"] == (not r["base_failed"] and r["ratio"] >= bound - 1e-12) for r in rows)
+    assert all(r["kept"] != r["base_failed"] for r in quality_rules.quality_rules(docs, empty(labels), threshold=None).collect())
+
+
+def test_sharding_query(spark):
+    rows = pairs_of(spark.read.parquet(f"{SF}/documents.parquet"))
+    got = queries.op7_sharding(spark, SF).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((k, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t in rows)
+    assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None} and {r["shard"] for r in got} <= set(range(16))
+    # brute force: all rows in the order of their texts' hashes and ids, whole small groups by their middle, other rows by their own
+    order = sorted(rows, key=lambda r: (hashlib.md5((r[1] or "").encode()).digest(), r[0]))
+    total, at, starts = sum(len((t or "").encode()) + 1 for _, t in rows), 0, {}
+    placed = []
+    for k, t in order:
+        size = len((t or "").encode()) + 1
+        first = starts.setdefault(t or "", [at, 0])
+        first[1] += size
+        placed.append((k, t or "", at, size))
+        at += size
+    shard = {}
+    for k, t, before, size in placed:
+        start, whole = starts[t]
+        twice = 2 * start + whole if whole * 16 <= 0.01 * total else 2 * before + size
+        shard[k] = min(15, twice * 16 // (2 * total))
+    assert {r["doc_id"]: r["shard"] for r in got} == shard

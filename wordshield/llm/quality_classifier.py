@@ -86,6 +86,20 @@ class Model:
         return self.forward((x - self.centre) / self.scale, bounds)["score"]
 
 
+def slopes(model: Model, x: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """The mean log loss of document labels y, by each weight, for standardised features x."""
+    w, counts, at = model.weights, np.diff(bounds), bounds[:-1]
+    f = model.forward(x, bounds)
+    ds = (f["score"] - y) / len(y)
+    dz = np.repeat(ds[:, None] * w["out"], counts, axis=0)
+    dp = (dz * f["h"]).sum(1)
+    da = f["p"] * (dp - np.repeat(np.add.reduceat(f["p"] * dp, at), counts))
+    dq = da[:, None] * w["attend"]
+    dt, dg = dq * f["g"] * (1 - f["t"] ** 2), dq * f["t"] * f["g"] * (1 - f["g"])
+    dh = (f["p"][:, None] * dz + dt @ w["tanh"].T + dg @ w["gate"].T) * (1 - f["h"] ** 2)
+    return {"encode": x.T @ dh, "encode_b": dh.sum(0), "tanh": f["h"].T @ dt, "gate": f["h"].T @ dg, "attend": (f["t"] * f["g"]).T @ da, "out": f["z"].T @ ds, "out_b": ds.sum()}
+
+
 def fit(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, encoding: int = 24, gates: int = 12, steps: int = 400, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Model:
     """Full-batch Adam on the log loss of document labels; only documents carry labels, so passages' weights are learned."""
     rng = np.random.default_rng(seed)
@@ -94,18 +108,9 @@ def fit(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, encoding: int = 2
     make = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
     w = {"encode": make(d, encoding), "encode_b": np.zeros(encoding), "tanh": make(encoding, gates), "gate": make(encoding, gates), "attend": make(gates), "out": make(encoding), "out_b": np.zeros(())}
     model, x = Model(centre, scale, w), (x - centre) / scale
-    counts, at = np.diff(bounds), bounds[:-1]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     for step in range(1, steps + 1):
-        f = model.forward(x, bounds)
-        ds = (f["score"] - y) / len(y)
-        dz = np.repeat(ds[:, None] * w["out"], counts, axis=0)
-        dp = (dz * f["h"]).sum(1)
-        da = f["p"] * (dp - np.repeat(np.add.reduceat(f["p"] * dp, at), counts))
-        dq = da[:, None] * w["attend"]
-        dt, dg = dq * f["g"] * (1 - f["t"] ** 2), dq * f["t"] * f["g"] * (1 - f["g"])
-        dh = (f["p"][:, None] * dz + dt @ w["tanh"].T + dg @ w["gate"].T) * (1 - f["h"] ** 2)
-        slope = {"encode": x.T @ dh, "encode_b": dh.sum(0), "tanh": f["h"].T @ dt, "gate": f["h"].T @ dg, "attend": (f["t"] * f["g"]).T @ da, "out": f["z"].T @ ds, "out_b": ds.sum()}
+        slope = slopes(model, x, bounds, y)
         for k, v in slope.items():
             m, s = moments[k]
             v = v + decay * w[k]
@@ -147,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row, from its whole text alone; a null text is empty. Without a model every score is 1.
+    """(id, score) for every row, from its whole text alone; a null text is empty. Without a model (no labels of both kinds) nothing speaks against any text: every score is 1, and a filter keeps all.
 
     Every passage is encoded and weighted; no shuffle, memory bounded by an Arrow batch and the longest text.
     """
