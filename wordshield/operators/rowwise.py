@@ -199,7 +199,9 @@ def separated(low: Column, c: Constants, only_changed: bool) -> Column:
     return F.when(gate, made).otherwise(_none())
 
 
-def leet(low: Column, ord_: int, c: Constants, most: int) -> Column:
+def leet(low: Column, ord_: int, c: Constants, most: int, exhaustive: bool = True) -> Column:
+    """Tokens by their likeliest reading; exhaustive also tries all readings of those that show no word that way."""
+
     def token(t: Column) -> Column:
         source, base = t["piece"], t["start"]
         end = base + F.length(source)
@@ -217,7 +219,8 @@ def leet(low: Column, ord_: int, c: Constants, most: int) -> Column:
 
         def greedy(view: Column) -> Column:
             words = F.transform(F.filter(c.plain.listed, lambda p: F.contains(view, p["pattern"])), lambda p: _detection(ord_, p["word"], p["base_score"], base, end, source))
-            return F.when(c.plain.found_in(view), words).when(source.rlike("[1|&]"), rest(view)).otherwise(_none())
+            found = F.when(c.plain.found_in(view), words)
+            return (found.when(source.rlike("[1|&]"), rest(view)) if exhaustive else found).otherwise(_none())
 
         return tx.once(tx.greedy_leet(source), greedy)
 
@@ -271,7 +274,7 @@ def wanted(name: str, config: Config, options: bool) -> Column:
 
 
 @functools.lru_cache(maxsize=256)
-def _stage_column(ord_: int, c: Constants, config: Config, only_changed: bool, gateway: int) -> Column:
+def _stage_column(ord_: int, c: Constants, config: Config, only_changed: bool, exhaustive: bool, gateway: int) -> Column:
     n = F.col("n")
     low, threshold, most = F.lower(n), config.repetition.threshold, config.leetspeak.max_expansions
 
@@ -282,20 +285,20 @@ def _stage_column(ord_: int, c: Constants, config: Config, only_changed: bool, g
         2: lambda: exact(n, c),
         3: lambda: look_alikes(n, c),
         4: lambda: separated(low, c, only_changed and c.letters_only and not config.case_sensitive),
-        5: lambda: leet(low, 5, c, most),
+        5: lambda: leet(low, 5, c, most, exhaustive),
         6: lambda: repeats(low, 6, c, threshold),
-        7: lambda: on_clean(lambda t: leet(t, 7, c, most)),
+        7: lambda: on_clean(lambda t: leet(t, 7, c, most, exhaustive)),
         8: lambda: on_clean(lambda t: repeats(t, 8, c, threshold)),
     }
     return made[ord_]()
 
 
-def stage_column(ord_: int, c: Constants, config: Config, only_changed: bool = False) -> Column:
+def stage_column(ord_: int, c: Constants, config: Config, only_changed: bool = False, exhaustive: bool = True) -> Column:
     """The detections of one stage of a prepared message, for itself.
 
     Building an expression takes a call to the JVM for each of its nodes, so the same list's stages are built once a session's gateway.
     """
-    return _stage_column(ord_, c, config, only_changed, id(SparkContext._gateway))
+    return _stage_column(ord_, c, config, only_changed, exhaustive, id(SparkContext._gateway))
 
 
 STAGE_NAMES = {3: "homoglyph", 4: "separator_bypass", 5: "leetspeak", 6: "repetition", 7: "leetspeak", 8: "repetition"}

@@ -70,8 +70,8 @@ def constants() -> rowwise.Constants:
 
 
 def stage(spark: SparkSession, messages: DataFrame, ord_: int) -> DataFrame:
-    """What a single stage finds, before words found by earlier stages are left out."""
-    found = rowwise.stage_column(ord_, constants(), CONFIG)
+    """What a single stage finds, before words found by earlier stages are left out; leetspeak by its likeliest reading (leet_exhaustive has the rest)."""
+    found = rowwise.stage_column(ord_, constants(), CONFIG, exhaustive=False)
     rows = prepared(messages, CONFIG, unique=True).select("message_id", F.inline(found))
     return rows.select("message_id", "ord", "word", "start", "end", "matched_form", "base_score", "homoglyphs_detected", "distance")
 
