@@ -469,7 +469,7 @@ def test_hashes_tell_texts_that_collide_modulo_powers_of_two(spark):
     word = thue_morse(1024)
     other = word.translate(str.maketrans("ab", "ba"))
     texts = spark.createDataFrame([(1, f"{word} x {other} x"), (2, f"{word} x"), (3, f"{other} x")], "doc_id long, text string")
-    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(texts).collect()}
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(texts, width=2).collect()}
     assert got == {1: (3, 1), 2: (1, 2), 3: (1, 3)}
 
 

@@ -230,7 +230,7 @@ def _components(nodes: DataFrame, labels: DataFrame, hot: int = 1000) -> DataFra
     return alone.union(fast).union(slow)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """(id, n_shingles, component_id, kept, t0, t1) for every row; t0 and t1 are the text's key.
 
     Two texts are linked if the Jaccard similarity of their sets of `width`-word shingles is at least percent / 100;

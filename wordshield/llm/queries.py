@@ -74,7 +74,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
