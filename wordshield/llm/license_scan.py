@@ -160,7 +160,8 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", most_negatives: int = 3000, bits: int = 16, seed: int = 5, steps: int = 150) -> Model:
     """Fit on varied templates against corpus paragraphs that share no telling template pair.
 
-    At most most_negatives texts, by hash, give negatives; that bounds what comes to the driver (one line of each).
+    At most most_negatives texts, by hash, give negatives; that bounds what comes to the driver (of each one line, by
+    hash, of which the first 2,000 characters; only this bounded fit reads parts of texts).
     A quarter of the samples is held back. It sets the temperature, and unknown_below: 95 % of its template-free lines fall
     below that in their likeliest licence's share among the licences, unless over 2 % of its rightly classified notices
     would fall below it too; then the bound is where those 2 % end.
