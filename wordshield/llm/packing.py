@@ -19,25 +19,32 @@ from .kernels import sliced
 _LONG_GAP = re.compile(r"\s{10000}")
 
 
-def load_ranks(ranks_path: str, pattern: str, end_of_text: tuple[str, int]):
-    """The byte-level BPE of a .tiktoken file; end_of_text is matched inside texts, as the twin .json does by default."""
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The tokens of a .tiktoken file and their ids."""
     import base64
 
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+def load_ranks(ranks_path: str, pattern: str, end_of_text: tuple[str, int] | None):
+    """The byte-level BPE of a .tiktoken file; end_of_text is matched inside texts, as the twin .json does by default."""
     import tiktoken
 
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict([end_of_text]))
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens=dict([end_of_text] if end_of_text else []))
+
 
+def encoder(ranks_path: str, pattern: str, end_of_text: tuple[str, int] | None, tokenizer_path: str):
+    """Token ids of a text, by the ranks or, where their pattern can't take the text (its time grows with the square of a run of blanks, and very long ones exhaust its backtracking), by the tokenizer file.
 
-def encoder(ranks_path: str, pattern: str, end_of_text: tuple[str, int], tokenizer_path: str):
-    """Token ids of a text, by the ranks or, where their pattern can't take the text (very long runs of blanks exhaust its backtracking), by the tokenizer file."""
-    model, names, slow = load_ranks(ranks_path, pattern, end_of_text), {end_of_text[0]}, []
+    Without end_of_text no special token is matched: its string is plain text.
+    """
+    model, names, slow = load_ranks(ranks_path, pattern, end_of_text), {end_of_text[0]} if end_of_text else set(), []
 
     def encode(text: str) -> np.ndarray:
         if not _LONG_GAP.search(text):
             try:
-                return model.encode_to_numpy(text, allowed_special=names)
+                return model.encode_to_numpy(text, allowed_special=names, disallowed_special=())
             except ValueError:
                 pass
         if not slow:
@@ -45,6 +52,7 @@ def encoder(ranks_path: str, pattern: str, end_of_text: tuple[str, int], tokeniz
 
             slow.append(Tokenizer.from_file(tokenizer_path))
             slow[0].no_truncation()
+            slow[0].encode_special_tokens = not names
         return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
+from . import chat_format, decontamination, lexical_search, license_scan, near_dedup, order_minhash, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, tokenizer_alignment
 
 QUALITY_THRESHOLD = 0.7
 
@@ -109,7 +109,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_quality_rules, op4_best_fit_packing, op5_near_dedup, op6_license_scan, op7_sharding, op8_token_counts, op9_quality_classifier, op10_suffix_dedup)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    found = lexical_search.search(index, table(spark, sf_dir, "benchmark"), k=50)
+    lexical_search.drop_index(index)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def _two_vocabularies() -> tuple[tokenizer_alignment.Vocabulary, tokenizer_alignment.Vocabulary]:
+    import public_tokenizers
+
+    return tokenizer_alignment.byte_level(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, vocabulary("byte_bpe_50k.json")), tokenizer_alignment.sentence_pieces(vocabulary("piece_bpe_32k.model"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment.align(table(spark, sf_dir, "documents"), _two_vocabularies).withColumnRenamed("id", "doc_id")
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.document_fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_quality_rules, op4_best_fit_packing, op5_near_dedup, op6_license_scan, op7_sharding, op8_token_counts, op9_quality_classifier, op10_suffix_dedup, op11_lexical_search, op12_tokenizer_alignment, op13_document_fingerprints)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -118,6 +139,16 @@ def _sql_words(gaps: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_lexical_search": f"""
+with d as (select doc_id, {_sql_words("[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")} as w from documents),
+i as (select distinct item_id, unnest({_sql_words("[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")}) as term from benchmark),
+s as (select count(*) filter (where len(w) > 0) as big_n, sum(len(w))::bigint as big_l from d),
+p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from d) group by 1, 2),
+f as (select term, floor(1000 * ln((2.0::double * big_n + 2) / (2 * count(*) + 1)))::bigint as weight from p, s group by term, big_n),
+m as (select doc_id, 50 + (50 * len(w) * big_n) // big_l as m from d, s),
+r as (select item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score from i join f using (term) join p using (term) join m using (doc_id) group by 1, 2),
+k as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from r where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 50""",
     "op1_decontamination": f"""
 with d as (select doc_id, {_sql_words("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} as w from documents),
 i as (select item_id::varchar as item, {_sql_words("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} as w from benchmark),
