@@ -1,26 +1,25 @@
 """Multi-pattern search: every occurrence of every pattern, overlaps included, as rows.
 
-Three ways with equal results. "split" joins texts with a broadcast pattern table on containment and finds the places by
-splitting at look-ahead matches; it suits lists of up to a few hundred words. "shingle" joins the texts' substrings of each
-pattern length with the patterns by hash; it stays within SQL too and is what longer lists take. "trie" walks each text in an
-Arrow batch with an Aho-Corasick automaton; it is taken only by name.
+Two ways with equal results. "split" joins texts with a broadcast pattern table on containment and finds the places by
+splitting at look-ahead matches; it suits lists of up to a few hundred words. "anchor" is for longer ones: each pattern is filed
+under one of its q-grams, each place of a text gives one q-gram, the two meet in a hash join, and the pattern is compared at
+its place. ("shingle" and "trie" are former names of ways to search long lists; they now mean "anchor".)
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import ahead_of, chars, places
+from ..functions.text import ahead_of, places
 
-#: A longer list is searched by shingles.
+#: A longer list is searched by anchors.
 SPLIT_UP_TO = 300
-#: A larger pattern table is joined by shuffle.
+#: Length of an anchor; a shorter pattern is its own.
+GRAM = 3
+#: A larger table of anchors is broadcast in pieces of this size, one after the other.
 BROADCAST_BYTES = 32 << 20
 #: Lists are bounded (Config.max_words); nothing longer is broadcast.
 MOST_PATTERNS = 400_000
@@ -32,55 +31,37 @@ def _by_split(texts: DataFrame, col: str, patterns: DataFrame, kind: str | None)
     return joined.withColumn("at", F.explode(places(F.col(col), F.col("pattern"), F.col("ahead")))).drop("ahead")
 
 
-def _by_shingle(texts: DataFrame, col: str, patterns: DataFrame, kind: str | None) -> DataFrame:
-    """Every substring of a pattern's length is a row with only its text's key, until it has met the patterns by hash."""
-    widths = sorted(r[0] for r in patterns.select(F.length("pattern")).distinct().collect())  # a row a length
-    keyed = texts.withColumn("_text", F.xxhash64(col)).withColumn("_same", F.sha2(col, 256))
-    of_kind = [kind] if kind else []
-    # each distinct text is cut once; rows of equal texts share its matches
-    unique = keyed.select("_text", "_same", F.col(col).alias("_whole"), *of_kind).dropDuplicates(["_text", "_same", *of_kind])
-    joins = unique.select("_text", "_same", *of_kind, chars(F.col("_whole")).alias("_chars"))
-    cut = lambda w: F.transform(F.sequence(F.lit(0), F.size("_chars") - w), lambda k: F.struct(k.alias("at"), F.array_join(F.slice("_chars", k + 1, w), "").alias("shingle")))
-    none = F.array().cast("array<struct<at: int, shingle: string>>")
-    pieces = F.flatten(F.array(*(F.when(F.size("_chars") >= w, cut(w)).otherwise(none) for w in widths))) if widths else none
-    rows = joins.select("_text", "_same", *of_kind, F.explode(pieces).alias("s")).select("_text", "_same", *of_kind, "s.at", "s.shingle")
-    small = patterns.agg(F.coalesce(F.sum(F.octet_length("pattern") + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES
-    hint = F.broadcast if small else (lambda df: df)
-    found = rows.join(hint(patterns), (F.col("shingle") == F.col("pattern")) & _same(kind)).drop("shingle", *of_kind)
-    where = [keyed["_text"] == found["_text"], keyed["_same"] == found["_same"], *([keyed[kind] == found["pattern_kind"]] if kind else [])]
-    out = keyed.join(found, reduce(lambda x, y: x & y, where))
-    return out.select(*(keyed[c] for c in texts.columns), *(found[c] for c in patterns.columns), found["at"])
-
-
-def _by_trie(texts: DataFrame, col: str, patterns: DataFrame, kind: str | None) -> DataFrame:
-    table = patterns.toArrow()  # bounded: checked by find_all
-    names = table.column("pattern").to_pylist()
-    kinds = table.column("pattern_kind").to_pylist() if kind else [None] * len(names)
-    schema = T.StructType([*texts.schema.fields, *patterns.schema.fields, T.StructField("at", T.IntegerType())])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        tries = {}
-        for k, (p, of) in enumerate(zip(names, kinds)):
-            trie = tries.setdefault(of, ahocorasick.Automaton())
-            trie.add_word(p, [*trie.get(p, []), k])
-        for trie in tries.values():
-            trie.make_automaton()
-        for batch in batches:
-            rows, hits, places = [], [], []
-            of = batch.column(kind).to_pylist() if kind else [None] * len(batch)
-            for r, text in enumerate(batch.column(col).to_pylist()):
-                for end, found in tries[of[r]].iter(text or "") if of[r] in tries else ():
-                    for k in found:
-                        rows.append(r)
-                        hits.append(k)
-                        places.append(end + 1 - len(names[k]))
-            left, right = batch.take(pa.array(rows, pa.int64())), table.take(pa.array(hits, pa.int64())).combine_chunks()
-            columns = [*left.columns, *(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in right.columns), pa.array(places, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
-
-    return texts.mapInArrow(search, schema)
+def grams(text: Column, width: int) -> Column:
+    """The strings of `width` characters that begin at each place of a text, in order."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))."), F.lit(1))
+
+
+def anchored(patterns: DataFrame) -> DataFrame:
+    """patterns with _gram, one of their q-grams, and its place _back: the one that fewest patterns hold, so that no gram collects many patterns."""
+    width = F.least(F.length("pattern"), F.lit(GRAM))
+    mine = F.when(width == GRAM, grams(F.col("pattern"), GRAM)).otherwise(F.array("pattern"))
+    named = patterns.select("pattern").distinct().select("pattern", F.posexplode(mine).alias("_back", "_gram"))
+    often = named.groupBy("_gram").agg(F.count_distinct("pattern").alias("_often"))
+    best = named.join(often, "_gram").groupBy("pattern").agg(F.min(F.struct("_often", "_gram", "_back")).alias("_a"))
+    return patterns.join(best.select("pattern", "_a._gram", "_a._back"), "pattern")
+
+
+def _by_anchor(texts: DataFrame, col: str, patterns: DataFrame, kind: str | None) -> DataFrame:
+    """A text's places are rows only within the join's stage: they carry a reference to the text, and those that meet no anchor go no further."""
+    table = anchored(patterns)
+    size, shortest = patterns.agg(F.coalesce(F.sum(3 * F.octet_length("pattern") + 100), F.lit(0)), F.coalesce(F.min(F.length("pattern")), F.lit(GRAM))).first()
+    pieces = max(1, -(-size // BROADCAST_BYTES))
+    parts = []
+    for width in range(min(shortest, GRAM), GRAM + 1):
+        at_places = texts.select("*", F.posexplode(grams(F.col(col), width)).alias("_place", "_gram"))
+        for k in range(pieces):
+            some = table.where(F.length("_gram") == width)
+            some = some.where(F.pmod(F.xxhash64("pattern"), F.lit(pieces)) == k) if pieces > 1 else some
+            met = at_places.join(F.broadcast(some), (at_places["_gram"] == some["_gram"]) & _same(kind)).drop("_gram")
+            at = F.col("_place") - F.col("_back")
+            whole = (at >= 0) & (F.substring(F.col(col), at + 1, F.length("pattern")) == F.col("pattern"))
+            parts.append(met.where(whole).withColumn("at", at).select(*texts.columns, *patterns.columns, "at"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _same(kind: str | None):
@@ -101,20 +82,10 @@ def find_all(texts: DataFrame, col: str, patterns: DataFrame, variant: str = "au
     """
     if variant == "auto":
         count = bounded(patterns).limit(SPLIT_UP_TO + 1).count()
-        variant = "split" if count <= SPLIT_UP_TO else "shingle"
-    return {"split": _by_split, "shingle": _by_shingle, "trie": _by_trie}[variant](texts, col, patterns, kind)
+        variant = "split" if count <= SPLIT_UP_TO else "anchor"
+    return {"split": _by_split, "anchor": _by_anchor, "shingle": _by_anchor, "trie": _by_anchor}[variant](texts, col, patterns, kind)
 
 
 def has_match(texts: DataFrame, col: str, patterns: DataFrame) -> DataFrame:
     """The rows of texts whose col holds a pattern."""
     return texts.join(F.broadcast(bounded(patterns.select("pattern").distinct())), F.contains(F.col(col), F.col("pattern")), "left_semi")
-
-
-def lacks_match(texts: DataFrame, col: str, patterns: DataFrame, variant: str = "auto") -> DataFrame:
-    """The rows of texts whose col holds none of the patterns."""
-    names = patterns.select("pattern").distinct()
-    count = bounded(names).limit(SPLIT_UP_TO + 1).count()
-    if variant == "split" or variant == "auto" and count <= SPLIT_UP_TO:
-        return texts.join(F.broadcast(names), F.contains(F.col(col), F.col("pattern")), "left_anti")
-    held = find_all(texts.select(F.col(col).alias("_held")).distinct(), "_held", names, variant).select("_held").distinct()
-    return texts.join(held, F.col(col) == F.col("_held"), "left_anti")

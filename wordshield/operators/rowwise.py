@@ -1,24 +1,22 @@
-"""The stages as array expressions over one message row, for word lists that are constants of the plan.
+"""The stages as array expressions over one message row and the word list beside it.
 
 Nothing is joined or shuffled: a message's detections of all stages, their resolution and the fuzzy stage are columns of
 its row. Every reading is first tested with one regular expression over the whole list, so that most messages of most
-stages cost that test alone. Ordinals and offsets are those of ``stages``.
+stages cost that test alone. The expressions read the list from the columns that ``wordlist`` makes, so they are built once
+a configuration. Ordinals and offsets are those of ``stages``.
 """
 
 from __future__ import annotations
 
-import functools
-import re
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config, Fuzzy
 from ..functions import text as tx
+from ..functions.cached import built_once
 from ..functions.chars import SPACE
 from .fuzzy import distance_of
 
@@ -26,111 +24,35 @@ from .fuzzy import distance_of
 FOUND = "struct<ord: int, end: int, start: int, word: string, base_score: double, matched_form: string, homoglyphs_detected: array<array<string>>, distance: int>"
 
 
-def alternation(patterns: Iterable[str]) -> str:
-    """A regular expression that finds a text with any of the patterns, branching by first character; none: never matches."""
-    listed = sorted(set(patterns), key=len)
-    least = [p for k, p in enumerate(listed) if not any(q in p for q in listed[:k])]
-    by_first = defaultdict(list)
-    for p in least:
-        by_first[p[0]].append(re.escape(p[1:]))
-    return "|".join(re.escape(c) + f"(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items())) or "(?!)"
-
-
-def _text(value: str) -> str:
-    """A string as SQL; literals of a plan are parsed from one text, as a call to the JVM for each would take seconds."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _number(value: float | None) -> str:
-    return "cast(null as double)" if value is None else f"{float(value)!r}D"
-
-
-def _ahead(pattern: str) -> str:
-    """As text.ahead_of()."""
-    return "(?=\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E)"
-
-
 @dataclass(frozen=True)
 class Patterns:
-    """One kind of patterns: literal array of (pattern, ahead, size, word, word_size, base_score), and a test of a text for any of them."""
+    """One kind of the list's patterns: an array of (pattern, ahead, size, word, word_size, base_score), and a test of a text for any of them."""
 
     listed: Column
-    test: str
+    test: Column
 
     @staticmethod
-    def of(rows: list[dict]) -> Patterns:
-        one = lambda r: f"named_struct('pattern', {_text(r['pattern'])}, 'ahead', {_text(_ahead(r['pattern']))}, 'size', {len(r['pattern'])}, 'word', {_text(r['word'])}, 'word_size', {len(r['word'])}, 'base_score', {_number(r['base_score'])})"
-        listed = F.expr(f"cast(array({', '.join(map(one, rows))}) as array<struct<pattern: string, ahead: string, size: int, word: string, word_size: int, base_score: double>>)")
-        return Patterns(listed, alternation(r["pattern"] for r in rows))
+    def of(kind: str) -> Patterns:
+        return Patterns(F.col(f"list.{kind}.listed"), F.col(f"list.{kind}.test"))
 
     def found_in(self, text: Column) -> Column:
-        return text.rlike(self.test)
-
-
-_WORD = "struct<length: int, ord: bigint, word: string, base_score: double>"
-
-
-@dataclass(frozen=True, eq=False)
-class Lengths:
-    """A word list by word length, for the fuzzy stage: literal maps from length to the number of words, and to the words.
-
-    A length of more words than the budget has no list, as its words are never compared.
-    """
-
-    counts: Column
-    words: Column
-
-    @staticmethod
-    def of(counts: dict[int, int], words: list[Row]) -> Lengths:
-        """counts: of all words by length; words: (word, base_score, ord), of the lengths within the budget."""
-        lists = defaultdict(list)
-        for r in sorted(words, key=lambda r: r["ord"]):
-            lists[len(r["word"])].append(f"named_struct('length', {len(r['word'])}, 'ord', {r['ord']}L, 'word', {_text(r['word'])}, 'base_score', {_number(r['base_score'])})")
-        number = F.expr(f"cast(map({', '.join(f'{k}, {n}' for k, n in counts.items())}) as map<int, int>)")
-        listed = ", ".join(f"{k}, array({', '.join(v)})" for k, v in lists.items())
-        return Lengths(number, F.expr(f"cast(map({listed}) as map<int, array<{_WORD}>>)"))
-
-    @staticmethod
-    def of_table(words: DataFrame, config: Fuzzy) -> Lengths:
-        counts = {r["k"]: r["count"] for r in words.groupBy(F.length("word").alias("k")).count().collect()}  # a row a length
-        few = [k for k, n in counts.items() if n <= config.max_checks]
-        return Lengths.of(counts, words.select("word", "base_score", "ord").where(F.length("word").isin(few)).collect() if few else [])  # at most the budget for each length
+        """regexp_instr keeps the compiled expression for as long as its text is the same, which rlike doesn't."""
+        return F.regexp_instr(text, self.test) > 0
 
 
-@dataclass(frozen=True, eq=False)
-class Constants:
-    """A word list of bounded length as constants of a plan."""
+@dataclass(frozen=True)
+class Listed:
+    """The word list as columns of a message's row (see wordlist.list_of)."""
 
     plain: Patterns
     clean: Patterns
     runs: Patterns
-    letters_only: bool  # no word changes when ASCII separators are stripped
-    twice: bool  # a word's collapsed form ends the word, so one match can be found by both
-    lengths: Lengths
-    tags: Column  # map from word to tags
-
-    @staticmethod
-    def of(words: list[Row], config: Config) -> Constants:
-        """words: (word, base_score, ord[, tags]); their forms are those of stages.patterns_of()."""
-        tags = tuple(tuple(r["tags"] or ()) if "tags" in r else () for r in words)
-        return Constants._made(tuple((r["word"], r["base_score"], r["ord"], t) for r, t in zip(words, tags)), config, id(SparkContext._gateway))
+    letters_only: Column  # no word changes when ASCII separators are stripped
+    twice: Column  # a word's collapsed form ends the word, so one match can be found by both
 
     @staticmethod
-    @functools.lru_cache(maxsize=16)
-    def _made(listed: tuple, config: Config, gateway: int) -> Constants:
-        words = [Row(word=w, base_score=s, ord=o, tags=t) for w, s, o, t in listed]
-        form = lambda pattern, r: {"pattern": pattern, "word": r["word"], "base_score": r["base_score"]}
-        plain = [form(r["word"], r) for r in words]
-        clean = [x for r in words if (x := form(re.sub("[^a-zA-Z0-9]", "", r["word"]), r))["pattern"]]
-        collapsed = [x for r in words if (x := form(re.sub(r"(?s)(.)\1+", r"\1", r["word"]), r))["pattern"] != r["word"]]
-        runs = plain + collapsed if config.repetition.collapse_patterns else plain
-        tagged = ", ".join(f"{_text(r['word'])}, array({', '.join(map(_text, r['tags']))})" for r in words)
-        tags = F.expr(f"cast(map({tagged}) as map<string, array<string>>)")
-        few = [r for r in words if sum(len(x["word"]) == len(r["word"]) for x in words) <= config.fuzzy.max_checks]
-        return Constants(
-            Patterns.of(plain), Patterns.of(clean), Patterns.of(runs), [x["pattern"] for x in clean] == [r["word"] for r in words],
-            any(x["word"].endswith(x["pattern"]) for x in collapsed), Lengths.of(Counter(len(r["word"]) for r in words), few), tags,
-        )
+    def columns() -> Listed:
+        return Listed(*map(Patterns.of, ("plain", "clean", "runs")), F.col("list.letters_only"), F.col("list.twice"))
 
 
 def _none() -> Column:
@@ -154,12 +76,12 @@ def _cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def exact(n: Column, c: Constants) -> Column:
+def exact(n: Column, c: Listed) -> Column:
     made = tx.once(n, lambda t: _hits(t, c.plain, lambda at, p: _detection(2, p["word"], p["base_score"], at, at + p["size"], p["pattern"])))
     return F.when(c.plain.found_in(n), made).otherwise(_none())
 
 
-def look_alikes(n: Column, c: Constants) -> Column:
+def look_alikes(n: Column, c: Listed) -> Column:
     def of(look: Column, t: Column, pairs: Column) -> Column:
         def make(at: Column, p: Column) -> Column:
             def formed(form: Column) -> Column:
@@ -173,7 +95,7 @@ def look_alikes(n: Column, c: Constants) -> Column:
     return tx.once(n, read)
 
 
-def separated(low: Column, c: Constants, only_changed: bool) -> Column:
+def separated(low: Column, c: Listed, only_changed: Column) -> Column:
     """only_changed leaves out spans of letters and digits alone, where the exact stage finds the same words."""
 
     def span(s: Column) -> Column:
@@ -190,16 +112,16 @@ def separated(low: Column, c: Constants, only_changed: bool) -> Column:
 
     def wanted(piece: Column) -> Column:
         found = c.clean.found_in(tx.strip_non_alnum(piece))
-        return piece.rlike("[^a-zA-Z0-9]") & found if only_changed else found
+        return (~only_changed | piece.rlike("[^a-zA-Z0-9]")) & found
 
     # a word within a span stays in one piece when all but letters, digits and blanks go
     gate = c.clean.found_in(F.regexp_replace(low, f"[^a-zA-Z0-9{SPACE}]", ""))
-    gate = low.rlike(f"[^a-zA-Z0-9{SPACE}]") & gate if only_changed else gate
+    gate = (~only_changed | low.rlike(f"[^a-zA-Z0-9{SPACE}]")) & gate
     made = tx.once(low, lambda t: F.flatten(F.transform(tx.separator_spans(t, wanted), span)))
     return F.when(gate, made).otherwise(_none())
 
 
-def leet(low: Column, ord_: int, c: Constants, most: int, exhaustive: bool = True) -> Column:
+def leet(low: Column, ord_: int, c: Listed, most: int, exhaustive: bool = True) -> Column:
     """Tokens by their likeliest reading; exhaustive also tries all readings of those that show no word that way."""
 
     def token(t: Column) -> Column:
@@ -232,7 +154,7 @@ def leet(low: Column, ord_: int, c: Constants, most: int, exhaustive: bool = Tru
     return F.when(gate, tx.once(low, of)).otherwise(_none())
 
 
-def repeats(low: Column, ord_: int, c: Constants, threshold: int) -> Column:
+def repeats(low: Column, ord_: int, c: Listed, threshold: int) -> Column:
     """Ends are inclusive. Once runs are collapsed to one, only the first match of a word that the longer runs didn't show."""
 
     def placed(kept: Column, t: Column, last: Column, word_size: Column) -> tuple[Column, Column]:
@@ -245,7 +167,7 @@ def repeats(low: Column, ord_: int, c: Constants, threshold: int) -> Column:
 
     def of(t: Column, two: Column) -> Column:
         longer = tx.once(tx.kept_places(t, threshold, keep_lines=True), lambda kept: _hits(two, c.runs, lambda at, p: made(kept, t, at + p["size"] - 1, p)))
-        longer = F.when(c.runs.found_in(two), F.array_distinct(longer) if c.twice else longer).otherwise(_none())
+        longer = F.when(c.runs.found_in(two), tx.once(longer, lambda ds: F.when(c.twice, F.array_distinct(ds)).otherwise(ds))).otherwise(_none())
 
         def short(one: Column, long: Column) -> Column:
             known = F.transform(long, lambda d: d["word"])
@@ -273,9 +195,9 @@ def wanted(name: str, config: Config, options: bool) -> Column:
     return F.coalesce(F.col(f"options.{name}"), default) if options else default
 
 
-@functools.lru_cache(maxsize=256)
-def _stage_column(ord_: int, c: Constants, config: Config, only_changed: bool, exhaustive: bool, gateway: int) -> Column:
-    n = F.col("n")
+@built_once
+def _stage_column(ord_: int, config: Config, only_changed: bool, exhaustive: bool) -> Column:
+    n, c = F.col("n"), Listed.columns()
     low, threshold, most = F.lower(n), config.repetition.threshold, config.leetspeak.max_expansions
 
     def on_clean(f: Callable[[Column], Column]) -> Column:
@@ -284,7 +206,7 @@ def _stage_column(ord_: int, c: Constants, config: Config, only_changed: bool, e
     made = {
         2: lambda: exact(n, c),
         3: lambda: look_alikes(n, c),
-        4: lambda: separated(low, c, only_changed and c.letters_only and not config.case_sensitive),
+        4: lambda: separated(low, c, F.lit(only_changed and not config.case_sensitive) & c.letters_only),
         5: lambda: leet(low, 5, c, most, exhaustive),
         6: lambda: repeats(low, 6, c, threshold),
         7: lambda: on_clean(lambda t: leet(t, 7, c, most, exhaustive)),
@@ -293,12 +215,9 @@ def _stage_column(ord_: int, c: Constants, config: Config, only_changed: bool, e
     return made[ord_]()
 
 
-def stage_column(ord_: int, c: Constants, config: Config, only_changed: bool = False, exhaustive: bool = True) -> Column:
-    """The detections of one stage of a prepared message, for itself.
-
-    Building an expression takes a call to the JVM for each of its nodes, so the same list's stages are built once a session's gateway.
-    """
-    return _stage_column(ord_, c, config, only_changed, exhaustive, id(SparkContext._gateway))
+def stage_column(ord_: int, config: Config, only_changed: bool = False, exhaustive: bool = True) -> Column:
+    """The detections of one stage of a prepared message with its list, for itself."""
+    return _stage_column(ord_, config, only_changed, exhaustive)
 
 
 STAGE_NAMES = {3: "homoglyph", 4: "separator_bypass", 5: "leetspeak", 6: "repetition", 7: "leetspeak", 8: "repetition"}
@@ -316,11 +235,14 @@ def resolved(stages: list[Column]) -> Column:
     return F.aggregate(F.array(*stages), start, step)["out"]
 
 
-def nearest(low: Column, found: Column, listed: Lengths, config: Fuzzy, most: Column) -> Column:
+_WORD = "struct<length: int, ord: bigint, word: string, base_score: double>"
+
+
+def nearest(low: Column, found: Column, words: Column, counts: Column, config: Fuzzy, most: Column) -> Column:
     """Fuzzy detections of the tokens that aren't themselves detected words, in order, as long as the comparisons with all words of near lengths stay within the budget."""
     around = lambda token: F.sequence(F.length(token) - most, F.length(token) + most)
-    near = lambda token: F.flatten(F.transform(around(token), lambda k: F.coalesce(F.try_element_at(listed.words, k), F.array().cast(f"array<{_WORD}>"))))
-    number = lambda token: F.aggregate(around(token), F.lit(0), lambda n, k: n + F.coalesce(F.try_element_at(listed.counts, k), F.lit(0)))
+    near = lambda token: F.flatten(F.transform(around(token), lambda k: F.coalesce(F.try_element_at(words, k), F.array().cast(f"array<{_WORD}>"))))
+    number = lambda token: F.aggregate(around(token), F.lit(0), lambda n, k: n + F.coalesce(F.try_element_at(counts, k), F.lit(0)))
 
     def best(token: Column) -> Column:
         close = F.transform(near(token), lambda w: F.struct(distance_of(token, w["word"], most, config.distance).alias("distance"), w["length"].alias("length"), w["ord"].alias("ord"), w["word"].alias("word"), w["base_score"].alias("base_score")))
@@ -351,26 +273,34 @@ def nearest(low: Column, found: Column, listed: Lengths, config: Fuzzy, most: Co
     return tx.once(F.transform(found, lambda d: d["word"]), of)
 
 
-def detected(messages: DataFrame, c: Constants, config: Config) -> DataFrame:
-    """messages (prepared) with ``found``: an array of FOUND of all stages, unsorted."""
-    options = "options" in messages.columns
-    rows = messages.withColumn("exact", stage_column(2, c, config))
+@built_once
+def _found_column(config: Config, options: bool) -> Column:
+    stages = [F.when(~F.col("covered") & wanted(name, config, options), stage_column(k, config, only_changed=k == 4)).otherwise(_none()) for k, name in STAGE_NAMES.items()]
+    return resolved([F.col("exact"), *stages])
+
+
+def with_exact(messages: DataFrame, config: Config) -> DataFrame:
+    """messages with ``exact``, the exact stage's detections, and ``covered``: whether their lengths, overlaps counted each time, reach the message's."""
+    rows = messages.withColumn("exact", stage_column(2, config))
     total = F.aggregate("exact", F.lit(0), lambda a, d: a + d["end"] - d["start"])
-    rows = rows.withColumn("covered", total >= F.col("n_length"))
-    rows = rows.withColumns({f"stage{k}": F.when(~F.col("covered") & wanted(name, config, options), stage_column(k, c, config, only_changed=k == 4)).otherwise(_none()) for k, name in STAGE_NAMES.items()})
-    rows = rows.withColumn("found", resolved([F.col("exact"), *(F.col(f"stage{k}") for k in STAGE_NAMES)]))
-    rows = with_fuzzy(rows, c.lengths, config)
-    return rows.drop("exact", "covered", *(f"stage{k}" for k in STAGE_NAMES))
+    return rows.withColumn("covered", total >= F.col("n_length"))
+
+
+def detected(messages: DataFrame, config: Config) -> DataFrame:
+    """messages (prepared, with the columns list and lengths) with ``found``: an array of FOUND of all stages, unsorted."""
+    rows = with_exact(messages, config)
+    rows = rows.withColumn("found", _found_column(config, "options" in rows.columns))
+    return with_fuzzy(rows, config).drop("exact", "covered")
 
 
-@functools.lru_cache(maxsize=64)
-def _fuzzy_column(listed: Lengths, config: Config, options: bool, gateway: int) -> Column:
+@built_once
+def _fuzzy_column(config: Config, options: bool) -> Column:
     most = F.coalesce(F.col("options.max_distance"), F.lit(config.fuzzy.max_distance)) if options else F.lit(config.fuzzy.max_distance)
-    near = tx.once(F.lower("n"), lambda low: nearest(low, F.col("found"), listed, config.fuzzy, most))
+    near = tx.once(F.lower("n"), lambda low: nearest(low, F.col("found"), F.col("lengths.words"), F.col("lengths.counts"), config.fuzzy, most))
     return F.when(~F.col("covered") & wanted("fuzzy", config, options), near).otherwise(_none())
 
 
-def with_fuzzy(rows: DataFrame, listed: Lengths, config: Config) -> DataFrame:
-    """rows (n, found, covered[, options]) with the fuzzy stage's detections added to found."""
-    near = _fuzzy_column(listed, config, "options" in rows.columns, id(SparkContext._gateway))
+def with_fuzzy(rows: DataFrame, config: Config) -> DataFrame:
+    """rows (n, found, covered, lengths[, options]) with the fuzzy stage's detections added to found."""
+    near = _fuzzy_column(config, "options" in rows.columns)
     return rows.withColumn("fuzzy", near).withColumn("found", F.concat("found", "fuzzy")).drop("fuzzy")

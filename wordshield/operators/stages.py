@@ -1,4 +1,6 @@
-"""Detection stages over word lists of any length: every reading of a message is a row, and one search finds all their matches.
+"""Detection stages as rows: every reading of a message is a row, and one search finds all their matches.
+
+The scan takes ``rowwise``; this is the plainer form of its stages but the exhaustive readings and the fuzzy stage, and a check of it.
 
 Ordinals: 2 exact, 3 look-alikes, 4 separators, 5 leetspeak, 6 repetition, 7 and 8 leetspeak and repetition over the whole
 message without other characters, 9 fuzzy. Offsets are in the normalised text, for 7 and 8 in the cleaned one; a
@@ -12,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as tx
-from .match import find_all, lacks_match
 
 KEYS = ["message_id", "text_key"]
 METHOD = {2: "exact", 3: "homoglyph", 4: "separator_bypass", 5: "leetspeak", 6: "repetition", 7: "leetspeak", 8: "repetition", 9: "fuzzy"}
@@ -120,22 +121,6 @@ def located(matches: DataFrame, config: Config) -> DataFrame:
     return rows.withColumns({"has_long": long, "nth": nth}).where(~one | ((F.col("has_long") == 0) & (F.col("nth") == 1))).select(*FOUND)
 
 
-def leet_fallback(messages: DataFrame, words: DataFrame, config: Config, variant: str = "auto") -> DataFrame:
-    """Tokens whose likeliest reading shows no word: of all readings, the shortest word, in the first reading that has it."""
-    n, options = F.col("n"), "options" in messages.columns
-    on = _enabled("leetspeak", config.leetspeak.enabled, options)
-    clean = tx.strip_keep_leet(n)
-    both = F.concat(_leet_views(n, 5).cast(f"array<{_VIEW}>"), F.when(clean != n, _leet_views(clean, 7).cast(f"array<{_VIEW}>")).otherwise(_none()))
-    tokens = messages.where(on & n.rlike("[1|&]")).select(*KEYS, *SIZES, F.explode(F.filter(both, lambda v: v["source"].rlike("[1|&]"))).alias("v")).select(*KEYS, *SIZES, "v.*")
-    missed = lacks_match(tokens, "view", words.select(F.col("word").alias("pattern")), variant)
-    readings = missed.select(*KEYS, *SIZES, "ord", "source", "base", F.posexplode(tx.leet_expansions(config.leetspeak.max_expansions)(F.col("source"))).alias("k", "reading"))
-    plain = words.select(F.col("word").alias("pattern"), "word", "base_score")
-    found = find_all(readings, "reading", plain, variant)
-    rank = F.struct(F.length("word").alias("length"), "k", (F.col("at") + F.length("word")).alias("until"), "word", "base_score", "reading")
-    best = found.groupBy(*KEYS, *SIZES, "ord", "base", F.length("source").alias("length")).agg(F.min(rank).alias("b"))
-    return best.select(*KEYS, *SIZES, "ord", "b.word", "b.base_score", F.col("b.reading").alias("matched_form"), F.col("base").alias("start"), (F.col("base") + F.col("length")).alias("end"), F.array().cast("array<array<string>>").alias("homoglyphs_detected"), F.lit(None).cast("int").alias("distance"))
-
-
 def resolved(found: DataFrame) -> DataFrame:
     """found, one row a (word, start, end, method): each word only from its first stage, and of messages that exact matches cover nothing else.
 

@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import Config, Fuzzy, Leetspeak, Repetition, Stage
 from ..functions import chars
 from ..functions import text as tx
-from ..operators import fuzzy, rowwise, rules, score, stages
+from ..operators import fuzzy, rowwise, rules, score, stages, wordlist
 from ..operators.match import find_all, has_match
 from ..sources import lexicon as lx
 from . import reports as rp
-from .scan import prepared, scan
+from .scan import ScanResult, prepared, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,14 +65,16 @@ def conversations(spark: SparkSession, sf_dir: str, *disguise: tuple[str, str])
     return rows.select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), text.alias("text"))
 
 
-def constants() -> rowwise.Constants:
-    return rowwise.Constants.of([Row(word=w, base_score=s, ord=k) for k, (w, s) in enumerate(WORDS)], CONFIG)
+def with_list(messages: DataFrame) -> DataFrame:
+    """Prepared messages with the queries' word list beside them."""
+    listed = [Row(word=w, base_score=s, ord=k) for k, (w, s) in enumerate(WORDS)]
+    return messages.crossJoin(F.broadcast(wordlist.shared(messages.sparkSession, listed, CONFIG)))
 
 
 def stage(spark: SparkSession, messages: DataFrame, ord_: int) -> DataFrame:
     """What a single stage finds, before words found by earlier stages are left out; leetspeak by its likeliest reading (leet_exhaustive has the rest)."""
-    found = rowwise.stage_column(ord_, constants(), CONFIG, exhaustive=False)
-    rows = prepared(messages, CONFIG, unique=True).select("message_id", F.inline(found))
+    found = rowwise.stage_column(ord_, CONFIG, exhaustive=False)
+    rows = with_list(prepared(messages, CONFIG, unique=True)).select("message_id", F.inline(found))
     return rows.select("message_id", "ord", "word", "start", "end", "matched_form", "base_score", "homoglyphs_detected", "distance")
 
 
@@ -142,6 +144,7 @@ def exact_overlap_shingle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_OVERLAPS)
 def exact_overlap_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named after the automaton that searched long lists before anchors did."""
     return _overlaps(spark, sf_dir, "trie")
 
 
@@ -278,8 +281,9 @@ def combined_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def leet_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens whose likeliest reading has no word ('1' read as i, not l): tested against a plain model."""
-    ready = prepared(conversations(spark, sf_dir, ("tion", "t1on"), ("thing", "th|ng")), CONFIG)
-    return stages.leet_fallback(ready, words(spark), CONFIG).select("message_id", "ord", "word", "start", "end", "matched_form")
+    ready = with_list(prepared(conversations(spark, sf_dir, ("tion", "t1on"), ("thing", "th|ng")), CONFIG))
+    all_, likely = (ready.select("message_id", F.inline(F.concat(*(rowwise.stage_column(k, CONFIG, exhaustive=e) for k in (5, 7))))) for e in (True, False))
+    return all_.join(likely, ["message_id", "ord", "start", "end"], "left_anti").select("message_id", "ord", "word", "start", "end", "matched_form")
 
 
 _STRETCHED = (("the", "thhhhe"), ("ver", "verrr"), ("tion", "ttiioonn"), ("erth", "eerrttthh"))
@@ -327,8 +331,8 @@ _NEAREST = "d as (select message_id, token, start, word, levenshtein(regexp_repl
 @query(f"with {sql_messages(*_EDITED)}, {_TOKENS}, {_BUDGET}, {_NEAREST} select message_id, word, token as matched_form, start, (start + length(token))::int as \"end\", distance::int as distance from d where nth = 1")
 def fuzzy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = prepared(conversations(spark, sf_dir, *_EDITED), CONFIG, unique=True)
-    none = ready.withColumns({"found": F.array().cast(f"array<{rowwise.FOUND}>"), "covered": F.lit(False)})
-    found = rowwise.with_fuzzy(none, constants().lengths, CONFIG).select("message_id", F.inline("found"))
+    none = with_list(ready).withColumns({"found": F.array().cast(f"array<{rowwise.FOUND}>"), "covered": F.lit(False)})
+    found = rowwise.with_fuzzy(none, CONFIG).select("message_id", F.inline("found"))
     return found.select("message_id", "word", "matched_form", "start", "end", "distance")
 
 
@@ -343,26 +347,21 @@ _COVER = "c as (select message_id, coalesce(sum(\"end\" - start) filter (where o
 _KEPT = "r as (select distinct * exclude (earliest, covered, n) from (select a.*, c.covered, min(ord) over (partition by message_id, word) as earliest from a join c using (message_id)) where ord = earliest and (ord = 2 or not covered))"
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = prepared(conversations(spark, sf_dir, *_MIXED), CONFIG)
-    seen = stages.views(ready, CONFIG).where("ord <= 3")
-    return stages.resolved(stages.located(find_all(seen, "view", stages.patterns_of(words(spark), CONFIG), kind="kind"), CONFIG))
+#: Only the first two stages.
+PLAIN = Config(leetspeak=Leetspeak(False), separator_bypass=Stage(False), repetition=Repetition(False), fuzzy=Fuzzy(False))
 
 
 @query(f"with {sql_messages(('the', 'the the the'))}, {_FOUND}, {_COVER} select message_id, covered from c")
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = prepared(conversations(spark, sf_dir, ("the", "the the the")), CONFIG)
-    seen = stages.views(ready, CONFIG).where("ord = 2")
-    found = stages.resolved(stages.located(find_all(seen, "view", stages.patterns_of(words(spark), CONFIG), kind="kind"), CONFIG))
-    looked = stages.views(ready, CONFIG).where("ord = 3")
-    alike = stages.located(find_all(looked, "view", stages.patterns_of(words(spark), CONFIG), kind="kind"), CONFIG)
-    both = alike.select("message_id", F.lit(False).alias("covered")).union(found.select("message_id", "covered"))
-    return both.groupBy("message_id").agg(F.max("covered").alias("covered"))
+    ready = with_list(prepared(conversations(spark, sf_dir, ("the", "the the the")), CONFIG))
+    rows = rowwise.with_exact(ready, CONFIG).withColumn("alike", rowwise.stage_column(3, CONFIG))
+    return rows.where("size(exact) + size(alike) > 0").select("message_id", "covered")
 
 
 @query(f"with {sql_messages(*_MIXED)}, {_FOUND}, {_COVER}, {_KEPT} select message_id, word, ord, start, \"end\" from r")
 def suppression_min_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir).select("message_id", "word", "ord", "start", "end")
+    rows = rowwise.detected(with_list(prepared(conversations(spark, sf_dir, *_MIXED), PLAIN)), PLAIN)
+    return rows.select("message_id", F.inline("found")).select("message_id", "word", "ord", "start", "end")
 
 
 _SCORED = """d as (select message_id, count(distinct word) as distinct_words from r group by message_id),
@@ -372,21 +371,19 @@ _TIER = "case when {x} >= 1.0 then 'critical' when {x} >= 0.8 then 'high' when {
 _ACTION = "case when {x} >= 1.0 then 'block' when {x} >= 0.8 then 'warn' when {x} >= 0.6 then 'flag' else 'log' end"
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.scored(_resolved(spark, sf_dir), stages.KEYS, CONFIG)
+def _scored(spark: SparkSession, sf_dir: str) -> ScanResult:
+    return scan(conversations(spark, sf_dir, *_MIXED), word_list(spark), PLAIN, keep=False)
 
 
 @query(f"with {sql_messages(*_MIXED)}, {_FOUND}, {_COVER}, {_KEPT}, {_COUNTS}, {_SCORED} select message_id, word, start, \"end\", round(final_score, 9) as final_score, {_TIER.format(x='final_score')} as tier from s")
 def score_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("message_id", "word", "start", "end", F.round("final_score", 9).alias("final_score"), "tier")
+    return _scored(spark, sf_dir).detections.select("message_id", "word", "start", "end", F.round("final_score", 9).alias("final_score"), "tier")
 
 
 @query(f"with {sql_messages(*_MIXED)}, {_FOUND}, {_COVER}, {_KEPT}, {_COUNTS}, {_SCORED}, g as (select message_id, count(*)::int as total_detections, count(distinct word)::int as distinct_words, max(final_score) as highest, avg(final_score) as average from s group by message_id) select message_id, coalesce(total_detections, 0)::int as total_detections, coalesce(distinct_words, 0)::int as distinct_words, round(coalesce(highest, 0), 9) as highest, round(coalesce(average, 0), 3) as average, {_TIER.format(x='coalesce(highest, 0)')} as tier, {_ACTION.format(x='coalesce(highest, 0)')} as action from m left join g using (message_id)")
 def message_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = _scored(spark, sf_dir).groupBy("message_id").agg(F.collect_list(F.struct("word", "final_score")).alias("detections"))
-    rows = conversations(spark, sf_dir, *_MIXED).select("message_id").join(listed, "message_id", "left")
-    full = rows.withColumn("detections", F.coalesce("detections", F.array().cast("array<struct<word: string, final_score: double>>")))
-    s = full.select("message_id", score.summary_of("detections", CONFIG).alias("s"), F.aggregate("detections", F.lit(0.0), lambda a, d: a + d["final_score"]).alias("sum"))
+    total = F.aggregate("detections", F.lit(0.0), lambda a, d: a + d["final_score"])
+    s = _scored(spark, sf_dir).reports.select("message_id", F.col("summary").alias("s"), total.alias("sum"))
     return s.select("message_id", "s.total_detections", "s.distinct_words", F.round("s.highest_score", 9).alias("highest"), F.round(F.coalesce(F.try_divide("sum", F.col("s.total_detections")), F.lit(0.0)), 3).alias("average"), "s.tier", "s.action")
 
 

@@ -147,7 +147,7 @@ def lexicon_enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed(spark, sf_dir).enabled().select("word", "ord")
 
 
-@query(f"with {_LISTED} select lower(word) as word, base_score from l")
+@query(f"with {_LISTED} select lower(word) as word, base_score from l where enabled")
 def lexicon_word_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed(spark, sf_dir).word_map()
 
@@ -234,6 +234,6 @@ _OPEN = rg._TOKENS.replace("where length(t.piece) >= 4)", "where length(t.piece)
 def fuzzy_skips_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that are themselves words found in the message take no part, nor count against the budget."""
     ready = prepared(rg.conversations(spark, sf_dir, *rg._EDITED), rg.CONFIG, unique=True)
-    rows = ready.withColumns({"found": rowwise.stage_column(2, rg.constants(), rg.CONFIG), "covered": F.lit(False)})
-    found = rowwise.with_fuzzy(rows, rg.constants().lengths, rg.CONFIG).select("message_id", F.inline("found")).where("ord = 9")
+    rows = rg.with_list(ready).withColumns({"found": rowwise.stage_column(2, rg.CONFIG), "covered": F.lit(False)})
+    found = rowwise.with_fuzzy(rows, rg.CONFIG).select("message_id", F.inline("found")).where("ord = 9")
     return found.select("message_id", "word", "matched_form", "start", "distance")

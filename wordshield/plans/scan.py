@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as tx
-from ..operators import rowwise, score, stages
-from ..operators.match import SPLIT_UP_TO, find_all
+from ..functions.cached import built_once
+from ..operators import rowwise, score, stages, wordlist
+from ..operators.match import SPLIT_UP_TO
 from ..sources.lexicon import Lexicon
 
 KEYS = stages.KEYS
@@ -47,39 +48,18 @@ class ScanResult:
             df.unpersist()
 
 
-def staged(messages: DataFrame, words: DataFrame, config: Config, variant: str = "auto") -> DataFrame:
-    """Resolved detections of all stages but the fuzzy one, of prepared messages, as joins with the word list."""
-    seen = stages.views(messages, config)
-    found = stages.located(find_all(seen, "view", stages.patterns_of(words, config), variant, kind="kind"), config)
-    if config.leetspeak.enabled or "options" in messages.columns:
-        found = found.unionByName(stages.leet_fallback(messages, words, config, variant))
-    return stages.resolved(found)
-
-
-def _joined(ready: DataFrame, words: DataFrame, config: Config, variant: str, with_tags: bool) -> DataFrame:
-    """ready with ``found`` (and tags), where the list is too long to be a constant: the stages' matches are grouped by message, the fuzzy stage is the row's own."""
-    found = staged(ready, words, config, variant)
-    item = F.struct(*(F.col(f).alias(f) for f in ("ord", "end", "start", "word", "base_score", "matched_form", "homoglyphs_detected", "distance")))
-    more = []
-    if with_tags:
-        found = found.join(words.select("word", "tags"), "word", "left")
-        more = [F.map_from_entries(F.collect_set(F.struct("word", F.coalesce("tags", F.array().cast("array<string>"))))).alias("tags")]
-    listed = found.groupBy(*KEYS).agg(F.collect_list(item).alias("found"), F.max("covered").alias("covered"), *more)
-    rows = ready.join(listed, KEYS, "left")
-    rows = rows.withColumns({"found": F.coalesce(F.col("found").cast(f"array<{rowwise.FOUND}>"), F.array().cast(f"array<{rowwise.FOUND}>")), "covered": F.coalesce("covered", F.lit(False))})
-    return rowwise.with_fuzzy(rows, rowwise.Lengths.of_table(words, config.fuzzy), config).drop("covered")
-
-
-def _scored(tags: Column | None, config: Config) -> Column:
+@built_once
+def _scored(with_tags: bool, config: Config) -> Column:
     """The column found as an array of scored detections, by stage, end, start and word."""
     method = F.create_map(*(F.lit(x) for k, v in stages.METHOD.items() for x in (k, v)))
     none = F.array().cast("array<string>")
+    tags_of = lambda word: F.coalesce(F.try_element_at("list.tags", word), F.try_element_at("lengths.tags", word), none)
 
     def each(d: Column, distinct: Column) -> Column:
         def made(x: Column) -> Column:
             columns = {"word": d["word"], "matched_form": d["matched_form"], "start": d["start"], "end": d["end"], "base_score": d["base_score"], "final_score": x["score"], "method": x["method"]}
             columns |= {"sub_methods": F.when(x["method"] == "exact", none).otherwise(F.array(x["method"])), "homoglyphs_detected": d["homoglyphs_detected"], "distance": d["distance"]}
-            columns |= {"tags": none if tags is None else F.coalesce(F.try_element_at(tags, d["word"]), none), "tier": score.tier_of(x["score"], config.tiers)}
+            columns |= {"tags": tags_of(d["word"]) if with_tags else none, "tier": score.tier_of(x["score"], config.tiers)}
             return F.struct(*(v.alias(k) for k, v in columns.items()))
 
         named = F.element_at(method, d["ord"])
@@ -89,21 +69,26 @@ def _scored(tags: Column | None, config: Config) -> Column:
     return tx.once(distinct, lambda n: F.transform(F.array_sort("found"), lambda d: each(d, n)))
 
 
+@built_once
+def _summary(config: Config) -> Column:
+    return score.summary_of("detections", config)
+
+
 def scan(messages: DataFrame, lexicon: Lexicon, config: Config | None = None, *, id_col: str = "message_id", text_col: str = "text", variant: str = "auto", with_tags: bool = False, keep: bool = True, unique: bool = False) -> ScanResult:
     """Find the words of the list, plain and disguised, in every message.
 
     detections: one row each, scored; reports: one row a message with its detections (by stage, end, start, word), summary
-    and action, and the message's timestamp and context if it has them. A list of up to SPLIT_UP_TO enabled words becomes
-    constants of the plan, and each message is scanned within its row, without a join or shuffle ("rows"). A longer one, of
-    at most Config.max_words words, is joined by shingles. variant names another way. An empty list or message gives
-    reports without detections.
+    and action, and the message's timestamp and context if it has them. Each message is scanned within its row. A list of up
+    to SPLIT_UP_TO enabled words lies beside every message, without a join by key or a shuffle ("rows"). Of a longer one, of
+    at most Config.max_words words, each message first gets the words that an anchor search finds in any reading of it
+    ("anchor"). variant names a way. An empty list or message gives reports without detections.
     """
     config = config or Config()
     words = lexicon.patterns()
     most = config.max_words
     if variant in ("auto", "rows"):
         head = words.limit((SPLIT_UP_TO if variant == "auto" else most) + 1).collect()
-        variant = "rows" if variant == "rows" or len(head) <= SPLIT_UP_TO else "shingle"
+        variant = "rows" if variant == "rows" or len(head) <= SPLIT_UP_TO else "anchor"
     over = len(head) > most if variant == "rows" else words.limit(most + 1).count() > most
     if over:
         raise ValueError(f"more than {most} words")
@@ -116,14 +101,12 @@ def scan(messages: DataFrame, lexicon: Lexicon, config: Config | None = None, *,
         return df
 
     if variant == "rows":
-        constants = rowwise.Constants.of(head, config)
-        rows = rowwise.detected(ready, constants, config)
-        tags = constants.tags if with_tags else None
+        rows = ready.crossJoin(F.broadcast(wordlist.shared(ready.sparkSession, head, config)))
     else:
-        rows = _joined(keeping(ready), words, config, variant, with_tags)
-        tags = F.coalesce("tags", F.create_map().cast("map<string, array<string>>")) if with_tags else None
+        rows = wordlist.with_candidates(keeping(ready), words, config, KEYS, variant)
+    rows = rowwise.detected(rows, config)
     carried = [c for c in CARRIED if c in ready.columns]
-    rows = rows.select("message_id", *carried, "text", F.col("n").alias("normalized_text"), "word_count", _scored(tags, config).alias("detections"))
+    rows = rows.select("message_id", *carried, "text", F.col("n").alias("normalized_text"), "word_count", _scored(with_tags, config).alias("detections"))
     rows = keeping(rows)
-    reports = rows.withColumn("summary", score.summary_of("detections", config))
+    reports = rows.withColumn("summary", _summary(config))
     return ScanResult(rows.select("message_id", F.inline("detections")), reports, tuple(kept))
