@@ -94,8 +94,8 @@ def _dealt(rows: DataFrame, target_tokens: int, history_tokens: int, target_role
     return _assembled(parts)
 
 
-def format_parts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target_tokens: int = 1024, history_tokens: int = 256, target_role: str = "assistant", hot: int = 1000) -> list[DataFrame]:
-    """format_chats() in two tables: of conversations that each have at most one in `hot` of all rows, and of the fewer than `hot` others.
+def format_parts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target_tokens: int = 1024, history_tokens: int = 256, target_role: str = "assistant", fits: int = 5000, hot: int = 100_000) -> list[DataFrame]:
+    """format_chats() in two tables: of conversations that fit a task, and of the others, which have over `fits` rows and over one in `hot` of all rows (so they are fewer than `hot`).
 
     The first is hash-partitioned by conv.
     """
@@ -103,7 +103,7 @@ def format_parts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     counts = rows.groupBy("conv").agg(F.count("*").alias("n"))
     total = rows.count()
-    large = counts.where(F.col("n") * hot > total).select(F.struct("conv").alias("large")).collect()  # fewer than `hot` by their share
+    large = counts.where((F.col("n") > fits) & (F.col("n") * hot > total)).select(F.struct("conv").alias("large")).collect()  # fewer than `hot` by their share
     rows = rows.withColumns({"tokens": F.regexp_count("text", F.lit(_TOKENS)).cast("long") + F.regexp_count("role", F.lit(_TOKENS)) + 3, "h0": F.xxhash64("role", "text"), "h1": F.xxhash64(F.lit(20_011), "role", "text")})
     if not large:
         return [_grouped(rows, target_tokens, history_tokens, target_role)]
@@ -125,8 +125,8 @@ def format_chats(turns: DataFrame, **options) -> DataFrame:
 
     Turns are ordered by turn, those of one number by a hash of role and text; null roles and texts are empty, a null turn
     comes first, a null conversation id is a conversation. Equal rows are turns of their own. Texts cross one shuffle, by
-    conversation; a conversation with over a thousandth of all rows is dealt over tasks instead, and only a window's turns meet
-    in one row.
+    conversation; one of over `fits` rows that are over one in `hot` of all rows is dealt over tasks instead, and only a
+    window's turns meet in one row.
     """
     return reduce(DataFrame.unionByName, format_parts(turns, **options))
 
