@@ -196,15 +196,14 @@ def _linked(sized: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, pe
         classes = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         mixed = classes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("members"), F.max(F.struct("n", "label"))["label"].alias("main")).where("classes > 1")
         mixed = mixed.select("bucket", "main", F.ceil(F.col("members") / per_task).cast("int").alias("parts"))
-        short = lambda x: F.pmod(x, F.lit(2_147_483_647)).cast("int")
-        bands = nodes.select("node", F.transform("bands", short).alias("bands"))
-        known = known.join(mixed, "bucket").join(bands, "node").withColumn("earlier", F.slice("bands", 1, F.array_position("bands", short(F.col("bucket"))).cast("int") - 1))
+        known = known.join(mixed, "bucket").join(nodes.select("node", "bands"), "node").withColumn("earlier", F.slice("bands", 1, F.array_position("bands", F.col("bucket")).cast("int") - 1))
         known = written(known.drop("bands"), "mixed")
         columns = ("label", "earlier", "main", "part")
         apart = side(known.where(F.col("label") != F.col("main")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "a", *columns)
         all_ = side(known.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "b", *columns)
         met = (F.col("left.bucket") == F.col("right.bucket")) & (F.col("part_a") == F.col("part_b")) & (F.col("label_a") != F.col("label_b"))
-        # the cheaper tests first; of two members outside the main class one meets the other, and the last test lets a pair through only in the first bucket that it shares
+        # the cheaper tests first; of two members outside the main class one meets the other. The last test compares whole bucket keys: of the buckets that a pair
+        # shares, the one that is first among either member's has no other before it in both, so a pair always gets through somewhere
         met = met & ((F.col("label_b") == F.col("main_b")) | (F.col("a") < F.col("b"))) & possible & ~F.arrays_overlap("earlier_a", "earlier_b")
         rest = apart.repartition(tasks, "bucket", "part_a").alias("left").join(all_.repartition(tasks, "bucket", "part_b").alias("right"), met)
         rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
