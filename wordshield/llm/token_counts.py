@@ -31,6 +31,23 @@ def safe_pieces(text: str, most: int) -> list[str]:
     return [*pieces, text[start:]]
 
 
+def batches_of(texts: list[str], piece_chars: int, most_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts' pieces in batches that end once they have most_bytes of UTF-8, and the text of each piece."""
+    pieces: list[str] = []
+    owners: list[int] = []
+    size = 0
+    for k, text in enumerate(texts):
+        for piece in safe_pieces(text, piece_chars):
+            pieces.append(piece)
+            owners.append(k)
+            size += len(piece) if piece.isascii() else len(piece.encode())
+            if size >= most_bytes:
+                yield owners, pieces
+                pieces, owners, size = [], [], 0
+    if pieces:
+        yield owners, pieces
+
+
 def _load(path: str):
     if path.endswith(".model"):
         import sentencepiece
@@ -48,14 +65,16 @@ def _load(path: str):
     return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = 50_000, batch_chars: int = 200_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = 50_000, batch_bytes: int = 200_000, batch_chars: int | None = None) -> DataFrame:
     """(id, n_bytes, n_tokens) for every row; a null text counts as empty, equal rows each give a row.
 
     tokenizer: path of a tokenizers .json or sentencepiece .model, there on every worker. Texts longer than
     piece_chars are split at safe boundaries (.json only; sentencepiece has no such boundary, its texts stay whole), and
-    pieces are encoded in batches of about batch_chars, so a batch costs about the same whatever its texts.
+    pieces are encoded in batches of about batch_bytes of UTF-8, so a batch costs about the same whatever its texts and their
+    script (batch_chars is the former name). An empty table gives an empty one.
     No shuffle; memory is bounded by an Arrow batch and the longest text.
     """
+    full = batch_bytes if batch_chars is None else batch_chars
     most = piece_chars if tokenizer.endswith(".json") else 1 << 60
     kinds = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
 
@@ -64,20 +83,9 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             totals = [0] * len(texts)
-            pieces: list[str] = []
-            owners: list[int] = []
-            size = 0
-            for k, text in enumerate(texts):
-                for piece in safe_pieces(text, most):
-                    pieces.append(piece)
-                    owners.append(k)
-                    size += len(piece)
-                    if size >= batch_chars:
-                        for o, n in zip(owners, lengths(pieces)):
-                            totals[o] += n
-                        pieces, owners, size = [], [], 0
-            for o, n in zip(owners, lengths(pieces) if pieces else []):
-                totals[o] += n
+            for owners, pieces in batches_of(texts, most, full):
+                for o, n in zip(owners, lengths(pieces)):
+                    totals[o] += n
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(totals, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
