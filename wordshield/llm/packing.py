@@ -15,8 +15,8 @@ from .common import drop_written, written
 from .kernels import sliced
 
 
-#: A run of white space that the pattern of the ranks might not take.
-_LONG_GAP = re.compile(r"\s{10000}")
+#: A run of white space that the pattern of the ranks might not take, or only slowly.
+_LONG_GAP = re.compile(r"\s{500}")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,7 +67,7 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
 def encode_pieces(docs: DataFrame, ranks_path: str, pattern: str, end_of_text: tuple[str, int], tokenizer_path: str, final_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Written table (piece_key, id, piece, start, length, ids): each row's token ids (little-endian unsigned 32-bit), cut.
 
-    Equal rows are packed each for itself: piece_key, not the id, names a piece. A null text is empty: one piece, final_id.
+    Equal rows are packed each for itself: piece_key, not the id, names a piece. A null text is empty: one piece, final_id. An empty table gives an empty one.
     """
     kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
 
@@ -164,7 +164,8 @@ def pack(pieces: DataFrame, capacity: int, items_per_partition: int = 100_000, r
     best-fit decreasing. Dual feasible functions bound each partition's bins from below. A partition that meets its
     bound keeps all bins but its emptiest; one with a gap keeps its full bins. The documents of all other bins meet
     in fewer partitions and are packed again, until one partition has taken all that is left, or rounds are over (then
-    the last round's bins stay). Nothing is dropped: a round only changes which bins are final.
+    the last round's bins stay). Nothing is dropped: a round only changes which bins are final. Pieces of equal length are taken by
+    piece_key; an empty table gives an empty one.
     """
     full = pieces.where(F.col("length") == capacity).select("piece_key", (F.col("piece_key") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items, final = pieces.where(F.col("length") < capacity).select("piece_key", "length"), [full]
