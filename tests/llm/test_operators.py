@@ -282,7 +282,7 @@ def test_chat_windows(spark, hot):
     rows = [(1, 0, "system", "Be brief. " + control)] + [(1, k, ("assistant", "user")[k % 2], f"{k} {control} " * (k % 5 + 1)) for k in range(1, 60)]
     rows += [(2, None, None, None), (2, 0, "assistant", ""), (None, 3, "user<|text|>", "hi"), (3, 1, "assistant", "same"), (3, 1, "assistant", "same"), (4, 1, "assistant", "word " * 500), (4, 2, "user", "after")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(1))
-    windows = chat_format.format_chats(df, target_tokens=120, history_tokens=60, hot=hot)
+    windows = chat_format.format_chats(df, target_tokens=120, history_tokens=60, fits=0, hot=hot)
     found = sorted(windows.collect(), key=lambda r: (r["conv"] or -9, r["window"]))
     back = {(r["conv"], r["window"]): r for r in chat_format.read_back(windows).collect()}
     by = defaultdict(list)
@@ -300,7 +300,7 @@ def test_chat_windows(spark, hot):
 
 def test_chat_windows_are_the_same_either_way(spark):
     table = spark.read.parquet(f"{SF}/conversations.parquet")
-    made = [Counter(tuple(map(str, r)) for r in chat_format.format_chats(table, target_tokens=150, history_tokens=80, hot=hot).collect()) for hot in (1, 30, 1000)]
+    made = [Counter(tuple(map(str, r)) for r in chat_format.format_chats(table, target_tokens=150, history_tokens=80, fits=0, hot=hot).collect()) for hot in (1, 30, 1000)]
     assert made[0] == made[1] == made[2]
 
 
