@@ -238,35 +238,49 @@ def resolved(stages: list[Column]) -> Column:
 _WORD = "struct<length: int, ord: bigint, word: string, base_score: double>"
 
 
+def _around(token: Column, most: Column) -> Column:
+    return F.sequence(F.length(token) - most, F.length(token) + most)
+
+
+def near_lengths(token: Column, words: Column, most: Column) -> Column:
+    """The words (a map by length, of arrays of _WORD) whose length is within `most` of a token's."""
+    return F.flatten(F.transform(_around(token, most), lambda k: F.coalesce(F.try_element_at(words, k), F.array().cast(f"array<{_WORD}>"))))
+
+
+def eligible_tokens(low: Column, detected_words: Column, config: Fuzzy) -> Column:
+    """(k, token) of a text's tokens that are long enough and aren't themselves detected words."""
+    numbered = F.transform(tx.runs_of(low, tx.ALNUM), lambda t, k: F.struct(k.alias("k"), t.alias("token")))
+    return F.filter(numbered, lambda t: (F.length(t["token"]) >= config.min_word_length) & ~F.array_contains(detected_words, t["token"]))
+
+
+def compared_tokens(open_: Column, counts: Column, config: Fuzzy, most: Column) -> Column:
+    """(k, token, before, own) of the eligible tokens that are compared: as long as the comparisons with all words of near lengths stay within the budget."""
+    number = lambda token: F.aggregate(_around(token, most), F.lit(0), lambda n, k: n + F.coalesce(F.try_element_at(counts, k), F.lit(0)))
+
+    def kept(ns: Column) -> Column:
+        before = tx.sums_before(ns)
+        spent = F.zip_with(F.zip_with(open_, before, lambda t, x: F.struct(t["k"].alias("k"), t["token"].alias("token"), x.alias("before"))), ns, lambda t, n: F.struct(t["k"].alias("k"), t["token"].alias("token"), t["before"].alias("before"), n.alias("own")))
+        return F.filter(spent, lambda x: (x["own"] > 0) & (x["before"] + x["own"] <= config.max_checks))
+
+    return tx.once(F.transform(open_, lambda t: number(t["token"])), kept)
+
+
 def nearest(low: Column, found: Column, words: Column, counts: Column, config: Fuzzy, most: Column) -> Column:
     """Fuzzy detections of the tokens that aren't themselves detected words, in order, as long as the comparisons with all words of near lengths stay within the budget."""
-    around = lambda token: F.sequence(F.length(token) - most, F.length(token) + most)
-    near = lambda token: F.flatten(F.transform(around(token), lambda k: F.coalesce(F.try_element_at(words, k), F.array().cast(f"array<{_WORD}>"))))
-    number = lambda token: F.aggregate(around(token), F.lit(0), lambda n, k: n + F.coalesce(F.try_element_at(counts, k), F.lit(0)))
-
     def best(token: Column) -> Column:
-        close = F.transform(near(token), lambda w: F.struct(distance_of(token, w["word"], most, config.distance).alias("distance"), w["length"].alias("length"), w["ord"].alias("ord"), w["word"].alias("word"), w["base_score"].alias("base_score")))
+        close = F.transform(near_lengths(token, words, most), lambda w: F.struct(distance_of(token, w["word"], most, config.distance).alias("distance"), w["length"].alias("length"), w["ord"].alias("ord"), w["word"].alias("word"), w["base_score"].alias("base_score")))
         return F.array_min(F.filter(close, lambda w: (w["distance"] >= 0) & (w["distance"] / w["length"] <= config.distance_ratio)))
 
     def within(open_: Column) -> Column:
         """(k, best) of each token within the budget that has a near word; open_ is (k, token) of the eligible ones."""
-
-        def kept(ns: Column) -> Column:
-            before = tx.sums_before(ns)
-            spent = F.zip_with(F.zip_with(open_, before, lambda t, x: F.struct(t["k"].alias("k"), t["token"].alias("token"), x.alias("before"))), ns, lambda t, n: F.struct(t["k"].alias("k"), t["token"].alias("token"), t["before"].alias("before"), n.alias("own")))
-            return F.filter(spent, lambda x: (x["own"] > 0) & (x["before"] + x["own"] <= config.max_checks))
-
-        counts = F.transform(open_, lambda t: number(t["token"]))
-        return F.filter(F.transform(tx.once(counts, kept), lambda x: F.struct(x["k"].alias("k"), best(x["token"]).alias("best"))), lambda x: x["best"].isNotNull())
+        return F.filter(F.transform(compared_tokens(open_, counts, config, most), lambda x: F.struct(x["k"].alias("k"), best(x["token"]).alias("best"))), lambda x: x["best"].isNotNull())
 
     def placed(x: Column, tokens: Column) -> Column:
         t, b = F.get(tokens, x["k"]), x["best"]
         return tx.once(t, lambda t: _detection(9, b["word"], b["base_score"], t["start"], t["start"] + F.length(t["piece"]), t["piece"], distance=b["distance"]))
 
     def of(ws: Column) -> Column:
-        numbered = F.transform(tx.runs_of(low, tx.ALNUM), lambda t, k: F.struct(k.alias("k"), t.alias("token")))
-        eligible = F.filter(numbered, lambda t: (F.length(t["token"]) >= config.min_word_length) & ~F.array_contains(ws, t["token"]))
-        found = tx.once(eligible, within)
+        found = tx.once(eligible_tokens(low, ws, config), within)
         # tokens' places are looked up only where one is near a word
         return tx.once(found, lambda xs: F.when(F.size(xs) > 0, tx.once(tx.alnum_tokens(low), lambda ts: F.transform(xs, lambda x: placed(x, ts)))).otherwise(_none()))
 

@@ -82,13 +82,13 @@ def sql_str(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def sql_messages(*disguise: tuple[str, str], most: int = 10_000) -> str:
-    """CTEs: w (word, base_score, ord), m (message_id, text, n)."""
+def sql_messages(*disguise: tuple[str, str], most: int = 10_000, listed: list[tuple[str, float]] = WORDS, w: str | None = None) -> str:
+    """CTEs: w (word, base_score, ord), m (message_id, text, n); w: SQL of another list."""
     text = "text"
     for old, new in disguise:
         text = f"replace({text}, {sql_str(old)}, {sql_str(new)})"
-    rows = ", ".join(f"({sql_str(w)}, {s}::double, {k})" for k, (w, s) in enumerate(WORDS))
-    return f"w(word, base_score, ord) as (values {rows}), m as (select message_id, text, lower(text) as n from (select conv_id::varchar || '-' || turn::varchar as message_id, substr({text}, 1, {most}) as text from conversations))"
+    rows = ", ".join(f"({sql_str(x)}, {s}::double, {k})" for k, (x, s) in enumerate(listed))
+    return f"w(word, base_score, ord) as ({w or f'values {rows}'}), m as (select message_id, text, lower(text) as n from (select conv_id::varchar || '-' || turn::varchar as message_id, substr({text}, 1, {most}) as text from conversations))"
 
 
 def sql_places(text: str, word: str) -> str:
@@ -515,4 +515,5 @@ def rule_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("words", F.array_join("words", " "))
 
 
+from . import registry_list  # noqa: E402, F401  (adds its queries)
 from . import registry_store  # noqa: E402, F401  (adds its queries)
