@@ -516,4 +516,5 @@ def rule_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from . import registry_list  # noqa: E402, F401  (adds its queries)
+from . import registry_log  # noqa: E402, F401  (adds its queries)
 from . import registry_store  # noqa: E402, F401  (adds its queries)

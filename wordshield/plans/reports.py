@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import logging
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NullType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, NullType, StringType, StructField, StructType
 
 from ..config import Config
 from ..schemas import REPORT
@@ -21,14 +22,21 @@ def newest(reports: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
 
 
 def of_tier(reports: DataFrame, tier: str, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of the reports of one severity tier, in the order they came."""
-    return reports.where(F.col("summary.tier") == tier).orderBy("timestamp", "message_id").offset(offset).limit(limit)
+    """A page of the reports of one severity tier, in the order in which their ids first came; reports that aren't from a log, by time."""
+    order = ["arrived.written", "arrived.nth"] if "arrived" in reports.columns else ["timestamp", "message_id"]
+    return reports.where(F.col("summary.tier") == tier).orderBy(*order).offset(offset).limit(limit)
 
 
 def current(reports: DataFrame) -> DataFrame:
-    """The last report of each message id; of equal times, the one whose JSON hashes lowest."""
-    last = Window.partitionBy("message_id").orderBy(F.desc("timestamp"), F.xxhash64(F.to_json(F.struct(*reports.columns))))
-    return reports.withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth")
+    """The last report of each message id. A log's rows follow each other as they were written; others by time, and of equal times the one whose JSON hashes lowest counts."""
+    mine = Window.partitionBy("message_id")
+    if "written" not in reports.columns:
+        order = [F.desc("timestamp"), F.xxhash64(F.to_json(F.struct(*reports.columns)))]
+        return reports.withColumn("place", F.row_number().over(mine.orderBy(*order))).where("place = 1").drop("place")
+    own = F.struct("written", "nth")
+    first = F.min(F.coalesce("arrived", own)).over(mine)
+    placed = reports.withColumns({"place": F.row_number().over(mine.orderBy(F.desc("written"), F.desc("nth"))), "arrived": first})
+    return placed.where("place = 1").drop("place")
 
 
 def since(reports: DataFrame, cutoff: Column) -> DataFrame:
@@ -66,13 +74,19 @@ def windowed(reports: DataFrame, width: str = "1 hour") -> DataFrame:
 
 @dataclass
 class ReportTable:
-    """Reports in Parquet or JSON lines, one folder a day, so time filters and expiry prune folders."""
+    """Reports in Parquet or JSON lines, one folder a day, so time filters and expiry prune folders.
+
+    Every append adds rows; a message id's report is its last row, and every reader but all() gives one report an id. So an
+    append that is repeated, as by a retried micro-batch, changes no answer. compact() rewrites the log without superseded rows.
+    shards: also a folder for each hash of the message id, so that get() opens one folder a day. One writer at a time.
+    """
 
     spark: SparkSession
     path: str
     config: Config = Config()
     hooks: tuple[Callable[[DataFrame], None], ...] = ()
     form: str = "parquet"
+    shards: int = 0
 
     @staticmethod
     def configured(spark: SparkSession, config: Config, path: str = "./data/reports", **more) -> ReportTable:
@@ -80,32 +94,56 @@ class ReportTable:
         return ReportTable(spark, config.environment.get("REPORT_PATH", path), config, **more)
 
     def append(self, reports: DataFrame, processing_time_ms: float | None = None) -> None:
-        """Add reports (message_id, text, normalized_text, detections, summary[, timestamp, context]).
+        """Add reports (message_id, text, normalized_text, detections, summary[, timestamp, context, processing_time_ms]), in their order.
 
-        Hooks get the rows as they were stored: they are read back, so nothing is scanned or stamped twice.
+        Hooks get the rows as they were stored: they are read back, so nothing is scanned or stamped twice. A hook that fails is
+        logged, and the next one runs.
         """
         number = uuid.uuid4().hex
         given = {"timestamp": F.current_timestamp(), "context": F.lit(None), "processing_time_ms": F.lit(processing_time_ms)}
-        full = reports.withColumns({k: v for k, v in given.items() if k not in reports.columns} | {"appended": F.lit(number)})
+        own = {"appended": F.lit(number), "written": F.lit(time.time_ns()), "nth": F.monotonically_increasing_id(), "arrived": F.lit(None)}
+        full = reports.withColumns({k: v for k, v in given.items() if k not in reports.columns} | own)
         if not isinstance(full.schema["context"].dataType, (StringType, NullType)):
             full = full.withColumn("context", F.to_json("context"))
-        rows = full.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in REPORT), F.to_date("timestamp").alias("day"))
-        rows.write.mode("append").partitionBy("day").format(self.form).save(self.path)
+        self._write(full.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in REPORT)), self.path)
         if self.hooks:
-            stored = self.all().where(F.col("appended") == number).drop("day", "appended")
+            stored = self.all().where(F.col("appended") == number).drop(*self._own())
             for hook in self.hooks:
-                hook(stored)
+                try:
+                    hook(stored)
+                except Exception:
+                    logging.getLogger(__name__).warning("report hook failed", exc_info=True)
+
+    def _shard(self, message_id: Column) -> Column:
+        return F.pmod(F.xxhash64(message_id), F.lit(self.shards)).cast("int")
+
+    def _write(self, rows: DataFrame, path: str) -> None:
+        folders = {"day": F.to_date("timestamp")} | ({"shard": self._shard(F.col("message_id"))} if self.shards else {})
+        rows = rows.withColumns(folders)
+        rows = rows.repartition(*folders) if self.shards else rows  # a file a folder
+        writer = rows.write.mode("append").partitionBy(*folders).format(self.form)
+        writer.option("parquet.bloom.filter.enabled#message_id", "true").save(path)
+
+    def _own(self) -> list[str]:
+        return ["day", "shard", "appended", "written", "nth", "arrived"]
 
     def all(self) -> DataFrame:
-        schema = StructType([*REPORT.fields, StructField("day", DateType())])
+        """Every row of the log, superseded ones too."""
+        schema = StructType([*REPORT.fields, StructField("day", DateType()), *([StructField("shard", IntegerType())] if self.shards else [])])
         return self.spark.read.schema(schema).format(self.form).load(self.path)
 
+    def reports(self) -> DataFrame:
+        """One report for each message id."""
+        return current(self.all())
+
     def get(self, message_id: str) -> DataFrame:
-        return current(self.all().where(F.col("message_id") == message_id)).drop("day", "appended")
+        rows = self.all().where(F.col("message_id") == message_id)
+        rows = rows.where(F.col("shard") == self._shard(F.lit(message_id))) if self.shards else rows
+        return current(rows).drop(*self._own())
 
     def page(self, page: int = 1, size: int = 50, tier: str | None = None) -> tuple[DataFrame, int]:
         """A page, latest first or in order of arrival within a tier, and how many reports there are in all pages."""
-        rows = self.all()
+        rows = self.reports()
         total = rows.where(F.col("summary.tier") == tier).count() if tier else rows.count()
         return (of_tier(rows, tier, size, (page - 1) * size) if tier else newest(rows, size, (page - 1) * size)), total
 
@@ -115,25 +153,51 @@ class ReportTable:
     def top_words(self, hours: int = 24, limit: int = 10) -> DataFrame:
         return top_words(self._recent(hours), limit, first_seen=True)
 
+    def compact(self) -> None:
+        """Rewrite the log with one row for each message id, which keeps its place in the order.
+
+        New files stand beside the old ones for a moment, which changes no answer, since readers take one row an id.
+        """
+        old = self.all().inputFiles()
+        staged = f"{self.path}/_compact-{uuid.uuid4().hex}"
+        names = [f.name for f in REPORT]
+        self._write(current(self.all()).select(*names), staged)
+        fs, Path = self._files()
+        for file in self.spark.read.format(self.form).schema(REPORT).load(staged).inputFiles():
+            source = Path(file)
+            target = Path(file.replace(staged.rpartition("/")[2] + "/", "", 1))
+            fs.mkdirs(target.getParent())
+            fs.rename(source, target)
+        for file in old:
+            fs.delete(Path(file), False)
+        fs.delete(Path(staged), True)
+
+    def _files(self):
+        """The file system of the log, and Path of the JVM. Only names pass through the driver."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def _recent(self, hours: int) -> DataFrame:
-        cutoff = F.current_timestamp() - F.make_dt_interval(hours=F.lit(hours))
-        return since(self.all(), cutoff).where(F.col("day") >= F.to_date(cutoff))
+        """Reports of the last hours. An id's last row counts, whatever the time of those before it, so all rows of the log are looked at, but of the columns only what the caller takes."""
+        return since(self.reports(), F.current_timestamp() - F.make_dt_interval(hours=F.lit(hours)))
 
     def expire(self, days: int | None = None) -> int:
-        """Delete the folders of days before the retention; returns how many. Zero or less keeps all."""
+        """Delete the folders of days before the retention; returns how many. Zero or less keeps all.
+
+        Whole days go, so a report of the first day that is kept may stay up to 24 hours longer.
+        """
         days = self.config.reporting.retention_days if days is None else days
         if days <= 0:
             return 0
         old = [r["day"] for r in self.all().select("day").distinct().where(F.col("day") < F.date_sub(F.current_date(), days)).collect()]  # a row a day
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        fs, path = self._files()
         for day in old:
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/day={day}")
-            folder.getFileSystem(conf).delete(folder, True)
+            fs.delete(path(f"{self.path}/day={day}"), True)
         return len(old)
 
     def export(self, path: str, form: str = "json") -> None:
         """The newest reports (Config.reporting.export_limit) as JSON or Parquet."""
-        newest(self.all().drop("day", "appended"), self.config.reporting.export_limit).write.mode("overwrite").format(form).save(path)
+        newest(self.reports().drop(*self._own()), self.config.reporting.export_limit).write.mode("overwrite").format(form).save(path)
 
 
 def post_each(send: Callable[[str], None]) -> Callable[[DataFrame], None]:

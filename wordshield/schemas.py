@@ -21,5 +21,5 @@ DETECTION = _struct(
     homoglyphs_detected=T.ArrayType(T.ArrayType(_S)), distance=_I, tags=T.ArrayType(_S), tier=_S,
 )
 SUMMARY = _struct(total_detections=_I, distinct_words=_I, highest_score=_D, average_score=_D, tier=_S, action=_S)
-#: context is JSON; appended tells the rows of one append.
-REPORT = _struct(message_id=_S, timestamp=_TS, text=_S, normalized_text=_S, detections=T.ArrayType(DETECTION), summary=SUMMARY, context=_S, processing_time_ms=_D, appended=_S)
+#: context is JSON. appended names an append; written (when, in nanoseconds) and nth order the log's rows; arrived is that order's place of an id's first report, where it is no longer in the log.
+REPORT = _struct(message_id=_S, timestamp=_TS, text=_S, normalized_text=_S, detections=T.ArrayType(DETECTION), summary=SUMMARY, context=_S, processing_time_ms=_D, appended=_S, written=_L, nth=_L, arrived=_struct(written=_L, nth=_L))
