@@ -278,7 +278,18 @@ def combined_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, conversations(spark, sf_dir, *_LEETED), 7).select("message_id", "word", "start", "end", "matched_form").distinct()
 
 
-@query()
+_LETTERS = "case rest[1] " + " ".join(f"when {sql_str(c)} then [{', '.join(map(sql_str, to))}]" for c, to in chars.LEET.items()) + " else [rest[1]] end"
+_UNLIKELY = f"""with recursive {sql_messages(("tion", "t1on"), ("thing", "th|ng"))},
+v as (select message_id, 5 as ord, n from m union all select message_id, 7 as ord, {_CLEAN} as n from m where {_CLEAN} <> n),
+t as (select message_id, ord, unnest({sql_pieces('n', _LEET, _LEET)}) as t from v),
+o as (select message_id, ord, t.start as start, t.piece as token from t where regexp_matches(t.piece, '[1|&]') and not exists (select 1 from w where contains(translate(t.piece, '{chars.LEET_FROM}', '{chars.LEET_TO}'), word))),
+x(token, rest, reading, k) as (select distinct token, token, '', 0::bigint from o union all select token, rest[2:], reading || letters[j::int], k * len(letters) + j - 1 from (select *, unnest(range(1, len(letters) + 1)) as j from (select *, {_LETTERS} as letters from x where rest <> ''))),
+h as (select token, word, (length(word), k, strpos(reading, word) + length(word), word) as rank, reading from x, w where rest = '' and contains(reading, word)),
+b as (select token, arg_min(word, rank) as word, arg_min(reading, rank) as reading from h group by token)
+select message_id, ord, word, start, (start + length(token))::int as "end", reading as matched_form from o join b using (token)"""
+
+
+@query(_UNLIKELY)
 def leet_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens whose likeliest reading has no word ('1' read as i, not l): tested against a plain model."""
     ready = with_list(prepared(conversations(spark, sf_dir, ("tion", "t1on"), ("thing", "th|ng")), CONFIG))
@@ -515,6 +526,7 @@ def rule_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("words", F.array_join("words", " "))
 
 
+from . import registry_hooks  # noqa: E402, F401  (adds its queries)
 from . import registry_list  # noqa: E402, F401  (adds its queries)
 from . import registry_log  # noqa: E402, F401  (adds its queries)
 from . import registry_store  # noqa: E402, F401  (adds its queries)
