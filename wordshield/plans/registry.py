@@ -530,3 +530,4 @@ from . import registry_hooks  # noqa: E402, F401  (adds its queries)
 from . import registry_list  # noqa: E402, F401  (adds its queries)
 from . import registry_log  # noqa: E402, F401  (adds its queries)
 from . import registry_store  # noqa: E402, F401  (adds its queries)
+from . import registry_stream  # noqa: E402, F401  (adds its queries)
