@@ -12,6 +12,11 @@ class Stage:
     enabled: bool = True
 
 
+@dataclass(frozen=True)
+class Separators(Stage):
+    spans: str = "token"  # words within stretches without white space; "message": also across them, as in "k i l l"
+
+
 @dataclass(frozen=True)
 class Leetspeak(Stage):
     max_expansions: int = 1024
@@ -28,7 +33,7 @@ class Fuzzy(Stage):
     max_distance: int = 2
     min_word_length: int = 4
     distance_ratio: float = 0.25
-    max_checks: int = 500
+    max_checks: int = 500  # 0: no budget; words near a token are then found by an index
     distance: str = "edits"  # or "doubled", see operators.fuzzy.distance_of
 
 
@@ -58,7 +63,7 @@ class Config:
 
     leetspeak: Leetspeak = Leetspeak()
     homoglyph: Stage = Stage()
-    separator_bypass: Stage = Stage()
+    separator_bypass: Stage = Separators()
     repetition: Repetition = Repetition()
     fuzzy: Fuzzy = Fuzzy()
     tiers: tuple[Tier, ...] = (Tier("low", 0.0, "log"), Tier("medium", 0.6, "flag"), Tier("high", 0.8, "warn"), Tier("critical", 1.0, "block"))

@@ -84,3 +84,46 @@ def fuzzy_matches(messages: DataFrame, detected: DataFrame, words: DataFrame, co
     best = nearest_words(checked.select("token").distinct(), words, config)
     rows = checked.join(best, "token").withColumns({"ord": F.lit(9), "end": F.col("start") + F.length("token"), "matched_form": F.col("token"), "homoglyphs_detected": F.array().cast("array<array<string>>")})
     return rows.select(*FOUND)
+
+
+def deletions(text: Column, most: int) -> Column:
+    """The distinct strings that are left of a text when up to `most` of its characters are deleted."""
+    one = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    found = F.array(text)
+    for _ in range(most):
+        found = once(found, lambda ts: F.array_distinct(F.concat(ts, F.flatten(F.transform(ts, lambda t: F.when(F.length(t) > 0, one(t)).otherwise(F.array().cast("array<string>")))))))
+    return found
+
+
+def near_pairs(vocabulary: DataFrame, words: DataFrame, config: Fuzzy) -> DataFrame:
+    """(token, word, distance, ...) for every distinct token (column token) and every word within max_distance edits and distance_ratio of its length.
+
+    Strings that are d edits apart have a string in common that is left of each after at most d deletions. So both sides are
+    spelled out by their deletions and meet in a hash join; pairs that meet are measured. A row a word and deletion, not a row a pair.
+    """
+    of = lambda df, name: df.withColumn("_left", F.explode(deletions(F.col(name), config.max_distance)))
+    listed = of(words.withColumn("_size", F.length("word")), "word")
+    met = of(vocabulary.select("token").distinct(), "token").join(listed, "_left").where(F.abs(F.length("token") - F.col("_size")) <= config.max_distance)
+    pairs = met.drop("_left", "_size").dropDuplicates(["token", "word"])
+    pairs = pairs.withColumn("distance", F.levenshtein("token", "word", config.max_distance))
+    return pairs.where((F.col("distance") >= 0) & (F.col("distance") / F.length("word") <= config.distance_ratio))
+
+
+def with_indexed(rows: DataFrame, words: DataFrame, config: Config) -> DataFrame:
+    """rows (keys, n, found, covered) with the fuzzy stage's detections, without a budget: every eligible token is compared with all near words.
+
+    Tokens meet the words by near_pairs() once for each distinct token. A message's max_distance may only be less than the configuration's.
+    """
+    default = F.lit(config.fuzzy.max_distance)
+    options = "options" in rows.columns
+    most = F.least(F.coalesce("options.max_distance", default), default) if options else default
+    on = F.coalesce("options.fuzzy", F.lit(config.fuzzy.enabled)) if options else F.lit(config.fuzzy.enabled)
+    known = F.transform("found", lambda d: d["word"])
+    long = F.filter(tx.alnum_tokens(F.lower("n")), lambda t: (F.length(t["piece"]) >= config.fuzzy.min_word_length) & ~F.array_contains(known, t["piece"]))
+    open_ = rows.where(~F.col("covered") & on).select(*KEYS, most.alias("most"), F.explode(long).alias("t")).select(*KEYS, "most", F.col("t.piece").alias("token"), F.col("t.start").alias("start"))
+    near = near_pairs(open_, words.select("word", "base_score", "ord"), config.fuzzy)
+    rank = F.struct("distance", F.length("word").alias("length"), "ord", "word", "base_score")
+    best = open_.join(near, "token").where("distance <= most").groupBy(*KEYS, "token", "start").agg(F.min(rank).alias("b"))
+    item = F.struct(F.lit(9).alias("ord"), (F.col("start") + F.length("token")).cast("int").alias("end"), F.col("start").cast("int").alias("start"), F.col("b.word").alias("word"), F.col("b.base_score").alias("base_score"), F.col("token").alias("matched_form"), F.array().cast("array<array<string>>").alias("homoglyphs_detected"), F.col("b.distance").cast("int").alias("distance"))
+    fuzzy = best.groupBy(*KEYS).agg(F.collect_list(item).alias("fuzzy"))
+    return rows.join(fuzzy, KEYS, "left").withColumn("found", F.concat("found", F.coalesce(F.col("fuzzy"), F.slice("found", 1, 0)))).drop("fuzzy", "covered")

@@ -95,8 +95,8 @@ def look_alikes(n: Column, c: Listed) -> Column:
     return tx.once(n, read)
 
 
-def separated(low: Column, c: Listed, only_changed: Column) -> Column:
-    """only_changed leaves out spans of letters and digits alone, where the exact stage finds the same words."""
+def separated(low: Column, c: Listed, only_changed: Column, across: bool = False) -> Column:
+    """only_changed leaves out spans of letters and digits alone, where the exact stage finds the same words. across takes the whole text as one span."""
 
     def span(s: Column) -> Column:
         source, base = s["piece"], s["start"]
@@ -115,9 +115,11 @@ def separated(low: Column, c: Listed, only_changed: Column) -> Column:
         return (~only_changed | piece.rlike("[^a-zA-Z0-9]")) & found
 
     # a word within a span stays in one piece when all but letters, digits and blanks go
-    gate = c.clean.found_in(F.regexp_replace(low, f"[^a-zA-Z0-9{SPACE}]", ""))
-    gate = (~only_changed | low.rlike(f"[^a-zA-Z0-9{SPACE}]")) & gate
-    made = tx.once(low, lambda t: F.flatten(F.transform(tx.separator_spans(t, wanted), span)))
+    within = "" if across else SPACE
+    gate = c.clean.found_in(F.regexp_replace(low, f"[^a-zA-Z0-9{within}]", ""))
+    gate = (~only_changed | low.rlike(f"[^a-zA-Z0-9{within}]")) & gate
+    whole = lambda t: F.array(F.struct(F.lit(0).alias("start"), t.alias("piece")))
+    made = tx.once(low, lambda t: F.flatten(F.transform(whole(t) if across else tx.separator_spans(t, wanted), span)))
     return F.when(gate, made).otherwise(_none())
 
 
@@ -189,6 +191,10 @@ def repeats(low: Column, ord_: int, c: Listed, threshold: int) -> Column:
     return F.when(low.rlike(rf"(?d)(.)\1{{{threshold},}}"), tx.once(low, read)).otherwise(_none())
 
 
+def across_spans(config: Config) -> bool:
+    return getattr(config.separator_bypass, "spans", "token") == "message"
+
+
 def wanted(name: str, config: Config, options: bool) -> Column:
     """Whether a stage is on: the message's option, or else the configuration."""
     default = F.lit(getattr(config, name).enabled)
@@ -206,7 +212,7 @@ def _stage_column(ord_: int, config: Config, only_changed: bool, exhaustive: boo
     made = {
         2: lambda: exact(n, c),
         3: lambda: look_alikes(n, c),
-        4: lambda: separated(low, c, F.lit(only_changed and not config.case_sensitive) & c.letters_only),
+        4: lambda: separated(low, c, F.lit(only_changed and not config.case_sensitive) & c.letters_only, across_spans(config)),
         5: lambda: leet(low, 5, c, most, exhaustive),
         6: lambda: repeats(low, 6, c, threshold),
         7: lambda: on_clean(lambda t: leet(t, 7, c, most, exhaustive)),
@@ -301,10 +307,10 @@ def with_exact(messages: DataFrame, config: Config) -> DataFrame:
 
 
 def detected(messages: DataFrame, config: Config) -> DataFrame:
-    """messages (prepared, with the columns list and lengths) with ``found``: an array of FOUND of all stages, unsorted."""
+    """messages (prepared, with the columns list and lengths) with ``found``: an array of FOUND of all stages, unsorted. Without a budget the fuzzy stage is left to fuzzy.with_indexed(), and ``covered`` stays."""
     rows = with_exact(messages, config)
     rows = rows.withColumn("found", _found_column(config, "options" in rows.columns))
-    return with_fuzzy(rows, config).drop("exact", "covered")
+    return (rows if config.fuzzy.max_checks == 0 else with_fuzzy(rows, config).drop("covered")).drop("exact")
 
 
 @built_once

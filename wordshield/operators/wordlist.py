@@ -134,7 +134,7 @@ def reading(config: Config) -> Column:
         return [F.when(tx.has_leet(text), tx.greedy_leet(text)), expanded(text), F.when(runs, tx.collapse_repeats(text, threshold)), F.when(runs, tx.collapse_to_one(text))]
 
     def joined(text: Column) -> Column:
-        stripped = F.regexp_replace(text, f"[^a-zA-Z0-9{SPACE}]", "")
+        stripped = F.regexp_replace(text, f"[^a-zA-Z0-9{'' if getattr(config.separator_bypass, 'spans', 'token') == 'message' else SPACE}]", "")
         look = tx.replace_homoglyphs(n)
         return F.concat_ws("\n", n, text, F.when(look != n, look), F.when(stripped != text, stripped), *seen(text))
 

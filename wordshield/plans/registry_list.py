@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..config import Fuzzy
+from ..operators.fuzzy import near_pairs
 from ..operators.match import find_all
 from ..sources import lexicon as lx
 from . import registry as rg
@@ -36,6 +38,13 @@ def long_list_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("message_id", F.col("pattern").alias("word"), F.col("at").alias("start"))
 
 
+@query(f"with {rg.sql_messages(w=_LONG)}, t as (select distinct unnest(regexp_extract_all(n, '[a-z0-9]+')) as token from m) select token, word, levenshtein(token, word)::int as distance from t, w where length(token) >= 4 and abs(length(token) - length(word)) <= 2 and levenshtein(token, word) <= 2 and levenshtein(token, word) / length(word) <= 0.25")
+def fuzzy_index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens near any of a long list's words, by the index of deletions: no budget, and no comparison of all with all."""
+    tokens = rg.conversations(spark, sf_dir).select(F.explode(tx.runs_of(F.lower("text"), "a-z0-9")).alias("token")).where(F.length("token") >= 4)
+    return near_pairs(tokens, long_words(spark, sf_dir), Fuzzy()).select("token", "word", "distance")
+
+
 def _summary_sql(w: str, *disguise: tuple[str, str]) -> str:
     """The reports of the first two stages, by list w."""
     return f"""with {rg.sql_messages(*disguise, w=w)}, {rg._FOUND}, {rg._COVER}, {rg._KEPT}, {rg._COUNTS}, {rg._SCORED},

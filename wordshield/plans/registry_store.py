@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Config, Leetspeak, Repetition, Stage
 from ..functions import chars
 from ..functions import text as tx
 from ..operators import rowwise, stages
@@ -18,7 +19,7 @@ from ..sources import messages as ms
 from . import registry as rg
 from . import reports as rp
 from .registry import query, table
-from .scan import prepared
+from .scan import prepared, scan
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -32,12 +33,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def lines_of(spark: SparkSession, sf_dir: str, line, name: str, *around: tuple[int, str]) -> str:
-    """Path of a text with a line for each row of part, in order; around: lines before (-1) or after (1) them."""
+    """Path of a text with a line for each row of part, in order; around: lines before (-1) or after (1) them, which makes it one document in one file."""
     rows = table(spark, sf_dir, "part").select(F.lit(0).alias("at"), "p_partkey", line.alias("value"))
     for at, text in around:
         rows = rows.union(spark.range(1).select(F.lit(at), F.lit(0).cast("long"), F.lit(text)))
     path = scratch(spark, name)
-    rows.orderBy("at", "p_partkey").select("value").coalesce(1).write.text(path)
+    ordered = rows.orderBy("at", "p_partkey").select("value")
+    (ordered.coalesce(1) if around else ordered).write.text(path)
     return path
 
 
@@ -89,6 +91,20 @@ def message_source_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ms.read_messages(spark, path, "json", "conv_id").select("message_id", "text")
 
 
+@query("select conv_id::varchar as message_id, role as user, case when turn % 2 = 0 then 'homoglyph' else 'exact' end as method, count(*) as n from (select *, unnest(list_filter(range(0, length(text) - 2), lambda i: substr(lower(text), i::int + 1, 3) = 'the')) as at from conversations) group by 1, 2, 3")
+def message_source_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options and context come with the messages: the look-alike stage is on where the turn is even and the text disguised."""
+    path = scratch(spark, "messages.json")
+    even = F.col("turn") % 2 == 0
+    text = F.when(even, F.replace(F.lower("text"), F.lit("the"), F.lit("thе"))).otherwise(F.lower("text"))  # a Cyrillic letter
+    table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("message_id"), text.alias("text"), F.struct(even.alias("homoglyph"), F.lit(False).alias("fuzzy")).alias("options"), F.create_map(F.lit("user"), F.col("role")).alias("context")).write.json(path)
+    read = ms.read_messages(spark, path, "json", carried=("options", "context"))
+    quiet = Config(leetspeak=Leetspeak(False), separator_bypass=Stage(False), repetition=Repetition(False), homoglyph=Stage(False))
+    reports = scan(read, lx.Lexicon.of(spark, ["the"]), quiet, keep=False).reports
+    found = reports.select("message_id", F.col("context")["user"].alias("user"), F.explode("detections").alias("d"))
+    return found.groupBy("message_id", "user", F.col("d.method").alias("method")).agg(F.count("*").alias("n"))
+
+
 @query("select 'm-' || sha1(text) as message_id, count(*) as n from (select distinct substr(text, 1, 10000) as text from conversations) group by 1")
 def default_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     unnamed = table(spark, sf_dir, "conversations").select(F.lit("").alias("message_id"), "text")
@@ -110,10 +126,11 @@ def response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TABLE = ", ".join(f"({rg.sql_str(a)}, {rg.sql_str(b)})" for a, b in chars.HOMOGLYPHS.items())
 
 
-@query(f"select distinct l.seen, l.read_as from (values {_TABLE}) l(seen, read_as)")
+@query(f"with c as (select unnest(string_split(lower(text), '')) as seen from documents) select seen, read_as, count(*) as times from c join (values {_TABLE}) l(seen, read_as) using (seen) group by 1, 2")
 def homoglyph_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = F.explode(F.split(F.lit(chars.HOMOGLYPH_FROM), "")).alias("seen")
-    return spark.range(1).select(seen).where("seen <> ''").select("seen", tx.replace_homoglyphs(F.col("seen")).alias("read_as"))
+    """The look-alikes that the documents hold, what they are read as, and how often they occur."""
+    seen = table(spark, sf_dir, "documents").select(F.explode(tx.chars(F.lower("text"))).alias("seen")).groupBy("seen").agg(F.count("*").alias("times"))
+    return seen.select("seen", tx.replace_homoglyphs(F.col("seen")).alias("read_as"), "times").where("seen <> read_as")
 
 
 # --- word list

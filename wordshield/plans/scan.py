@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as tx
 from ..functions.cached import built_once
-from ..operators import rowwise, score, stages, wordlist
+from ..operators import fuzzy, rowwise, score, stages, wordlist
 from ..operators.match import SPLIT_UP_TO
 from ..sources.lexicon import Lexicon
 
@@ -105,6 +105,8 @@ def scan(messages: DataFrame, lexicon: Lexicon, config: Config | None = None, *,
     else:
         rows = wordlist.with_candidates(keeping(ready), words, config, KEYS, variant)
     rows = rowwise.detected(rows, config)
+    if config.fuzzy.max_checks == 0:
+        rows = fuzzy.with_indexed(rows, words, config)
     carried = [c for c in CARRIED if c in ready.columns]
     rows = rows.select("message_id", *carried, "text", F.col("n").alias("normalized_text"), "word_count", _scored(with_tags, config).alias("detections"))
     rows = keeping(rows)

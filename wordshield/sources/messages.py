@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from ..schemas import MESSAGE
 
 
-def read_messages(spark: SparkSession, path: str, form: str = "parquet", id_col: str = "message_id", text_col: str = "text", **options: str) -> DataFrame:
-    """(message_id, text) from files of any format that Spark reads; JSON and CSV are read with these two columns only."""
+#: What a message may bring besides its id and text, and its type in files that don't say.
+CARRIED = {"options": "struct<fuzzy: boolean, leetspeak: boolean, homoglyph: boolean, separator_bypass: boolean, repetition: boolean, max_distance: int>", "context": "map<string, string>", "timestamp": "timestamp"}
+
+
+def read_messages(spark: SparkSession, path: str, form: str = "parquet", id_col: str = "message_id", text_col: str = "text", carried: tuple[str, ...] | None = None, **options: str) -> DataFrame:
+    """(message_id, text[, options, context, timestamp]) from files of any format that Spark reads.
+
+    carried names the other columns to keep; None keeps those that the files' own schema has. JSON files have none, so what
+    is to be kept of them must be named; CSV files can hold a timestamp, of those.
+    """
     reader = spark.read.format(form).options(**options)
     if form in ("json", "csv"):
-        fields = ", ".join(f"`{c}` string" for c in (id_col, text_col))
+        carried = carried or ()
+        fields = ", ".join([f"`{c}` string" for c in (id_col, text_col)] + [f"`{c}` {CARRIED[c]}" for c in carried])
         reader = reader.schema(fields) if form == "json" else reader.option("header", True)
     rows = reader.load(path)
-    return rows.select(F.col(id_col).cast(MESSAGE["message_id"].dataType).alias("message_id"), F.col(text_col).cast("string").alias("text"))
+    more = [F.col(c) if form != "csv" else F.col(c).cast(CARRIED[c]) for c in (CARRIED if carried is None else carried) if c in rows.columns and c not in (id_col, text_col)]
+    return rows.select(F.col(id_col).cast(MESSAGE["message_id"].dataType).alias("message_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
 def read_first_column(spark: SparkSession, path: str) -> DataFrame:
