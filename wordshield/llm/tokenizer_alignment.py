@@ -125,24 +125,43 @@ class Tokens:
 
 
 _EVENTS = "side int, win long, payload binary"
+#: Compression of events and links on their way.
+LEVEL = 3
+
+
+def packed_events(first: int, steps: np.ndarray, ids: np.ndarray, id_type: str, tool: zstandard.ZstdCompressor) -> bytes:
+    """The offset of the first end in its window, the steps from there to the others, in bytes if they are short, and the tokens' ids."""
+    short = len(steps) == 0 or int(steps.max()) < 256
+    head = np.array([first], "<u4").tobytes() + bytes([short])
+    return tool.compress(head + steps.astype("u1" if short else "<u2").tobytes() + ids.astype(id_type).tobytes())
+
+
+def unpacked_events(payload: bytes, id_type: str, tool: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets within the window, and ids."""
+    raw = tool.decompress(payload)
+    width, size = (1 if raw[4] else 2), np.dtype(id_type).itemsize
+    n = (len(raw) - 5 + width) // (width + size)
+    steps = np.frombuffer(raw, "u1" if width == 1 else "<u2", n - 1, 5)
+    ends = np.cumsum(np.concatenate((np.frombuffer(raw, "<u4", 1), steps)), dtype=np.int64)
+    return ends, np.frombuffer(raw, id_type, n, 5 + width * (n - 1)).astype(np.int64)
 
 
 def end_events(texts: DataFrame, vocabularies: Callable[[], tuple[Vocabulary, Vocabulary]], window: int = WINDOW) -> DataFrame:
     """(id, t0, t1, side, win, payload): the ends of all tokens of A (side 0) and B (side 1), a row for each window of byte offsets.
 
-    payload: the steps from end to end, the first one from the window's begin, and the tokens' ids. A text without tokens is one row of side -1.
+    payload: see packed_events(). A text without tokens is one row of side -1.
     """
     kind = texts.schema["id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, pack = Tokens(*vocabularies()), zstandard.ZstdCompressor(level=1)
+        tokens, pack = Tokens(*vocabularies()), zstandard.ZstdCompressor(level=LEVEL)
         types = [_id_type(len(v.bytes)) for v in tokens.sides]
         for batch in sliced(batches):
             found = batch.column("text").to_pylist()
             for low, high in chunks([t.encode("utf-8", "surrogatepass") for t in found], 1_000_000):
                 rows: list[tuple[int, int, int, bytes]] = []
                 for side, ((ids, counts), sizes) in enumerate(zip(tokens.of(found[low:high]), tokens.sizes)):
-                    steps, coded, upto = sizes[ids].astype("<u2"), ids.astype(types[side]), np.cumsum(counts).tolist()
+                    steps, upto = sizes[ids], np.cumsum(counts).tolist()
                     for k, (b, n) in enumerate(zip(upto, counts.tolist())):
                         if n == 0:
                             if side == 0:
@@ -153,11 +172,7 @@ def end_events(texts: DataFrame, vocabularies: Callable[[], tuple[Vocabulary, Vo
                         edges = (np.flatnonzero(np.diff(ends // window)) + 1).tolist() if ends[-1] >= window else []
                         for x, y in zip([0, *edges], [*edges, n]):
                             first = int(ends[x]) // window
-                            part = steps[a + x : a + y]
-                            if first:
-                                part = part.copy()
-                                part[0] = ends[x] - first * window
-                            rows.append((low + k, side, first, pack.compress(part.tobytes() + coded[a + x : a + y].tobytes())))
+                            rows.append((low + k, side, first, packed_events(int(ends[x]) - first * window, steps[a + x + 1 : a + y], ids[a + x : a + y], types[side], pack)))
                 owners, *columns = (pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary())))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owners) for c in ("id", "t0", "t1")), *columns], ["id", "t0", "t1", "side", "win", "payload"])
 
@@ -291,8 +306,8 @@ def swept(events: DataFrame, sizes: tuple[int, int], window: int = WINDOW, held:
     columns = [*key, *(x.split()[0] for x in _DOC.split(", ")), "pair", "n"]
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, tool, pack = _names(*sizes), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        types = [np.dtype(_id_type(n)) for n in sizes]
+        names, tool, pack = _names(*sizes), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=LEVEL)
+        types = [_id_type(n) for n in sizes]
         document: Document | None = None
         waiting: list | None = None
         parts: list[tuple] = []
@@ -302,9 +317,8 @@ def swept(events: DataFrame, sizes: tuple[int, int], window: int = WINDOW, held:
         size = 0
 
         def unpack(payload: bytes, win: int, side: int) -> tuple[np.ndarray, np.ndarray]:
-            raw = tool.decompress(payload)
-            n = len(raw) // (2 + types[side].itemsize)
-            return np.cumsum(np.frombuffer(raw, "<u2", n), dtype=np.int64) + win * window, np.frombuffer(raw, types[side], n, 2 * n).astype(np.int64)
+            ends, ids = unpacked_events(payload, types[side], tool)
+            return ends + win * window, ids
 
         def step() -> int:
             """What has come for the document's window is swept; returns the number of tokens."""
@@ -402,7 +416,7 @@ def looked_up(found: DataFrame, counts: DataFrame, pairs_per_bucket: int = 1_000
     else:
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tool, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+            tool, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=LEVEL)
             for batch in sliced(batches, 64):
                 at, of, links = [], [], []
                 for k, raw in enumerate(batch.column("links").to_pylist()):
