@@ -455,6 +455,9 @@ def test_queries_have_their_columns(spark):
         "op8_token_counts": "doc_id n_bytes n_tokens over_limit",
         "op9_quality_classifier": "doc_id held_out score predicted",
         "op10_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+        "op11_lexical_search": "item_id rank doc_id score",
+        "op12_tokenizer_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+        "op13_document_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     }
     assert set(want) == set(queries.QUERIES)
     for name, columns in want.items():

@@ -5,6 +5,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -64,6 +65,15 @@ def test_search(spark, odder, docs, shard_bytes, block_rows, k):
     assert lexical_search.search(index, empty(items)).count() == 0
 
 
+def test_search_query_equals_sql(spark):
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    got = queries.op11_lexical_search(spark, SF)
+    want = db.sql(queries.ORACLE_SQL["op11_lexical_search"])
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.select(*got.columns).fetchall())
+
+
 def test_top_places_keep_the_first_of_equal_scores():
     rng = np.random.default_rng(3)
     for n in (0, 1, 5, 400):
