@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on the small tables and on rows with nulls, ties, repeats and clashing names."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -381,7 +382,10 @@ def test_license_scan(spark, odd):
     for r, (_, text) in zip(license_scan.scan_licenses(docs.select("doc_id", "text"), model).collect(), pairs_of(docs)):
         want = [lines[x] for x in text.split("\n") if x in lines]
         assert [f["family"] for f in r["findings"]] == want
-        assert r["n_paragraphs"] == sum(bool(re.search(r"\w", x)) for x in text.split("\n"))
+        worded = [bool(re.search(r"\w", x)) for x in text.split("\n")]
+        assert r["n_lines"] == sum(worded)
+        assert r["n_paragraphs"] == sum(x and not y for x, y in zip(worded, [False, *worded]))
+        assert all(f["confirmed"] for f in r["findings"])
         for f in r["findings"]:
             assert text.encode()[f["start"] : f["end"]].decode() in lines
     odd_lines = spark.createDataFrame([(1, "Licensed under the Frobnitz Shareware License, Version 7.0.\nplain words here")], "doc_id long, text string")
@@ -418,6 +422,73 @@ def test_license_scan_of_wrapped_notices(spark):
     assert not {f["family"] for k in (9, 10) for f in got[k]} - {"unknown"}
 
 
+def licence_by_plain_loops(model, line):
+    """Findings of a paragraph of one line that is like no template: each sentence's classes by plain loops over its words and pairs."""
+    hash_of = lambda words: [int(h) for h in license_scan.paragraph_grams([" ".join(words).encode()])["gram"]]
+    told, best = {int(x) for x in model.told}, None
+    for sentence in re.split(r"(?<=[.!?;])\s", line):
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), sentence))
+        grams = [hash_of([w])[0] for w in words] + [hash_of([a, b])[2] for a, b in zip(words, words[1:])]
+        if not told.intersection(grams[len(words) :]):
+            continue
+        z = []
+        for c in range(len(model.bias)):
+            total = sum(float(model.weights[x >> (64 - model.bits), c]) for x in grams)
+            z.append((total / len(grams) ** 0.5 + float(model.bias[c])) / model.temperature)
+        p = [np.exp(x - max(z)) for x in z]
+        p = [x / sum(p) for x in p]
+        if best is None or p[0] < best[0]:
+            best = p
+    if best is None or 1 - best[0] < model.licence_from:
+        return []
+    k = 1 + int(np.argmax(best[1:-1]))
+    return [(license_scan.FAMILIES[k - 1], best[k])] if best[k] >= model.named_from else [("unknown", 1 - best[0])]
+
+
+def test_license_mentions(spark):
+    model = license_scan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    cases = {
+        "available under the MIT licence": ["mit"], "GNU GPL version 2": ["gpl"], "under the terms of the GPL v3": ["gpl"],
+        "published under Creative Commons BY 4.0": ["cc-by"], "This code is licensed under BSD": ["bsd"], "See LGPL v2.1": ["lgpl"],
+        "licensed under the ISC licence": ["unknown"], "Distributed under the Boost Software License, Version 1.0": ["unknown"],
+        "Eclipse Public License 2.0": ["unknown"], "Mit.": [], "I studied at MIT": [], "the license of the driver was lost": [],
+        "public records of the general were lost": [], "free software is good": [], "": [],
+        "Some words of a long line come first. They are available under the MIT licence. More of them follow after that sentence.": ["mit"],
+    }
+    rows = spark.createDataFrame([*enumerate(cases)], "doc_id long, text string")
+    for r in license_scan.scan_licenses(rows, model).collect():
+        text = [*cases][r["id"]]
+        assert [f["family"] for f in r["findings"]] == cases[text], text
+        assert not any(f["confirmed"] for f in r["findings"]) and r["n_paragraphs"] == r["n_lines"] == bool(text)
+
+
+def test_license_scan_against_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = license_scan.train(docs)
+    rng = random.Random(11)
+    words = [w for r in docs.select("text").limit(40).collect() for w in (r[0] or "").split()[:30]]
+    lines = []
+    for _ in range(400):
+        name = rng.choice([*(n for names in license_scan.NAMES.values() for n in names), rng.choice(words) + " License", "Zlib", "Artistic License 2.0"])
+        parts = [*rng.sample(words, rng.randint(0, 6)), *rng.choice(license_scan.CARRIERS).format(name).split(), *rng.sample(words, rng.randint(0, 6))]
+        if rng.random() < 0.4:
+            rng.shuffle(parts)
+        line = " ".join(parts)
+        grams = license_scan.paragraph_grams([line.encode()])
+        held = np.intersect1d(grams["gram"][~grams["first"]], model.vocabulary)
+        near = any(len(np.intersect1d(held, t)) >= 0.3 * max(1, np.isin(model.vocabulary, t).sum()) for _, t in model.templates)
+        lines += [] if near else [line]
+    assert len(lines) > 150
+    text = "\n\n".join(lines)
+    row = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert row["n_paragraphs"] == row["n_lines"] == len(lines)
+    got = {text.encode()[f["start"] : f["end"]].decode(): (f["family"], f["probability"]) for f in row["findings"]}
+    wanted = {line: found[0] for line in lines if (found := licence_by_plain_loops(model, line))}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in wanted.items()}
+    assert len({v[0] for v in wanted.values()}) > 5 and len(wanted) < len(set(lines))
+    assert all(abs(got[k][1] - wanted[k][1]) < 1e-4 for k in wanted)
+
+
 def test_unknown_bound():
     z = lambda share: [0.0, np.log(share / (1 - share)), 0.0]
     free, notices = [z(0.5 + k / 500) for k in range(100)], [z(0.9 + k / 2000) for k in range(100)]

@@ -82,7 +82,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = license_scan.scan_licenses(docs, license_scan.train(docs))
     families = F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda x: x["family"]))), ",")
-    return out.select(F.col("id").alias("doc_id"), "n_paragraphs", F.size("findings").cast("long").alias("n_findings"), families.alias("families"), "findings")
+    return out.select(F.col("id").alias("doc_id"), "n_paragraphs", "n_lines", F.size("findings").cast("long").alias("n_findings"), families.alias("families"), "findings")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
