@@ -130,6 +130,20 @@ def test_fuzzy_ties_and_budget(spark):
         assert spark.range(1).select(F.levenshtein(F.lit(a), F.lit(b), 2)).first()[0] == d
 
 
+def test_documented_tiers(spark):
+    values = [0.0, 0.2999, 0.3, 0.5999, 0.6, 0.7999, 0.8, 1.0]
+    tiers = Config(tier_mode="documented").severities
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(score.tier_of(F.col("v"), tiers), score.action_of(F.col("v"), tiers)).collect()
+    assert [tuple(r) for r in rows] == [("low", "log")] * 2 + [("medium", "flag")] * 2 + [("high", "warn")] * 2 + [("critical", "block")] * 2
+    assert Config().severities == Config().tiers
+    with pytest.raises(ValueError):
+        Config(tier_mode="other")
+    df = spark.createDataFrame([("1", "they kill " + "word " * 40)], "message_id string, text string")
+    words = Lexicon.of(spark, [{"word": "kill", "base_score": 0.6}])
+    got = [scan(df, words, c, keep=False).reports.first() for c in (Config(), Config(tier_mode="documented"))]
+    assert [(r["summary"]["tier"], r["summary"]["action"], r["detections"][0]["tier"]) for r in got] == [("medium", "flag", "medium"), ("high", "warn", "high")]
+
+
 def test_tiers(spark):
     values = [0.0, 0.5999, 0.6, 0.7999, 0.8, 0.9999, 1.0]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select(score.tier_of(F.col("v"), Config().tiers), score.action_of(F.col("v"), Config().tiers)).collect()

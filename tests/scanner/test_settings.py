@@ -54,6 +54,8 @@ def test_settings_tree(tmp_path):
     (tmp_path / "c.yaml").write_text("server: {port: 1}\ndetection:\n  max_message_length: 50\n  repetition: {collapse_threshold: 3}\n  fuzzy: {max_checks_per_message: 7}\n  scoring:\n    tiers:\n      - {threshold: 0.3, label: low, action: log}\nword_list: {max_words: 5, default_path: words.txt}\nreporting: {retention_days: 3}\nlogging: {level: debug, format: json}\n")
     c = Config.load(str(tmp_path / "c.yaml"))
     assert (c.max_message_length, c.repetition.threshold, c.fuzzy.max_checks, len(c.tiers), c.max_words, c.word_list_path) == (50, 3, 7, 1, 5, "words.txt")
+    (tmp_path / "d.yaml").write_text("detection: {scoring: {tier_mode: documented}}\n")
+    assert Config.load(str(tmp_path / "d.yaml")).severities[-1].threshold == 0.8
     assert (c.reporting.retention_days, c.logging.level, c.logging.format) == (3, "debug", "json")
 
 

@@ -44,6 +44,11 @@ class Tier:
     action: str
 
 
+# The tiers that the scanner applies, and the lower ones that its documents promise.
+TIERS = (Tier("low", 0.0, "log"), Tier("medium", 0.6, "flag"), Tier("high", 0.8, "warn"), Tier("critical", 1.0, "block"))
+DOCUMENTED_TIERS = (Tier("low", 0.0, "log"), Tier("medium", 0.3, "flag"), Tier("high", 0.6, "warn"), Tier("critical", 0.8, "block"))
+
+
 @dataclass(frozen=True)
 class Reporting:
     retention_days: int = 90
@@ -66,7 +71,8 @@ class Config:
     separator_bypass: Stage = Separators()
     repetition: Repetition = Repetition()
     fuzzy: Fuzzy = Fuzzy()
-    tiers: tuple[Tier, ...] = (Tier("low", 0.0, "log"), Tier("medium", 0.6, "flag"), Tier("high", 0.8, "warn"), Tier("critical", 1.0, "block"))
+    tiers: tuple[Tier, ...] = TIERS
+    tier_mode: str = "configured"  # or "documented": DOCUMENTED_TIERS in place of tiers
     reporting: Reporting = Reporting()
     logging: Logging = Logging()
     case_sensitive: bool = False
@@ -77,6 +83,15 @@ class Config:
     default_base_score: float = 0.5
     environment: dict[str, str] = field(default_factory=dict, hash=False)
 
+    def __post_init__(self):
+        if self.tier_mode not in ("configured", "documented"):
+            raise ValueError(f"tier_mode {self.tier_mode!r} is neither 'configured' nor 'documented'")
+
+    @property
+    def severities(self) -> tuple[Tier, ...]:
+        """The tiers that count under tier_mode."""
+        return DOCUMENTED_TIERS if self.tier_mode == "documented" else self.tiers
+
     @staticmethod
     def load(path: str | None = None) -> Config:
         """Defaults, overridden by the YAML file at path or $CONFIG_PATH if there is one; unknown keys are logged and ignored.
@@ -107,6 +122,8 @@ def _flat(found: dict) -> dict:
     out |= {k: {_RENAMED.get(x, x): y for x, y in v.items()} if isinstance(v, dict) else v for k, v in detection.items()}
     if "tiers" in scoring:
         out["tiers"] = [{"label": t.get("label", "low"), "threshold": t.get("threshold", 0.0), "action": t.get("action", "log")} for t in scoring["tiers"]]
+    if "tier_mode" in scoring:
+        out["tier_mode"] = scoring["tier_mode"]
     words = found.get("word_list") or {}
     out |= {k: words[k] for k in ("max_words", "max_word_length") if k in words}
     return out | ({"word_list_path": words["default_path"]} if "default_path" in words else {})

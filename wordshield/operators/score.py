@@ -46,7 +46,7 @@ def scored(detections: DataFrame, keys: list[str], config: Config) -> DataFrame:
     distinct = F.size(F.collect_set(F.lower("word")).over(Window.partitionBy(*keys)))
     out = detections.withColumn("distinct_words", distinct)
     score = final_score(F.col("base_score"), F.col("method"), F.col("distance"), F.col("word_count"), F.col("distinct_words"))
-    return out.withColumn("final_score", score).withColumn("tier", tier_of(F.col("final_score"), config.tiers))
+    return out.withColumn("final_score", score).withColumn("tier", tier_of(F.col("final_score"), config.severities))
 
 
 def summary_of(detections: str, config: Config) -> Column:
@@ -60,6 +60,6 @@ def summary_of(detections: str, config: Config) -> Column:
         F.size(F.array_distinct(F.transform(detections, lambda d: F.lower(d["word"])))).alias("distinct_words"),
         highest.alias("highest_score"),
         F.when(count > 0, F.round(total / count, 4)).otherwise(F.lit(0.0)).alias("average_score"),
-        F.when(count > 0, tier_of(highest, config.tiers)).otherwise(F.lit("low")).alias("tier"),
-        F.when(count > 0, action_of(highest, config.tiers)).otherwise(F.lit("log")).alias("action"),
+        F.when(count > 0, tier_of(highest, config.severities)).otherwise(F.lit("low")).alias("tier"),
+        F.when(count > 0, action_of(highest, config.severities)).otherwise(F.lit("log")).alias("action"),
     )

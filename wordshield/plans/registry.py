@@ -7,6 +7,7 @@ disguises, so the queries use a list of frequent syllables and disguise some of
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -404,6 +405,17 @@ def tier_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", score.tier_of(value, CONFIG.tiers).alias("tier"), score.action_of(value, CONFIG.tiers).alias("action"))
 
 
+_DOCUMENTED = _TIER.replace("0.6", "0.3").replace("0.8", "0.6").replace("1.0", "0.8")
+
+
+@query(f"with {sql_messages(*_MIXED)}, {_FOUND}, {_COVER}, {_KEPT}, {_COUNTS}, {_SCORED}, g as (select message_id, max(final_score) as highest, list_sort(list({_DOCUMENTED.format(x='final_score')})) as tiers from s group by message_id) select message_id, {_DOCUMENTED.format(x='coalesce(highest, 0)')} as tier, case when highest >= 0.8 then 'block' when highest >= 0.6 then 'warn' when highest >= 0.3 then 'flag' else 'log' end as action, coalesce(array_to_string(tiers, ','), '') as tiers from m left join g using (message_id)")
+def documented_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers and actions by the documented thresholds instead of the configured ones, of each message and of its detections."""
+    reports = scan(conversations(spark, sf_dir, *_MIXED), word_list(spark), replace(PLAIN, tier_mode="documented"), keep=False).reports
+    tiers = F.array_join(F.array_sort(F.transform("detections", lambda d: d["tier"])), ",")
+    return reports.select("message_id", "summary.tier", "summary.action", tiers.alias("tiers"))
+
+
 @query()
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage over the conversations, one report a message; its SQL is in registry_full."""

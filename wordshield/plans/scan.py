@@ -59,7 +59,7 @@ def _scored(with_tags: bool, config: Config) -> Column:
         def made(x: Column) -> Column:
             columns = {"word": d["word"], "matched_form": d["matched_form"], "start": d["start"], "end": d["end"], "base_score": d["base_score"], "final_score": x["score"], "method": x["method"]}
             columns |= {"sub_methods": F.when(x["method"] == "exact", none).otherwise(F.array(x["method"])), "homoglyphs_detected": d["homoglyphs_detected"], "distance": d["distance"]}
-            columns |= {"tags": tags_of(d["word"]) if with_tags else none, "tier": score.tier_of(x["score"], config.tiers)}
+            columns |= {"tags": tags_of(d["word"]) if with_tags else none, "tier": score.tier_of(x["score"], config.severities)}
             return F.struct(*(v.alias(k) for k, v in columns.items()))
 
         named = F.element_at(method, d["ord"])
