@@ -198,8 +198,12 @@ def rule_form(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]", ""), r"(.)\1+", "$1")
 
 
-def highlight(text: Column, words: Column, mark: str = "\U0001f534") -> Column:
-    """Each whole-word, case-insensitive occurrence of words (an array) between two marks; no words: the text itself."""
+def highlight(text: Column, words: Column, mark: str = "\U0001f534", ascii_only: bool = False) -> Column:
+    """Each whole-word, case-insensitive occurrence of words (an array) between two marks; no words: the text itself.
+
+    ascii_only: ASCII letters, digits and _ alone make up words, so that other letters end one, and only A-Z are equal to a-z.
+    """
     quoted = F.transform(words, lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
-    pattern = F.concat(F.lit(r"(?iu)\b("), F.array_join(quoted, "|"), F.lit(r")\b"))
+    flags, edge = ("(?i)", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))") if ascii_only else ("(?iu)", r"\b")  # \b takes in other letters or not, by Java's version
+    pattern = F.concat(F.lit(f"{flags}{edge}("), F.array_join(quoted, "|"), F.lit(f"){edge}"))
     return F.when(F.size(words) > 0, F.regexp_replace(text, pattern, F.lit(f"{mark}$1{mark}"))).otherwise(text)
