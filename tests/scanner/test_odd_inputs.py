@@ -1,8 +1,16 @@
 """Queries against their SQL on inputs that the tables lack."""
 
+import random
+from dataclasses import replace
+
 import duckdb
 
+from wordshield.config import Config
 from wordshield.plans import registry
+from wordshield.plans.scan import scan
+from wordshield.sources.lexicon import Lexicon
+
+from .test_scan import LIST, disguised
 
 
 def against_sql(spark, name, folder, tables):
@@ -23,3 +31,16 @@ def test_marks_beside_letters_that_are_not_ascii(spark, tmp_path):
     spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got, want = against_sql(spark, "highlight", tmp_path, ["conversations"])
     assert got == want and any("é\U0001f534the" in r for r in got)
+
+
+def test_a_long_list_is_not_searched_again_in_each_message(spark):
+    rng = random.Random(7)
+    texts = [disguised(rng) for _ in range(150)] + ["thе the", "the thе x", "kill kіll", "analanal", "", None]
+    messages = spark.createDataFrame([(str(k), t) for k, t in enumerate(dict.fromkeys(texts))], "message_id string, text string").cache()
+    listed = Lexicon.of(spark, [{"word": w, "base_score": round(0.3 + 0.02 * k, 2), "tags": [w]} for k, w in enumerate([*LIST, "the", "a\nb"])])
+    rows = lambda df: sorted(repr((r["message_id"], sorted(map(repr, r["detections"])), r["summary"])) for r in df.collect())
+    for config, tags in ((registry.PLAIN, False), (replace(registry.PLAIN, case_sensitive=True), True), (Config(), True)):
+        got, want = (scan(messages, listed, config, variant=v, with_tags=tags, unique=True, keep=False).reports for v in ("anchor", "rows"))
+        assert rows(got) == rows(want)
+    plan = scan(messages, listed, registry.PLAIN, variant="anchor", unique=True, keep=False).reports._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan.replace("split(text", "") and "regexp_instr" not in plan  # no pattern is compiled for a message

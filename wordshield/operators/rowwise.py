@@ -95,6 +95,27 @@ def look_alikes(n: Column, c: Listed) -> Column:
     return tx.once(n, read)
 
 
+def _placed(hits: str) -> Column:
+    return F.coalesce(F.col(hits), F.array().cast("array<struct<word: string, base_score: double, at: int>>"))
+
+
+def exact_placed() -> Column:
+    """As exact(), of a message whose exact_hits are known."""
+    return F.transform(_placed("exact_hits"), lambda h: _detection(2, h["word"], h["base_score"], h["at"], h["at"] + F.length(h["word"]), h["word"]))
+
+
+def look_alikes_placed(n: Column) -> Column:
+    """As look_alikes(), of a message whose look_hits are known, without places where the message holds the word as it is: its exact stage has the word."""
+
+    def made(pairs: Column, h: Column) -> Column:
+        stop = h["at"] + F.length(h["word"])
+        formed = lambda form: _detection(3, h["word"], h["base_score"], h["at"], stop, form, F.filter(pairs, lambda x: F.contains(form, F.get(x, 0))))
+        return tx.once(_cut(n, h["at"], stop), formed)
+
+    hits = _placed("look_hits")
+    return F.when(F.size(hits) > 0, tx.once(tx.homoglyph_pairs(n), lambda pairs: F.transform(hits, lambda h: made(pairs, h)))).otherwise(_none())
+
+
 def separated(low: Column, c: Listed, only_changed: Column, across: bool = False) -> Column:
     """only_changed leaves out spans of letters and digits alone, where the exact stage finds the same words. across takes the whole text as one span."""
 
@@ -294,22 +315,23 @@ def nearest(low: Column, found: Column, words: Column, counts: Column, config: F
 
 
 @built_once
-def _found_column(config: Config, options: bool) -> Column:
-    stages = [F.when(~F.col("covered") & wanted(name, config, options), stage_column(k, config, only_changed=k == 4)).otherwise(_none()) for k, name in STAGE_NAMES.items()]
+def _found_column(config: Config, options: bool, placed: bool) -> Column:
+    of = lambda k: look_alikes_placed(F.col("n")) if placed and k == 3 else stage_column(k, config, only_changed=k == 4)
+    stages = [F.when(~F.col("covered") & wanted(name, config, options), of(k)).otherwise(_none()) for k, name in STAGE_NAMES.items() if options or getattr(config, name).enabled]
     return resolved([F.col("exact"), *stages])
 
 
 def with_exact(messages: DataFrame, config: Config) -> DataFrame:
     """messages with ``exact``, the exact stage's detections, and ``covered``: whether their lengths, overlaps counted each time, reach the message's."""
-    rows = messages.withColumn("exact", stage_column(2, config))
+    rows = messages.withColumn("exact", exact_placed() if "exact_hits" in messages.columns else stage_column(2, config))
     total = F.aggregate("exact", F.lit(0), lambda a, d: a + d["end"] - d["start"])
     return rows.withColumn("covered", total >= F.col("n_length"))
 
 
 def detected(messages: DataFrame, config: Config) -> DataFrame:
-    """messages (prepared, with the columns list and lengths) with ``found``: an array of FOUND of all stages, unsorted. Without a budget the fuzzy stage is left to fuzzy.with_indexed(), and ``covered`` stays."""
+    """messages (prepared, with the columns list and lengths, or, where no stage on needs these, with hits) with ``found``: an array of FOUND of all stages, unsorted. Without a budget the fuzzy stage is left to fuzzy.with_indexed(), and ``covered`` stays."""
     rows = with_exact(messages, config)
-    rows = rows.withColumn("found", _found_column(config, "options" in rows.columns))
+    rows = rows.withColumn("found", _found_column(config, "options" in rows.columns, "exact_hits" in rows.columns))
     return (rows if config.fuzzy.max_checks == 0 else with_fuzzy(rows, config).drop("covered")).drop("exact")
 
 
@@ -322,5 +344,7 @@ def _fuzzy_column(config: Config, options: bool) -> Column:
 
 def with_fuzzy(rows: DataFrame, config: Config) -> DataFrame:
     """rows (n, found, covered, lengths[, options]) with the fuzzy stage's detections added to found."""
+    if not config.fuzzy.enabled and "options" not in rows.columns:
+        return rows
     near = _fuzzy_column(config, "options" in rows.columns)
     return rows.withColumn("fuzzy", near).withColumn("found", F.concat("found", "fuzzy")).drop("fuzzy")

@@ -119,11 +119,24 @@ def lengths_of(words: DataFrame, config: Fuzzy) -> DataFrame:
     return both.agg(*maps).select(F.struct("counts", "words", "tags").alias("lengths"))
 
 
+#: Stages that search a message's own list, beside those whose matches the anchor search itself places.
+SEARCHING = ("separator_bypass", "leetspeak", "repetition")
+
+
+def may_run(name: str, config: Config, options: bool) -> bool:
+    """Whether any message can have a stage on; with options every stage."""
+    return options or getattr(config, name).enabled
+
+
 @built_once
-def reading(config: Config) -> Column:
-    """All readings of a normalised message n in one text, a line break between them: whatever a stage can find in the message occurs in it."""
+def reading(config: Config, options: bool = True) -> Column:
+    """All readings of a normalised message n in one text, a line break between them: whatever a stage that may run can find in the message occurs in it.
+
+    The message itself comes first, then, if look-alikes count and it has any, the message without them.
+    """
     n = F.col("n")
     low, most, threshold = F.lower(n), config.leetspeak.max_expansions, config.repetition.threshold
+    on = lambda name: may_run(name, config, options)
 
     def expanded(text: Column) -> Column:
         tokens = tx.leet_tokens(text, lambda piece: piece.rlike("[1|&]"))
@@ -131,33 +144,63 @@ def reading(config: Config) -> Column:
 
     def seen(text: Column) -> list[Column]:
         runs = text.rlike(rf"(?d)(.)\1{{{threshold},}}")
-        return [F.when(tx.has_leet(text), tx.greedy_leet(text)), expanded(text), F.when(runs, tx.collapse_repeats(text, threshold)), F.when(runs, tx.collapse_to_one(text))]
+        leet = [F.when(tx.has_leet(text), tx.greedy_leet(text)), expanded(text)] if on("leetspeak") else []
+        return leet + ([F.when(runs, tx.collapse_repeats(text, threshold)), F.when(runs, tx.collapse_to_one(text))] if on("repetition") else [])
 
     def joined(text: Column) -> Column:
         stripped = F.regexp_replace(text, f"[^a-zA-Z0-9{'' if getattr(config.separator_bypass, 'spans', 'token') == 'message' else SPACE}]", "")
         look = tx.replace_homoglyphs(n)
-        return F.concat_ws("\n", n, text, F.when(look != n, look), F.when(stripped != text, stripped), *seen(text))
+        looks = [F.when(look != n, look)] if on("homoglyph") else []
+        return F.concat_ws("\n", n, *looks, F.when(text != n, text), *([F.when(stripped != text, stripped)] if on("separator_bypass") else []), *seen(text))
 
     def cleaned(clean: Column) -> Column:
         return F.when(clean != n, tx.once(F.lower(clean), lambda text: F.concat_ws("\n", *seen(text))))
 
-    return F.concat_ws("\n", tx.once(low, joined), tx.once(tx.strip_keep_leet(n), cleaned))
+    rest = [tx.once(tx.strip_keep_leet(n), cleaned)] if on("leetspeak") or on("repetition") else []
+    return F.concat_ws("\n", tx.once(low, joined), *rest)
 
 
-def forms_of(words: DataFrame, config: Config) -> DataFrame:
+def forms_of(words: DataFrame, config: Config, options: bool = True) -> DataFrame:
     """words with ``pattern``: each form of each word that a reading may hold."""
-    forms = [F.col("word"), tx.strip_non_alnum(F.col("word"))] + ([tx.collapse_to_one(F.col("word"))] if config.repetition.collapse_patterns else [])
+    forms = [F.col("word")] + ([tx.strip_non_alnum(F.col("word"))] if may_run("separator_bypass", config, options) else [])
+    forms += [tx.collapse_to_one(F.col("word"))] if config.repetition.collapse_patterns and may_run("repetition", config, options) else []
     return words.select("*", F.explode(F.array_distinct(F.array(*forms))).alias("pattern")).where("pattern <> ''")
 
 
+def _occurrences(messages: DataFrame, words: DataFrame, config: Config, keys: list[str], variant: str) -> DataFrame:
+    """Every place of every form of a word in a message's reading, with the message's length and whether it has look-alikes."""
+    options = "options" in messages.columns
+    texts = messages.select(*keys, F.length("n").alias("_long"), (tx.replace_homoglyphs(F.col("n")) != F.col("n")).alias("_looks"), reading(config, options).alias("_reading"))
+    return find_all(texts, "_reading", forms_of(words.select("ord", "word", "base_score", "tags"), config, options), variant)
+
+
 def candidates(messages: DataFrame, words: DataFrame, config: Config, keys: list[str], variant: str = "anchor") -> DataFrame:
     """(keys, words) for the messages (keys, n) that hold a word in any reading: an array of WORD, in list order."""
-    texts = messages.select(*keys, reading(config).alias("_reading"))
-    found = find_all(texts, "_reading", forms_of(words.select("ord", "word", "base_score", "tags"), config), variant)
+    found = _occurrences(messages, words, config, keys, variant)
     return found.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("ord", "word", "base_score", "tags"))).alias("words"))
 
 
-def with_candidates(messages: DataFrame, words: DataFrame, config: Config, keys: list[str], variant: str = "anchor") -> DataFrame:
-    """messages with the columns list, of the words that each may hold, and lengths, of all words."""
-    rows = messages.join(candidates(messages, words, config, keys, variant), keys, "left")
-    return rows.withColumn("list", _found_list(config)).drop("words").crossJoin(F.broadcast(lengths_of(words, config.fuzzy)))
+def with_candidates(messages: DataFrame, words: DataFrame, config: Config, keys: list[str], variant: str = "anchor", tags: bool = False) -> DataFrame:
+    """messages with exact_hits and look_hits, and, if a stage needs them or with tags, list, of the words that each may hold, and lengths, of all words.
+
+    Hits are arrays of (word, base_score, at): the words' places in the message, and those in the message without look-alikes
+    where it reads otherwise. They come from the search itself, so these stages don't search again.
+    """
+    options = "options" in messages.columns
+    searching = any(may_run(k, config, options) for k in SEARCHING)
+    found = _occurrences(messages, words, config, keys, variant)
+    at, size, long = F.col("at"), F.length("pattern"), F.col("_long")
+    plain = F.col("pattern") == F.col("word")
+    exact = plain & (at + size <= long)
+    there = at - long - 1  # place in the second reading, which is the one without look-alikes if there are any
+    otherwise = F.substring("_reading", there + 1, size) != F.col("word")
+    look = F.col("_looks") & plain & (there >= 0) & (there + size <= long) & otherwise if may_run("homoglyph", config, options) else F.lit(False)
+    hit = lambda where, place: F.when(where, F.struct("word", "base_score", place.cast("int").alias("at")))
+    rows = found.select(*keys, F.struct("ord", "word", "base_score", "tags").alias("_word"), hit(exact, at).alias("_exact"), hit(look, there).alias("_look"))
+    listed = [F.array_sort(F.collect_set("_word")).alias("words")] if searching or tags else []
+    rows = rows if listed else rows.where("_exact is not null or _look is not null")
+    hits = rows.groupBy(*keys).agg(F.collect_list("_exact").alias("exact_hits"), F.collect_list("_look").alias("look_hits"), *listed)
+    out = messages.join(hits, keys, "left")
+    out = out.withColumn("list", _found_list(config)).drop("words") if listed else out
+    fuzzy = tags or (may_run("fuzzy", config, options) and config.fuzzy.max_checks > 0)
+    return out.crossJoin(F.broadcast(lengths_of(words, config.fuzzy))) if fuzzy else out

@@ -103,7 +103,7 @@ def scan(messages: DataFrame, lexicon: Lexicon, config: Config | None = None, *,
     if variant == "rows":
         rows = ready.crossJoin(F.broadcast(wordlist.shared(ready.sparkSession, head, config)))
     else:
-        rows = wordlist.with_candidates(keeping(ready), words, config, KEYS, variant)
+        rows = wordlist.with_candidates(keeping(ready), words, config, KEYS, variant, with_tags)
     rows = rowwise.detected(rows, config)
     if config.fuzzy.max_checks == 0:
         rows = fuzzy.with_indexed(rows, words, config)
