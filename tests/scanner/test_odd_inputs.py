@@ -4,9 +4,11 @@ import random
 from dataclasses import replace
 
 import duckdb
+import pytest
 
 from wordshield.config import Config
-from wordshield.plans import registry
+from wordshield.operators import stages
+from wordshield.plans import registry, registry_log, reports
 from wordshield.plans.scan import scan
 from wordshield.sources.lexicon import Lexicon
 
@@ -44,3 +46,22 @@ def test_a_long_list_is_not_searched_again_in_each_message(spark):
         assert rows(got) == rows(want)
     plan = scan(messages, listed, registry.PLAIN, variant="anchor", unique=True, keep=False).reports._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan.replace("split(text", "") and "regexp_instr" not in plan  # no pattern is compiled for a message
+
+
+@pytest.mark.parametrize("name", ["report_rollup_words", "report_compacted", "report_rollup_stats"])
+def test_a_log_is_dealt_over_tasks_by_its_rows(spark, monkeypatch, tmp_path, name):
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(reports, "TASK_ROWS", 100)
+    got, want = against_sql(spark, name, tmp_path, ["events"])
+    assert got == want
+    if name == "report_compacted":
+        log = registry_log.saved_twice(spark, str(tmp_path))
+        assert log.reports().rdd.getNumPartitions() == log.pieces() >= log.all().count() / 100
+
+
+def test_repeated_matches_cover_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "PIECE_BYTES", 100)
+    texts = ["the ent tion", "the thing the ent", "tionent", "the tion x", "parapara the", None, "", "the the "]
+    spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got, want = against_sql(spark, "dedup_detections", tmp_path, ["conversations"])
+    assert got == want and any("'0-0'" in r and "'3'" in r for r in got)

@@ -28,7 +28,9 @@ def _save_again(log: rp.ReportTable) -> None:
     half = F.col("summary.highest_score") / 2
     tier, action = score.tier_of(half, rg.CONFIG.tiers), score.action_of(half, rg.CONFIG.tiers)
     summary = F.col("summary").withField("highest_score", half).withField("tier", tier).withField("action", action)
-    log.append(rows.withColumn("summary", summary).orderBy(F.desc("timestamp")))  # in another order than at first
+    pieces = log.pieces()
+    ordered = rows.repartitionByRange(pieces, F.desc("timestamp")).sortWithinPartitions(F.desc("timestamp"))  # in another order than at first
+    log.append(ordered.withColumn("summary", summary), pieces=pieces)
 
 
 def week(log: rp.ReportTable):

@@ -180,11 +180,12 @@ def lexicon_count_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_reports(spark: SparkSession, sf_dir: str, form: str, by_type: bool = False, shards: int = 0) -> rp.ReportTable:
     """A log of one report for each event, appended in one go, in the order of their times."""
-    rows = rg.event_reports(spark, sf_dir).orderBy("timestamp", "message_id")
+    pieces = rp.pieces_of(table(spark, sf_dir, "events").count())
+    rows = rg.event_reports(spark, sf_dir).repartitionByRange(pieces, "timestamp", "message_id").sortWithinPartitions("timestamp", "message_id")
     found = F.from_json(F.to_json(F.col("detections")), f"array<{DETECTION.simpleString()}>")
     ids = F.col("detections")[0]["word"] if by_type else F.col("message_id")
     log = rp.ReportTable(spark, scratch(spark, "log"), form=form, shards=shards)
-    log.append(rows.withColumns({"message_id": ids, "detections": found, "text": F.lit("text"), "normalized_text": F.lit("text"), "context": F.create_map(F.lit("k"), F.lit("v"))}))
+    log.append(rows.withColumns({"message_id": ids, "detections": found, "text": F.lit("text"), "normalized_text": F.lit("text"), "context": F.create_map(F.lit("k"), F.lit("v"))}), pieces=pieces)
     return log
 
 

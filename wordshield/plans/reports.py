@@ -16,6 +16,20 @@ from ..config import Config
 from ..schemas import REPORT
 
 
+#: Rows that one task sorts or writes. Reports of short texts take about half a kilobyte each there.
+TASK_ROWS = 200_000
+#: Bytes of log files that one task reads into a shuffle; they are compressed several times over.
+TASK_BYTES = 32 << 20
+
+
+def pieces_of(rows: int, size: int = 0) -> int:
+    """Partitions for a number of reports and of bytes of files, so that no task's share grows with the log.
+
+    Spark's own choice merges partitions by their compressed bytes, which for reports are a small part of what a sort holds.
+    """
+    return max(1, -(-rows // TASK_ROWS), -(-size // TASK_BYTES))
+
+
 def newest(reports: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page of reports, latest first; equal times by message id."""
     return reports.orderBy(F.desc("timestamp"), "message_id").offset(offset).limit(limit)
@@ -27,15 +41,17 @@ def of_tier(reports: DataFrame, tier: str, limit: int = 100, offset: int = 0) ->
     return reports.where(F.col("summary.tier") == tier).orderBy(*order).offset(offset).limit(limit)
 
 
-def current(reports: DataFrame) -> DataFrame:
-    """The last report of each message id. A log's rows follow each other as they were written; others by time, and of equal times the one whose JSON hashes lowest counts."""
+def current(reports: DataFrame, pieces: int | None = None) -> DataFrame:
+    """The last report of each message id, in a number of partitions (see pieces_of; default: Spark's). A log's rows follow each other as they were written; others by time, and of equal times the one whose JSON hashes lowest counts."""
     mine = Window.partitionBy("message_id")
+    reports = reports.repartition(pieces, "message_id") if pieces else reports
     if "written" not in reports.columns:
         order = [F.desc("timestamp"), F.xxhash64(F.to_json(F.struct(*reports.columns)))]
         return reports.withColumn("place", F.row_number().over(mine.orderBy(*order))).where("place = 1").drop("place")
     own = F.struct("written", "nth")
-    first = F.min(F.coalesce("arrived", own)).over(mine)
-    placed = reports.withColumns({"place": F.row_number().over(mine.orderBy(F.desc("written"), F.desc("nth"))), "arrived": first})
+    last_first = mine.orderBy(F.desc("written"), F.desc("nth"))
+    first = F.min(F.coalesce("arrived", own)).over(last_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = reports.withColumns({"place": F.row_number().over(last_first), "arrived": first})
     return placed.where("place = 1").drop("place")
 
 
@@ -93,9 +109,11 @@ class ReportTable:
         """At $REPORT_PATH as it was when config was loaded, else at path."""
         return ReportTable(spark, config.environment.get("REPORT_PATH", path), config, **more)
 
-    def append(self, reports: DataFrame, processing_time_ms: float | None = None) -> None:
+    def append(self, reports: DataFrame, processing_time_ms: float | None = None, pieces: int | None = None) -> None:
         """Add reports (message_id, text, normalized_text, detections, summary[, timestamp, context, processing_time_ms]), in their order.
 
+        With shards, the rows are dealt over a number of tasks first: pieces, or as many as Spark takes. Without, each of the reports' own partitions is written by one task.
+
         Hooks get the rows as they were stored: they are read back, so nothing is scanned or stamped twice. A hook that fails is
         logged, and the next one runs.
         """
@@ -105,7 +123,7 @@ class ReportTable:
         full = reports.withColumns({k: v for k, v in given.items() if k not in reports.columns} | own)
         if not isinstance(full.schema["context"].dataType, (StringType, NullType)):
             full = full.withColumn("context", F.to_json("context"))
-        self._write(full.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in REPORT)), self.path)
+        self._write(full.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in REPORT)), self.path, pieces if self.shards else None)
         if self.hooks:
             stored = self.all().where(F.col("appended") == number).drop(*self._own())
             for hook in self.hooks:
@@ -117,10 +135,15 @@ class ReportTable:
     def _shard(self, message_id: Column) -> Column:
         return F.pmod(F.xxhash64(message_id), F.lit(self.shards)).cast("int")
 
-    def _write(self, rows: DataFrame, path: str) -> None:
+    def _write(self, rows: DataFrame, path: str, pieces: int | None = None, days: int = 1) -> None:
+        """pieces: tasks that the rows are dealt over, by folder; the rows of one of about `days` days may take several."""
         folders = {"day": F.to_date("timestamp")} | ({"shard": self._shard(F.col("message_id"))} if self.shards else {})
         rows = rows.withColumns(folders)
-        rows = rows.repartition(*folders) if self.shards else rows  # a file a folder
+        if pieces:
+            parts = -(-pieces // (days * max(1, self.shards)))
+            rows = rows.repartition(pieces, *folders, F.pmod(F.xxhash64("message_id", F.lit(1)), F.lit(parts)))
+        elif self.shards:
+            rows = rows.repartition(*folders)  # a file a folder
         writer = rows.write.mode("append").partitionBy(*folders).format(self.form)
         writer.option("parquet.bloom.filter.enabled#message_id", "true").save(path)
 
@@ -132,9 +155,14 @@ class ReportTable:
         schema = StructType([*REPORT.fields, StructField("day", DateType()), *([StructField("shard", IntegerType())] if self.shards else [])])
         return self.spark.read.schema(schema).format(self.form).load(self.path)
 
+    def pieces(self) -> int:
+        """How many partitions a shuffle of the log's rows takes: by the bytes of its files and, in Parquet, by the rows that their footers count."""
+        fs, path = self._files()
+        return pieces_of(self.all().count() if self.form == "parquet" else 0, fs.getContentSummary(path(self.path)).getLength())
+
     def reports(self) -> DataFrame:
         """One report for each message id."""
-        return current(self.all())
+        return current(self.all(), self.pieces())
 
     def get(self, message_id: str) -> DataFrame:
         rows = self.all().where(F.col("message_id") == message_id)
@@ -159,9 +187,10 @@ class ReportTable:
         New files stand beside the old ones for a moment, which changes no answer, since readers take one row an id.
         """
         old = self.all().inputFiles()
+        pieces, days = self.pieces(), max(1, self.all().select("day").distinct().count())
         staged = f"{self.path}/_compact-{uuid.uuid4().hex}"
         names = [f.name for f in REPORT]
-        self._write(current(self.all()).select(*names), staged)
+        self._write(current(self.all(), pieces).select(*names), staged, pieces, days)
         fs, Path = self._files()
         for file in self.spark.read.format(self.form).schema(REPORT).load(staged).inputFiles():
             source = Path(file)

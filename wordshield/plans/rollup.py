@@ -65,7 +65,9 @@ class RollUp:
         parts = [(head, 1)]
         if new.limit(1).count():
             late = lambda df: df.where(F.col("timestamp") >= since)
-            parts += [(late(current(new)), 1), (late(old.join(new.select("message_id").distinct(), "message_id", "left_semi")), -1)]
+            pieces = self.log.pieces()
+            dealt = lambda df: df.repartition(pieces, "message_id")
+            parts += [(late(current(new, pieces)), 1), (late(dealt(old).join(dealt(new.select("message_id")).distinct(), "message_id", "left_semi")), -1)]
         return whole, parts
 
     def stats(self, since: Column) -> DataFrame:
