@@ -87,8 +87,21 @@ def views(messages: DataFrame, config: Config) -> DataFrame:
     return rows.withColumns({"places": places, "pairs": F.when(ord_ == 3, tx.homoglyph_pairs(source)).otherwise(F.array().cast(_PAIRS))})
 
 
-def located(matches: DataFrame, config: Config) -> DataFrame:
-    """Matches of views (at, pattern, word) as detections with places in the message."""
+#: Text whose matches one task sorts; they take a hundred times as much there if a message holds many words.
+PIECE_BYTES = 4 << 20
+
+
+def pieces_of(text_bytes: int) -> int:
+    """Partitions for the matches of texts of so many bytes. Spark's own choice merges partitions by compressed bytes, so a task's share would grow with the input."""
+    return max(1, -(-text_bytes // PIECE_BYTES))
+
+
+def _dealt(rows: DataFrame, pieces: int | None) -> DataFrame:
+    return rows.repartition(pieces, *KEYS) if pieces else rows.repartition(*KEYS)
+
+
+def located(matches: DataFrame, config: Config, pieces: int | None = None) -> DataFrame:
+    """Matches of views (at, pattern, word) as detections with places in the message, in a number of partitions (see pieces_of; default: Spark's)."""
     last = F.col("at") + F.length("pattern") - 1
     first = last - F.length("word") + 1  # a shortened pattern moves its word's start to the left
     ord_, source, base, level = F.col("ord"), F.col("source"), F.col("base"), F.col("level")
@@ -113,22 +126,25 @@ def located(matches: DataFrame, config: Config) -> DataFrame:
     pairs = F.filter("pairs", lambda p: F.contains(F.col("matched_form"), F.get(p, 0)))
     rows = rows.withColumns({"homoglyphs_detected": pairs, "distance": F.lit(None).cast("int")}).select(*FOUND, "level", "last", "at", "pattern")
     # once runs are collapsed to one, only the first match of a word that the longer runs didn't show
-    rows = rows.repartition(*KEYS)  # the one shuffle of all matches: the windows here and in resolved() share it
-    mine = Window.partitionBy(*KEYS, "ord", "word")
-    long = F.max((level > 1).cast("int")).over(mine)
-    nth = F.row_number().over(mine.orderBy("last", "at", "pattern"))
+    rows = _dealt(rows, pieces)
+    mine = Window.partitionBy(*KEYS, "ord", "word").orderBy("last", "at", "pattern")  # one sort for both
+    long = F.max((level > 1).cast("int")).over(mine.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    nth = F.row_number().over(mine)
     one = ord_.isin(6, 8) & (level == 1)
     return rows.withColumns({"has_long": long, "nth": nth}).where(~one | ((F.col("has_long") == 0) & (F.col("nth") == 1))).select(*FOUND)
 
 
-def resolved(found: DataFrame) -> DataFrame:
+def resolved(found: DataFrame, pieces: int | None = None) -> DataFrame:
     """found, one row a (word, start, end, method): each word only from its first stage, and of messages that exact matches cover nothing else.
 
-    Coverage adds up exact matches' lengths, overlaps counted each time.
+    Coverage adds up exact matches' lengths, overlaps counted each time, but a repeated row once. One sort serves the three windows, as each one's columns begin the one's before.
     """
     per_message, per_word = Window.partitionBy(*KEYS), Window.partitionBy(*KEYS, "word")
+    same = Window.partitionBy(*KEYS, "word", "start", "end", "ord").orderBy("matched_form")
+    rows = _dealt(found, pieces) if pieces else found
+    once = rows.withColumn("nth", F.row_number().over(same)).where("nth = 1").drop("nth")
     exact = F.sum(F.when(F.col("ord") == 2, F.col("end") - F.col("start")).otherwise(0)).over(per_message)
-    kept = found.withColumns({"covered": exact >= F.col("n_length"), "earliest": F.min("ord").over(per_word)})
+    kept = once.withColumn("earliest", F.min("ord").over(per_word)).withColumn("covered", exact >= F.col("n_length"))
     kept = kept.where((F.col("ord") == F.col("earliest")) & ((F.col("ord") == 2) | ~F.col("covered")))
     method = F.create_map(*(F.lit(x) for k, v in METHOD.items() for x in (k, v)))
-    return kept.withColumn("method", F.element_at(method, F.col("ord"))).dropDuplicates([*KEYS, "word", "start", "end", "method"]).select(*FOUND, "method", "covered")
+    return kept.withColumn("method", F.element_at(method, F.col("ord"))).select(*FOUND, "method", "covered")

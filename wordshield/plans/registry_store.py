@@ -225,10 +225,12 @@ def top_words_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {rg.sql_messages(*rg._MIXED)}, {rg._FOUND}, {rg._COVER}, {rg._KEPT} select message_id, word, ord, start, \"end\" from r")
 def dedup_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every detection twice: one of each stays."""
-    ready = prepared(rg.conversations(spark, sf_dir, *rg._MIXED), rg.CONFIG)
+    messages = rg.conversations(spark, sf_dir, *rg._MIXED)
+    pieces = stages.pieces_of(messages.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    ready = prepared(messages, rg.CONFIG)
     seen = stages.views(ready, rg.CONFIG).where("ord <= 3")
-    found = stages.located(find_all(seen, "view", stages.patterns_of(rg.words(spark), rg.CONFIG), kind="kind"), rg.CONFIG)
-    return stages.resolved(found.union(found)).select("message_id", "word", "ord", "start", "end")
+    found = stages.located(find_all(seen, "view", stages.patterns_of(rg.words(spark), rg.CONFIG), kind="kind"), rg.CONFIG, pieces)
+    return stages.resolved(found.union(found), pieces).select("message_id", "word", "ord", "start", "end")
 
 
 _PAIRS = f"array_to_string(list_transform(list_filter(string_split(n, ''), lambda c: c <> '' and contains('{chars.HOMOGLYPH_FROM}', c) and contains(substr(n, p::int + 1, length(word)), c)), lambda c: c || '>' || translate(c, '{chars.HOMOGLYPH_FROM}', '{chars.HOMOGLYPH_TO}')), ' ')"
