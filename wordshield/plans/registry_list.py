@@ -12,6 +12,7 @@ from ..operators.match import find_all
 from ..sources import lexicon as lx
 from . import registry as rg
 from .registry import query, table
+from .registry_store import scratch
 from .rescan import rescan
 from .scan import scan
 
@@ -76,7 +77,10 @@ def rescan_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words added, deleted, switched off and given another score: only messages that hold one are scanned again."""
     messages = rg.conversations(spark, sf_dir, *rg._MIXED)
     old, new = _changed(spark)
-    before = scan(messages, old, rg.PLAIN, unique=True, keep=False).reports
+    stored = scratch(spark, "reports")  # a log's reports are there when its list changes; each step below reads them
+    made = scan(messages, old, rg.PLAIN, unique=True, keep=False).reports
+    made.write.parquet(stored)
+    before = spark.read.schema(made.schema).parquet(stored)
     return _summaries(rescan(messages, before, old, new, rg.PLAIN, unique=True).reports)
 
 
