@@ -115,5 +115,47 @@ def test_no_link_is_lost_where_parts_of_band_keys_are_equal(spark, monkeypatch):
     assert got == brute_components(rows, 2)
 
 
+def relatives(n, own, words=400, seed=4):
+    """Texts of a base of `words` words of which `own` shares are each text's own."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        w = [f"t{j}" for j in range(words)]
+        for p in rng.choice(words, int(words * own[k % len(own)]), replace=False):
+            w[p] = f"n{k}x{p}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def test_relatives_that_are_not_similar_enough_are_not_all_verified(spark, monkeypatch):
+    """One bucket of 160 near copies and 40 texts that are about 0.74 like each of them: too many of their bits are common to rule that out by bitmaps."""
+    rows = relatives(200, [0.067, 0.005, 0.005, 0.01, 0.01])
+    signatures, verified, tried = near_dedup.signatures, near_dedup.verified, []
+    monkeypatch.setattr(near_dedup, "signatures", lambda *a: signatures(*a).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, *a: tried.append(pairs.count()) or verified(pairs, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df, width=2).collect())
+    assert got == brute_components(rows, 2)
+    assert sum(tried) < 10 * len(rows)
+
+
+def test_every_similar_pair_of_different_labels_meets_by_its_rarest_shingles(spark):
+    """Texts of many lengths, few and many words of their own, and few words in all; labels at random."""
+    rng = np.random.default_rng(6)
+    texts = [t for _, t in relatives(90, [0, 0.02, 0.05, 0.07, 0.1], 60)]
+    texts += [" ".join(t.split()[: 45 + k % 15]) for k, t in enumerate(texts[:60])]
+    texts += [" ".join(rng.choice(["a", "b", "c"], 1 + k % 9)) for k in range(60)]
+    label = rng.integers(0, 40, len(texts)).tolist()
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    nodes = near_dedup.signatures(df, 2, 4, 5).select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "bitmap")
+    members = spark.createDataFrame(list(enumerate(label)), "node long, label long")
+    found = near_dedup._apart(members, nodes, df.select(F.col("id").alias("node"), "text"), 2, 80, 7).collect()
+    got = {(r["a"], r["b"]) for r in found}
+    assert len(found) == len(got) and all(a < b and label[a] != label[b] for a, b in got)
+    sets = [set(zip(w, w[1:])) if len(w := t.split()) > 1 else {tuple(w)} for t in texts]
+    similar = {(a, b) for b in range(len(texts)) for a in range(b) if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(similar) > 300 and similar <= got
+
+
 def test_words_of_long_text_are_all_different():
     assert len(set(re.findall(r"\S+", LONG))) == 400_000

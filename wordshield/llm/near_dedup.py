@@ -141,14 +141,22 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(check, "a long, b long")
 
 
+def _about(nodes: DataFrame) -> DataFrame:
+    """(node, about) of nodes; about: the size n of the set, its bitmap, and hidden, by how much the set is larger than the bitmap's number of bits."""
+    bits = sum((F.bit_count(F.get("bitmap", F.lit(k))) for k in range(BITMAP)), F.lit(0))
+    return nodes.select("node", F.struct("n", "bitmap", (F.col("n") - bits).alias("hidden")).alias("about"))
+
+
 def _possible(a: str, b: str, percent: int) -> Column:
-    """Whether the sets of the nodes a and b (structs n, bitmap) can be similar enough; only ever wrong by saying yes.
+    """Whether the sets of the nodes a and b (structs of _about) can be similar enough; only ever wrong by saying yes.
 
-    A bit that only one bitmap has is an element that the other set lacks, so it bounds the intersection from above.
+    A bit that only one bitmap has is an element that the other set lacks, so the common bits and the hidden elements bound the
+    intersection from above. The sizes go first, as they are the cheaper test.
     """
-    missing = lambda p, q: sum((F.bit_count(F.get(f"{p}.bitmap", F.lit(k)).bitwiseAND(F.bitwise_not(F.get(f"{q}.bitmap", F.lit(k))))) for k in range(BITMAP)), F.lit(0))
-    most = F.least(F.col(f"{a}.n") - missing(a, b), F.col(f"{b}.n") - missing(b, a))
-    return most * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - most) * percent
+    sizes = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
+    both = (F.bit_count(F.get(f"{a}.bitmap", F.lit(k)).bitwiseAND(F.get(f"{b}.bitmap", F.lit(k)))) for k in range(BITMAP))
+    most = sum(both, F.least(f"{a}.hidden", f"{b}.hidden"))
+    return sizes & (most * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent)
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -157,7 +165,52 @@ def _shared(nodes: DataFrame) -> DataFrame:
     mask = F.xxhash64("bucket")
     sizes = bucketed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.col("node").bitwiseXOR(mask)).alias("least")).where("size > 1")
     shared = bucketed.join(sizes, "bucket").select("bucket", "node", "size", F.col("least").bitwiseXOR(mask).alias("centre"))
-    return shared.join(nodes.select("node", F.struct("n", "bitmap").alias("about")), "node")
+    return shared.join(_about(nodes), "node")
+
+
+def _apart(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, per_task: int) -> DataFrame:
+    """(a, b), a < b: the pairs of members (node, label) with different labels that can be similar enough, by a prefix filter.
+
+    Only shingles that several labels hold can be common to two of them. A node's are ordered from the rarest on; of a pair that is
+    similar enough, the first common one has as many after it in both nodes as the similarity asks for, so the nodes meet at it.
+    Of the labels of a shingle, nodes outside the largest meet all others, `per_task` nodes at a time in a task. Near copies that
+    differ by words of their own have these in front, so a group of them that aren't similar enough gives few pairs to test.
+    """
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = [t.encode() for t in batch.column("text").to_pylist()]
+            for a, b in chunks(found):
+                values, starts = shingle_sets(found[a:b], width)
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), batch.column("label").slice(a, b - a), lists], ["node", "label", "shingles"])
+
+    held = texts.join(members, "node").select("node", "label", "text").mapInArrow(sets, "node long, label long, shingles array<long>")
+    held = written(held.select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    shared = held.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    shared = written(shared.select("shingle", "holders"), "shared")  # counts are written before they are joined, so that Spark can split the join at a frequent shingle
+    last_first = Window.partitionBy("node").orderBy(F.desc("holders"), F.desc("shingle"))
+    front = held.join(shared, "shingle").withColumn("left", F.row_number().over(last_first)).where(F.col("left") * 100 >= F.col("n") * percent)
+    front = written(front.select("shingle", "node", "label", "left"), "front")
+    classes = front.groupBy("shingle", "label").agg(F.count("*").alias("n"))
+    mixed = classes.groupBy("shingle").agg(F.count("*").alias("classes"), F.sum("n").alias("members"), F.max(F.struct("n", "label"))["label"].alias("main")).where("classes > 1")
+    mixed = written(mixed.select("shingle", "main", F.ceil(F.col("members") / per_task).cast("int").alias("parts")), "classes")
+    known = written(front.join(mixed, "shingle").join(_about(nodes), "node"), "mixed")
+
+    def side(df: DataFrame, k: str) -> DataFrame:
+        return df.select("shingle", "part", *(F.col(x).alias(f"{x}_{k}") for x in ("node", "label", "main", "left", "about"))).withColumnRenamed(f"node_{k}", k)
+
+    apart = side(known.where(F.col("label") != F.col("main")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "a")
+    all_ = side(known.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "b")
+    met = (F.col("left.shingle") == F.col("right.shingle")) & (F.col("left.part") == F.col("right.part")) & (F.col("label_a") != F.col("label_b"))
+    met = met & ((F.col("label_b") == F.col("main_b")) | (F.col("a") < F.col("b")))  # of two nodes outside the main class one meets the other
+    met = met & (F.least("left_a", "left_b") * (100 + percent) >= (F.col("about_a.n") + F.col("about_b.n")) * percent) & _possible("about_a", "about_b", percent)
+    pairs = apart.repartition(tasks, "shingle", "part").alias("left").join(all_.repartition(tasks, "shingle", "part").alias("right"), met)
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "apart")
+    for df in (held, shared, front, mixed, known):
+        drop_written(df)
+    return pairs
 
 
 def _linked(sized: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, all_pairs_up_to: int = 16, centres: int = 12, per_task: int = 512) -> DataFrame:
@@ -165,16 +218,15 @@ def _linked(sized: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, pe
 
     Buckets of at most all_pairs_up_to members give all their pairs. Each larger one has a member as its
     centre, and its members try at most `centres` of their buckets' centres; that connects nearly all of a large group of
-    near copies with a few pairs a member. What is left are pairs of one bucket that aren't connected yet. Of the
-    bucket's classes of connected members, those outside the largest meet all others (so a bucket with one member apart takes
-    as many tests as it has members), `per_task` members of the bucket at a time in a task; no link is lost. A pair is
+    near copies with a few pairs a member. What is left are pairs of one bucket that aren't connected yet: the members of
+    buckets with several classes of connected members meet by their rarest shingles (see _apart); no link is lost. A pair is
     verified only if its bitmaps allow the similarity, which the joins themselves check: pairs that don't are never rows.
     """
-    about = nodes.select("node", F.struct("n", "bitmap").alias("about"))
+    about = _about(nodes)
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number keeps tasks of few bytes but many tests apart
 
-    def side(df: DataFrame, k: str, *more: str) -> DataFrame:
-        return df.select("bucket", F.col("node").alias(k), F.col("about").alias(f"about_{k}"), *(F.col(m).alias(f"{m}_{k}") for m in more))
+    def side(df: DataFrame, k: str) -> DataFrame:
+        return df.select("bucket", F.col("node").alias(k), F.col("about").alias(f"about_{k}"))
 
     low, high = sized.where(F.col("size") <= all_pairs_up_to).repartition(tasks, "bucket"), sized.where(F.col("size") > all_pairs_up_to)
     same, possible = (F.col("left.bucket") == F.col("right.bucket")) & (F.col("a") < F.col("b")), _possible("about_a", "about_b", percent)
@@ -192,25 +244,14 @@ def _linked(sized: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, pe
         made = [sized, tried, links]
     else:
         early = connected_components(links, most_rounds=2)
-        known = high.join(early, "node", "left").select("bucket", "node", "about", F.coalesce("label", "node").alias("label"))
-        classes = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        mixed = classes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("members"), F.max(F.struct("n", "label"))["label"].alias("main")).where("classes > 1")
-        mixed = mixed.select("bucket", "main", F.ceil(F.col("members") / per_task).cast("int").alias("parts"))
-        known = known.join(mixed, "bucket").join(nodes.select("node", "bands"), "node").withColumn("earlier", F.slice("bands", 1, F.array_position("bands", F.col("bucket")).cast("int") - 1))
-        known = written(known.drop("bands"), "mixed")
-        columns = ("label", "earlier", "main", "part")
-        apart = side(known.where(F.col("label") != F.col("main")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "a", *columns)
-        all_ = side(known.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "b", *columns)
-        met = (F.col("left.bucket") == F.col("right.bucket")) & (F.col("part_a") == F.col("part_b")) & (F.col("label_a") != F.col("label_b"))
-        # the cheaper tests first; of two members outside the main class one meets the other. The last test compares whole bucket keys: of the buckets that a pair
-        # shares, the one that is first among either member's has no other before it in both, so a pair always gets through somewhere
-        met = met & ((F.col("label_b") == F.col("main_b")) | (F.col("a") < F.col("b"))) & possible & ~F.arrays_overlap("earlier_a", "earlier_b")
-        rest = apart.repartition(tasks, "bucket", "part_a").alias("left").join(all_.repartition(tasks, "bucket", "part_b").alias("right"), met)
-        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        known = high.join(early, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+        members = written(known.join(mixed, "bucket").select("node", "label").distinct(), "members")
+        rest = _apart(members, nodes, texts, width, percent, per_task)
         rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = written(verified(rest, texts, width, percent), "verified")
         labels = written(refined(early, links.union(more)), "labels")
-        made = [sized, tried, links, early, known, rest, more]
+        made = [sized, tried, links, early, members, rest, more]
     for df in made:
         drop_written(df)
     return labels
